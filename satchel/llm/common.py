@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 import xxhash
@@ -17,7 +20,23 @@ WORD = r"[^\x20\x09-\x0D]+"
 SPACES = " \t\n\x0b\x0c\r"
 
 
+def ship(spark: SparkSession) -> None:
+    """Gives this package to the executors' Python workers, once for each application."""
+    sc = spark.sparkContext
+    if getattr(sc, "_satchel_shipped", False):
+        return
+    top = Path(__file__).resolve().parents[1]
+    # The driver's own file; Spark sends it to the executors.
+    made = os.path.join(os.path.realpath(tempfile.mkdtemp(prefix="satchel-")), "satchel.zip")
+    with zipfile.ZipFile(made, "w") as z:
+        for f in sorted(top.rglob("*.py")):
+            z.write(f, f.relative_to(top.parent))
+    sc.addPyFile(made)
+    sc._satchel_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from satchel.llm import bpe, quality
+from satchel.llm import bpe, quality, simhash
 from satchel.llm.common import table
 
 
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.clean(table(spark, sf_dir, "documents"), with_text=False)
 
@@ -21,7 +25,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_quality_rules": op2_quality_rules, "op10_byte_bpe": op10_byte_bpe}
+    return {"op1_simhash": op1_simhash, "op2_quality_rules": op2_quality_rules, "op10_byte_bpe": op10_byte_bpe}
 
 
 def oracle_sql() -> dict[str, str]:
