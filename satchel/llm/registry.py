@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from satchel.llm import bpe, quality, simhash, substring, toxicity
+from satchel.llm import bpe, mixing, quality, simhash, substring, toxicity
 from satchel.llm.common import table
 
 
@@ -22,6 +22,10 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.dedup(table(spark, sf_dir, "documents"))
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.plan(table(spark, sf_dir, "documents"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     return toxicity.score(docs, toxicity.fit(docs, labels)).drop("passages")
@@ -34,8 +38,8 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_simhash": op1_simhash, "op2_quality_rules": op2_quality_rules, "op3_substring_dedup": op3_substring_dedup, "op7_toxicity": op7_toxicity, "op10_byte_bpe": op10_byte_bpe}
+    return {"op1_simhash": op1_simhash, "op2_quality_rules": op2_quality_rules, "op3_substring_dedup": op3_substring_dedup, "op6_mixing": op6_mixing, "op7_toxicity": op7_toxicity, "op10_byte_bpe": op10_byte_bpe}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality_rules": quality.ORACLE}
+    return {"op2_quality_rules": quality.ORACLE, "op6_mixing": mixing.oracle()}
