@@ -124,6 +124,6 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     # The nodes of a later round are roots of the round before.
     out = hooks[-1]
     for hook in reversed(hooks[:-1]):
-        later = out.withColumnsRenamed({"node": "root", "root": "last"})
+        later = out.select(F.col("node").alias("root"), F.col("root").alias("last"))
         out = hook.join(later, "root", "left").select("node", F.coalesce("last", "root").alias("root"))
     return out
