@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from satchel.llm import bpe, mixing, quality, simhash, substring, toxicity
+from satchel.llm import bpe, chat, licenses, mixing, quality, simhash, substring, toxicity
 from satchel.llm.common import table
 
 
@@ -22,6 +22,10 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.dedup(table(spark, sf_dir, "documents"))
 
 
+def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.collapse(table(spark, sf_dir, "conversations"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan(table(spark, sf_dir, "documents"))
 
@@ -31,6 +35,10 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, labels)).drop("passages")
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers as vocabularies
 
@@ -38,8 +46,8 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_simhash": op1_simhash, "op2_quality_rules": op2_quality_rules, "op3_substring_dedup": op3_substring_dedup, "op6_mixing": op6_mixing, "op7_toxicity": op7_toxicity, "op10_byte_bpe": op10_byte_bpe}
+    return {"op1_simhash": op1_simhash, "op2_quality_rules": op2_quality_rules, "op3_substring_dedup": op3_substring_dedup, "op4_chat_format": op4_chat_format, "op6_mixing": op6_mixing, "op7_toxicity": op7_toxicity, "op8_license_scan": op8_license_scan, "op10_byte_bpe": op10_byte_bpe}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality_rules": quality.ORACLE, "op6_mixing": mixing.oracle()}
+    return {"op2_quality_rules": quality.ORACLE, "op6_mixing": mixing.oracle(), "op4_chat_format": chat.ORACLE, "op8_license_scan": licenses.oracle()}
