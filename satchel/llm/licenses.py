@@ -86,15 +86,17 @@ def scan(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     sizes = [len(b) for _, _, b in table]
     ratio = (2 - threshold) / threshold
     lo, hi = math.ceil(min(sizes) / ratio - 1e-9), math.floor(max(sizes) * ratio + 1e-9)
-    src = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.explode(F.split("text", "\n")).alias("line"))
-    # Size bounds on raw words first: normalising only joins or drops words at a point or sign, and adds at most one for each such sign.
-    words = src.select("doc_id", _normal(F.col("line")).alias("w")).where(F.size("w") > lo)
+    src = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    # explode(array(x)) computes x once; a plain alias would be inlined wherever it is used.
+    words = src.select("doc_id", "row", "pos", F.explode(F.array(_normal(F.col("line")))).alias("w")).where(F.size("w") > lo)
     pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 1, F.lit(1))), lambda i: F.concat_ws(" ", F.get("w", i - 1), F.get("w", i)))
-    lines = words.select("doc_id", F.array_distinct(pairs).alias("b")).where(F.size("b").between(lo, hi))
-    known = F.array(*[F.struct(F.lit(name).alias("license"), F.lit(k).alias("k"), F.array(*map(F.lit, b)).alias("b")) for name, k, b in table])
-    fits = F.filter(known, lambda t: (F.size(t["b"]) <= F.size("b") * ratio) & (F.size("b") <= F.size(t["b"]) * ratio))
-    scored = F.transform(fits, lambda t: F.struct((-2.0 * F.size(F.array_intersect(t["b"], F.col("b"))) / (F.size(t["b"]) + F.size("b"))).alias("minus"), t["license"].alias("license"), t["k"].alias("k")))
-    best = lines.select("doc_id", F.array_min(scored).alias("m")).where(F.col("m.minus") <= -threshold)
+    lines = words.select("doc_id", "row", "pos", F.explode(F.array(F.array_distinct(pairs))).alias("b")).where(F.size("b").between(lo, hi))
+    have = lines.select("doc_id", "row", "pos", F.size("b").alias("n"), F.explode("b").alias("bigram"))
+    known = docs.sparkSession.createDataFrame([(name, k, len(b), x) for name, k, b in table for x in b], "license string, k int, m int, bigram string")
+    bounds = (F.col("m") <= F.col("n") * ratio) & (F.col("n") <= F.col("m") * ratio)
+    shared = have.join(F.broadcast(known), "bigram").where(bounds).groupBy("doc_id", "row", "pos", "license", "k", "m", "n").count()
+    scored = shared.withColumn("dice", 2.0 * F.col("count") / (F.col("m") + F.col("n"))).where(F.col("dice") >= threshold)
+    best = scored.groupBy("doc_id", "row", "pos").agg(F.min(F.struct((-F.col("dice")).alias("minus"), "license", "k")).alias("m"))
     return best.groupBy("doc_id", F.col("m.license").alias("license")).agg(F.max(-F.col("m.minus")).alias("dice"), F.count("*").alias("n_lines"))
 
 
