@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from satchel.llm import bpe, chat, licenses, mixing, quality, simhash, substring, toxicity
+from satchel.llm import bpe, chat, licenses, lm, mixing, quality, simhash, substring, toxicity
 from satchel.llm.common import table
 
 
@@ -39,6 +39,10 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"))
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers as vocabularies
 
@@ -46,7 +50,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_simhash": op1_simhash, "op2_quality_rules": op2_quality_rules, "op3_substring_dedup": op3_substring_dedup, "op4_chat_format": op4_chat_format, "op6_mixing": op6_mixing, "op7_toxicity": op7_toxicity, "op8_license_scan": op8_license_scan, "op10_byte_bpe": op10_byte_bpe}
+    return {"op1_simhash": op1_simhash, "op2_quality_rules": op2_quality_rules, "op3_substring_dedup": op3_substring_dedup, "op4_chat_format": op4_chat_format, "op6_mixing": op6_mixing, "op7_toxicity": op7_toxicity, "op8_license_scan": op8_license_scan, "op9_lm_score": op9_lm_score, "op10_byte_bpe": op10_byte_bpe}
 
 
 def oracle_sql() -> dict[str, str]:
