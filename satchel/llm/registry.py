@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from satchel.llm import bpe, chat, licenses, lm, mixing, quality, simhash, substring, toxicity
+from satchel.llm import ann, bpe, chat, licenses, lm, mixing, quality, simhash, substring, toxicity
 from satchel.llm.common import table
 
 
@@ -26,6 +26,10 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.collapse(table(spark, sf_dir, "conversations"))
 
 
+def op5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan(table(spark, sf_dir, "documents"))
 
@@ -50,7 +54,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_simhash": op1_simhash, "op2_quality_rules": op2_quality_rules, "op3_substring_dedup": op3_substring_dedup, "op4_chat_format": op4_chat_format, "op6_mixing": op6_mixing, "op7_toxicity": op7_toxicity, "op8_license_scan": op8_license_scan, "op9_lm_score": op9_lm_score, "op10_byte_bpe": op10_byte_bpe}
+    return {"op1_simhash": op1_simhash, "op2_quality_rules": op2_quality_rules, "op3_substring_dedup": op3_substring_dedup, "op4_chat_format": op4_chat_format, "op5_nearest": op5_nearest, "op6_mixing": op6_mixing, "op7_toxicity": op7_toxicity, "op8_license_scan": op8_license_scan, "op9_lm_score": op9_lm_score, "op10_byte_bpe": op10_byte_bpe}
 
 
 def oracle_sql() -> dict[str, str]:
