@@ -162,3 +162,17 @@ def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return map_batches(src, each, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+
+
+def tokens(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+    """doc_id, n_tokens, ids (binary, little-endian uint32), exact (whether decoding gives the text's bytes back)."""
+
+    def each(b: pa.RecordBatch) -> pa.RecordBatch:
+        t = tokenizer(path, pattern)
+        texts = [x.as_py() or "" for x in b.column(1)]
+        ids = [t.encode(x) for x in texts]
+        exact = [t.decode(i) == x.encode() for i, x in zip(ids, texts, strict=True)]
+        return pa.record_batch([b.column(0), pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array(exact, pa.bool_())], ["doc_id", "n_tokens", "ids", "exact"])
+
+    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return map_batches(src, each, "doc_id long, n_tokens long, ids binary, exact boolean")

@@ -63,69 +63,102 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
     return w.select("source", "source_size", F.least(target, F.col("cap").cast("double")).alias("target"))
 
 
-def plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_PASSES, blocks: int = BLOCKS, shards: int = SHARDS) -> DataFrame:
-    """A row for each row of docs: doc_id, size, source_size, target, taken, passes,
-    part (words of the last, partial pass), shard and place of that pass (-1 and empty without one).
-
-    taken = passes * size + part. Null texts have size 0; null sources are one
-    source, after all others; null ids go to one block; repeated rows are
-    ordered together, and share a partial pass by their order of equal keys
-    (each of them gets the same words). A source without words has target 0.
-    Columns other than doc_id, text and source are not read.
-    """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size_of(F.col("text")).alias("size"))
-    name = F.coalesce(F.concat(F.lit("="), "source"), F.lit("-"))
+def _rows(docs: DataFrame, blocks: int, *more: Column) -> DataFrame:
+    name = F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("-"))
     key = _key(F.lit("doc"), F.coalesce(F.col("doc_id").cast("string"), F.lit("-")))
-    rows = stored(rows.select("*", name.alias("name"), key.alias("key"), (F.conv(F.substring(key, 1, 6), 16, 10).cast("int") % blocks).alias("block")))
-    of_source = targets(rows.select("source", "size"), weights, most)
-    of_block = rows.groupBy("source", "name", "block").agg(F.sum("size").alias("words"))
-    same = F.col("source").eqNullSafe(F.col("t_source"))
-    t = of_source.select(F.col("source").alias("t_source"), "source_size", "target")
-    b = of_block.join(t, same).drop("t_source").withColumn("passes", F.when(F.col("source_size") > 0, F.least(F.lit(most), F.floor(F.col("target") / F.col("source_size")))).otherwise(0).cast("int"))
+    rows = docs.select(*more, F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size_of(F.col("text")).alias("size"), name.alias("name"), key.alias("key"))
+    return rows.withColumn("block", F.conv(F.substring("key", 1, 6), 16, 10).cast("int") % blocks)
+
+
+def _quotas(of_block: DataFrame, weights: tuple[int, ...], most: int) -> DataFrame:
+    """of_block (source, name, block, words) with source_size, target, passes, rest, before and drawn."""
+    t = targets(of_block.select("source", F.col("words").alias("size")), weights, most).withColumnRenamed("source", "t_source")
+    b = of_block.join(t, F.col("source").eqNullSafe(F.col("t_source"))).drop("t_source")
+    b = b.withColumn("passes", F.when(F.col("source_size") > 0, F.least(F.lit(most), F.floor(F.col("target") / F.col("source_size")))).otherwise(0).cast("int"))
     b = b.withColumn("rest", F.round(F.col("target")).cast("long") - F.col("passes") * F.col("source_size"))
     in_turn = Window.partitionBy("name").orderBy(_key(F.lit("block"), F.col("name"), F.col("block").cast("string")), "block").rowsBetween(Window.unboundedPreceding, -1)
     b = b.withColumn("before", F.coalesce(F.sum("words").over(in_turn), F.lit(0)))
-    b = b.withColumn("drawn", F.when(F.col("before") >= F.col("rest"), "none").when(F.col("before") + F.col("words") <= F.col("rest"), "whole").otherwise("part"))
-    placed = b.join(_tree(b.where("drawn <> 'none'").select("name", "block"), shards), ["name", "block"], "left")
-    placed = stored(placed.select("name", "block", "source_size", "target", "passes", "rest", "before", "drawn", "shard"))
-    found = rows.join(placed, ["name", "block"])
-    # Only the block where the rest ends, one a source, is ordered by document.
+    return b.withColumn("drawn", F.when(F.col("before") >= F.col("rest"), "none").when(F.col("before") + F.col("words") <= F.col("rest"), "whole").otherwise("part"))
+
+
+def _with_part(found: DataFrame) -> DataFrame:
+    """found with part, the words of the partial pass. Only blocks where a rest ends, one a source, are ordered by document."""
     cut = found.where("drawn = 'part'")
     ordered = Window.partitionBy("name").orderBy("key").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     alike = Window.partitionBy("name", "key")
     room = F.col("rest") - F.col("before") - (F.sum("size").over(ordered) - F.sum("size").over(alike))
-    # Rows with one key share what room there is.
     share = F.when(F.count("*").over(alike) == 1, room).otherwise(F.floor(room / F.count("*").over(alike)))
     cut = cut.withColumn("part", F.greatest(F.lit(0), F.least(F.col("size"), share)).cast("long"))
     rest = found.where("drawn <> 'part'").withColumn("part", F.when(F.col("drawn") == "whole", F.col("size")).otherwise(0).cast("long"))
-    out = rest.unionByName(cut)
+    return rest.unionByName(cut)
+
+
+def _blocks(rows: DataFrame, weights: tuple[int, ...], most: int) -> DataFrame:
+    return stored(_quotas(rows.groupBy("source", "name", "block").agg(F.sum("size").alias("words")), weights, most))
+
+
+def plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_PASSES, blocks: int = BLOCKS, shards: int = SHARDS) -> DataFrame:
+    """A row for each row of docs: doc_id, size, source_size, target, taken, passes,
+    part (words of the last, partial pass), shard and place of that pass (-1 and empty without one).
+
+    taken = passes * size + part. Null texts have size 0; null sources are one
+    source, after all others; null ids go to one block; rows with one id in a
+    source share the words that a partial pass leaves them. A source without
+    words has target 0. Columns other than doc_id, text and source are not read.
+    """
+    rows = stored(_rows(docs, blocks))
+    b = _blocks(rows, weights, most)
+    last = _tree(b, shards).where("last").select("name", "block", "shard")
+    placed = b.join(last, ["name", "block"], "left").select("name", "block", "source_size", "target", "passes", "rest", "before", "drawn", "shard")
+    out = _with_part(rows.join(placed, ["name", "block"]))
     shard = F.when(F.col("part") > 0, F.col("shard")).otherwise(-1)
     place = F.when(F.col("part") > 0, _key(F.lit("place"), F.col("key"))).otherwise("")
     return out.select("doc_id", "size", "source_size", "target", (F.col("passes") * F.col("size") + F.col("part")).cast("long").alias("taken"), "passes", "part", shard.alias("shard"), place.alias("place"))
 
 
-def _tree(tokens: DataFrame, shards: int) -> DataFrame:
-    """name, block, shard. The urn's tokens are split over a binary tree of
-    shards; then the n-th block of a source takes its n-th token."""
-    nth = Window.partitionBy("name").orderBy(_key(F.lit("draw"), F.col("name"), F.col("block").cast("string")), "block")
-    t = tokens.select("name", "block", F.row_number().over(nth).alias("n"))
+def draw(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_PASSES, blocks: int = BLOCKS, shard_words: int = 5_000_000) -> DataFrame:
+    """The mix itself: rows of docs, unchanged, once for each pass, in the shards' order.
+
+    Whole documents only: the one document of a source that plan() takes in part
+    is in the last pass if that part is half of it or more. Documents without
+    words come with the whole passes of their source.
+    """
+    small = 100_000  # rows of the block table that are broadcast; beyond, both sides are shuffled
+    rows = _rows(docs, blocks, F.struct(*docs.columns).alias("_row"))
+    b = _blocks(rows.drop("_row"), weights, most)
+    size = b.agg(F.coalesce(F.sum("words"), F.lit(0)).alias("words"), F.count("*").alias("n")).first()
+    tokens = stored(_tree(b, 1 + int(size.words // shard_words)))
+    shrink = F.broadcast if size.n * (most + 1) <= small else lambda x: x
+    found = _with_part(rows.join(shrink(b.select("name", "block", "passes", "rest", "before", "drawn")), ["name", "block"]))
+    copies = F.col("passes") + ((F.col("part") > 0) & (2 * F.col("part") >= F.col("size"))).cast("int")
+    each = found.where(copies > 0).select("_row", "name", "block", "key", F.explode(F.sequence(F.lit(1), copies)).alias("pass"))
+    placed = each.join(shrink(tokens.select("name", "block", "pass", "shard")), ["name", "block", "pass"])
+    place = _key(F.lit("place"), F.col("pass").cast("string"), F.col("key"))
+    return placed.withColumn("place", place).repartition("shard").sortWithinPartitions("shard", "place").select("_row.*")
+
+
+def _tree(blocks: DataFrame, shards: int) -> DataFrame:
+    """name, block, pass, last (the partial pass), shard. The urn's tokens, one for each block and pass, are
+    split over a binary tree of shards; then the n-th block of a source takes its n-th token."""
+    passes = F.col("passes") + (F.col("drawn") != "none").cast("int")
+    tokens = blocks.where(passes > 0).select("name", "block", F.explode(F.sequence(F.lit(1), passes)).alias("pass"), "passes")
+    nth = Window.partitionBy("name").orderBy(_key(F.lit("draw"), F.col("name"), F.col("block").cast("string"), F.col("pass").cast("string")), "block", "pass")
+    t = tokens.select("name", "block", "pass", (F.col("pass") > F.col("passes")).alias("last"), F.row_number().over(nth).alias("n"))
     urn = t.select("name", "n", F.lit(0).alias("lo"), F.lit(shards).alias("hi"))
-    for depth in range(max(1, (shards - 1).bit_length())):
+    for depth in range((shards - 1).bit_length()):
         at = Window.partitionBy("lo", "hi")
-        draw = F.row_number().over(at.orderBy(_key(F.lit(f"level {depth}"), F.col("name"), F.col("n").cast("string")), "name", "n"))
-        mid = F.floor((F.col("lo") + F.col("hi")) / 2).cast("int")
-        split = urn.select("*", mid.alias("mid"), (draw * (F.col("hi") - F.col("lo")) <= F.count("*").over(at) * (mid - F.col("lo"))).alias("left"))
-        split = split.withColumn("left", F.col("left") & (F.col("hi") - F.col("lo") > 1))
-        wide = F.col("hi") - F.col("lo") > 1
+        place = F.row_number().over(at.orderBy(_key(F.lit(f"level {depth}"), F.col("name"), F.col("n").cast("string")), "name", "n"))
+        mid, wide = F.floor((F.col("lo") + F.col("hi")) / 2).cast("int"), F.col("hi") - F.col("lo") > 1
+        split = urn.select("*", mid.alias("mid"), (wide & (place * (F.col("hi") - F.col("lo")) <= F.count("*").over(at) * (mid - F.col("lo")))).alias("left"))
         urn = split.select("name", "n", F.when(~wide | F.col("left"), F.col("lo")).otherwise(F.col("mid")).alias("lo"), F.when(F.col("left"), F.col("mid")).otherwise(F.col("hi")).alias("hi"))
-    return t.join(urn.select("name", "n", F.col("lo").alias("shard")), ["name", "n"]).select("name", "block", "shard")
+    return t.join(urn.select("name", "n", F.col("lo").alias("shard")), ["name", "n"]).select("name", "block", "pass", "last", "shard")
 
 
 def oracle(weights: tuple[int, ...] = WEIGHTS, most: int = MOST_PASSES, blocks: int = BLOCKS, shards: int = SHARDS) -> str:
     """DuckDB SQL for plan() of documents."""
     w = ", ".join(map(str, weights))
     levels, last = [], "u0"
-    for d in range(max(1, (shards - 1).bit_length())):
+    for d in range((shards - 1).bit_length()):
         levels.append(f"""s{d} AS (SELECT *, (lo + hi) // 2 AS mid, hi - lo > 1 AND row_number() OVER (PARTITION BY lo, hi ORDER BY md5('level {d}/' || name || '/' || n), name, n) * (hi - lo)
   <= count(*) OVER (PARTITION BY lo, hi) * ((lo + hi) // 2 - lo) AS lft FROM {last}),
 u{d + 1} AS (SELECT name, n, CASE WHEN hi - lo <= 1 OR lft THEN lo ELSE mid END AS lo, CASE WHEN lft THEN mid ELSE hi END AS hi FROM s{d})""")
@@ -147,10 +180,11 @@ b0 AS (SELECT ob.*, source_size, target, CASE WHEN source_size > 0 THEN CAST(lea
 b1 AS (SELECT *, CAST(round(target) AS BIGINT) - passes * source_size AS rest, CAST(coalesce(sum(words) OVER (PARTITION BY name
   ORDER BY md5('block/' || name || '/' || block), block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS before FROM b0),
 b AS (SELECT *, CASE WHEN before >= rest THEN 'none' WHEN before + words <= rest THEN 'whole' ELSE 'part' END AS drawn FROM b1),
-tok AS (SELECT name, block, row_number() OVER (PARTITION BY name ORDER BY md5('draw/' || name || '/' || block), block) AS n FROM b WHERE drawn <> 'none'),
+tk AS (SELECT name, block, passes, unnest(range(1, passes + CAST(drawn <> 'none' AS INTEGER) + 1)) AS pass FROM b),
+tok AS (SELECT name, block, pass > passes AS is_last, row_number() OVER (PARTITION BY name ORDER BY md5('draw/' || name || '/' || block || '/' || pass), block, pass) AS n FROM tk),
 u0 AS (SELECT name, n, 0 AS lo, {shards} AS hi FROM tok),
 {", ".join(levels)},
-placed AS (SELECT b.*, {last}.lo AS shard FROM b LEFT JOIN tok USING (name, block) LEFT JOIN {last} ON tok.name = {last}.name AND tok.n = {last}.n),
+placed AS (SELECT b.*, {last}.lo AS shard FROM b LEFT JOIN tok ON b.name = tok.name AND b.block = tok.block AND tok.is_last LEFT JOIN {last} ON tok.name = {last}.name AND tok.n = {last}.n),
 found AS (SELECT rows_.doc_id, rows_.size, rows_.key, p.* FROM rows_ JOIN placed p ON rows_.name = p.name AND rows_.block = p.block),
 cut AS (SELECT *, rest - before - (sum(size) OVER (PARTITION BY name ORDER BY key) - sum(size) OVER (PARTITION BY name, key)) AS room, count(*) OVER (PARTITION BY name, key) AS alike FROM found WHERE drawn = 'part'),
 parts AS (SELECT doc_id, size, source_size, target, passes, shard, key, CAST(greatest(0, least(size, CASE WHEN alike = 1 THEN room ELSE floor(room / alike) END)) AS BIGINT) AS part FROM cut
