@@ -1,0 +1 @@
+"""File archives as tables of members, on Spark."""
