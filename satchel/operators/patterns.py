@@ -79,10 +79,10 @@ def glob_regex(glob: str) -> str:
                     if hi == "\\" and i + 3 < n:
                         hi, step = glob[i + 3], 4
                     if lo <= hi:
-                        items.append(f"{_in_set(lo)}-{_in_set(hi)}")
+                        items.append(f"{_plain(lo)}-{_plain(hi)}")
                     i += step
                 else:
-                    items.append(_in_set(a))
+                    items.append(_plain(a))
                     i += 1
             body = "".join(items)
             out.append((f"[^{body}]" if negated else f"[{body}]") if body else ("." if negated else "(?!)"))
@@ -95,11 +95,10 @@ def glob_regex(glob: str) -> str:
 
 
 def _plain(c: str) -> str:
-    return c if c.isalnum() or c in "_/ -" or ord(c) > 127 else "\\" + c if c.isprintable() else f"\\x{{{ord(c):x}}}"
-
-
-def _in_set(c: str) -> str:
-    return c if c.isalnum() or ord(c) > 127 else f"\\x{{{ord(c):x}}}"
+    """As itself in a regular expression of Java or Python, in sets too."""
+    if c.isalnum() or ord(c) > 127:
+        return c
+    return "\\" + c if c.isprintable() else f"\\x{ord(c):02x}"
 
 
 def glob_match(value: Column, glob: str, by_byte: bool = False) -> Column:

@@ -13,7 +13,7 @@ from satchel.sources.archive import open_bytes
 
 def members(spark: SparkSession, folder: str, glob: str = "*.[ab]sar", per_trigger: int = 100) -> DataFrame:
     """A row for each member of each archive that appears in folder. Archives are read whole, so each must be below 2 GB."""
-    files = spark.readStream.format("binaryFile").option("pathGlobFilter", glob).option("maxFilesPerTrigger", per_trigger).load(folder)
+    files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("pathGlobFilter", glob).option("maxFilesPerTrigger", per_trigger).load(folder)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
