@@ -1,20 +1,23 @@
 """Substring dedup with suffix automata of reference shards.
 
 A window is `length` consecutive words. A word goes if a window over it also
-starts in a document with a smaller id, judged on the input. Every window that
-two documents share belongs to the document with the smallest id among those
-that hold it; the stretches of text that such owners hold are the reference,
-cut into shards of bounded length. Each shard goes only to the documents that
-share one of its windows, where its suffix automaton streams their text for
-matching statistics: spans that match `length` words or more are removed.
+starts in a document with a smaller id, judged on the input.
 
 1. Winnowing picks from each window the least hash of its 8-word grams; equal
-   windows pick equal grams. A gram of one document only rules its windows out.
-2. Of the windows left, the hash and the smallest holder are aggregated, with a
-   combine on the map side, so that a passage in a third of all documents costs
-   a row a task.
-3. Shards (at most 100 window starts, 149 words) are joined to the stretches
-   that need them and matched word by word; hashes only route, they do not decide.
+   windows pick equal grams. Neighbouring windows that pick one occurrence form
+   a stretch (at most length - 7 windows). Grams of one document only are done.
+2. Equal stretches (gram and stretch hash, 128 bits) are one variant, owned by
+   the smallest id that holds it; for other holders all of it goes. A passage in
+   a third of all documents is a row a task here.
+3. Where a gram has several variants, mostly at the ends of passages, the owner
+   of a variant may still share windows with a variant of a smaller id. Each
+   variant is a reference shard of at most 2 * length - 8 words. Window hashes
+   lead a variant to the shards with the smallest ids that hold its windows,
+   and the shard's suffix automaton streams it for matching statistics: spans
+   that match `length` words or more go. Here hashes route, words decide.
+
+Shards go only where they can match: against every shard each document would
+meet as many automata as the corpus has shards.
 """
 
 from __future__ import annotations
@@ -31,7 +34,8 @@ from satchel.llm.common import WordHash, stored, text_bytes
 
 LENGTH = 50
 GRAM = 8
-STARTS = 100  # window starts in a shard
+#: Rows of a table of word positions that are broadcast to the documents; beyond, documents are shuffled by id.
+MOST_BROADCAST = 1_000_000
 
 _word_hash = WordHash()
 _BASE = 0x9E3779B97F4A7C15  # odd, so that its powers have inverses
@@ -136,106 +140,150 @@ class SuffixAutomaton:
         return out
 
 
-def _grams(docs: DataFrame, length: int) -> DataFrame:
-    """(doc_id, gram): the distinct grams that the windows of each document pick."""
+def _segments(docs: DataFrame, length: int) -> DataFrame:
+    """(doc_id, gram, seg, start, n): stretches of n windows from word start on that pick one gram occurrence."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, out = [], []
             for i, text in zip(b.column(0).to_pylist(), text_bytes(b.column(1)), strict=True):
                 words = text.split()
-                if len(words) >= length:
-                    ids.append(i)
-                    out.append(np.unique(_window_grams(words, length)[1]).view(np.int64))
-            n = np.fromiter(map(len, out), np.int64, len(out))
-            grams = np.concatenate(out) if out else np.zeros(0, np.int64)
-            yield pa.record_batch([pa.array(np.repeat(np.array(ids, np.int64), n)), pa.array(grams)], ["doc_id", "gram"])
+                if len(words) < length:
+                    continue
+                windows, picked = _window_grams(words, length)
+                start = np.flatnonzero(np.concatenate([[True], picked[1:] != picked[:-1]]))
+                n = np.diff(np.append(start, len(picked)))
+                # The first and last window and their distance fix every word.
+                seg = _mix(_mix(windows[start]) + windows[start + n - 1] * np.uint64(3) + n.astype(np.uint64))
+                ids.append(np.full(len(start), i, np.int64))
+                out.append((picked[start].view(np.int64), seg.view(np.int64), start.astype(np.int32), n.astype(np.int32)))
+            if ids:
+                cols = [np.concatenate(ids), *(np.concatenate(c) for c in zip(*out, strict=True))]
+                yield pa.record_batch([pa.array(c) for c in cols], ["doc_id", "gram", "seg", "start", "n"])
 
-    return docs.mapInArrow(run, "doc_id long, gram long")
+    return docs.mapInArrow(run, "doc_id long, gram long, seg long, start int, n int")
 
 
-def _stretches(docs: DataFrame, length: int) -> DataFrame:
-    """Of documents with their shared grams: a row for each stretch of STARTS
-    window starts that has a candidate: doc_id, part, text, windows (hashes)."""
+def _texts(docs: DataFrame, length: int) -> DataFrame:
+    """(vid, a, text) of the variants that documents own; docs: (doc_id, text, own)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, parts, texts, hashes = [], [], [], []
-            for i, text, shared in zip(b.column(0).to_pylist(), text_bytes(b.column(1)), b.column(2), strict=True):
+            vids, ids, texts = [], [], []
+            for i, text, own in zip(b.column(0).to_pylist(), text_bytes(b.column(1)), b.column(2).to_pylist(), strict=True):
                 words = text.split()
-                windows, picked = _window_grams(words, length)
-                at = np.flatnonzero(np.isin(picked, shared.values.to_numpy().view(np.uint64)))
-                part = at // STARTS
-                for p in np.unique(part).tolist():
+                for x in own:
+                    vids.append(x["vid"])
                     ids.append(i)
-                    parts.append(p)
-                    texts.append(b" ".join(words[p * STARTS : (p + 1) * STARTS + length - 1]))
-                    hashes.append(np.unique(windows[at[part == p]]).view(np.int64))
+                    texts.append(b" ".join(words[x["start"] : x["start"] + x["n"] - 1 + length]))
+            yield pa.record_batch([pa.array(vids, pa.int64()), pa.array(ids, pa.int64()), pa.array(texts, pa.binary())], ["vid", "a", "text"])
+
+    return docs.mapInArrow(run, "vid long, a long, text binary")
+
+
+def _windows(texts: DataFrame, length: int) -> DataFrame:
+    """(window, vid, a): the distinct window hashes of each variant."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            hashes = [np.unique(run_hashes(t.split(), length)[0]).view(np.int64) for t in text_bytes(b.column(2))]
+            n = [len(h) for h in hashes]
             flat = np.concatenate(hashes) if hashes else np.zeros(0, np.int64)
-            ends = np.concatenate([[0], np.cumsum([len(x) for x in hashes])]).astype(np.int32)
-            yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(parts, pa.int32()), pa.array(texts, pa.binary()), pa.ListArray.from_arrays(ends, pa.array(flat))], ["doc_id", "part", "text", "windows"])
+            yield pa.record_batch([pa.array(flat), pa.array(np.repeat(b.column(0).to_numpy(), n)), pa.array(np.repeat(b.column(1).to_numpy(), n))], ["window", "vid", "a"])
 
-    return docs.mapInArrow(run, "doc_id long, part int, text binary, windows array<long>")
+    return texts.select("vid", "a", "text").mapInArrow(run, "window long, vid long, a long")
 
 
 def _match(pairs: DataFrame, length: int) -> DataFrame:
-    """(doc_id, lo, hi) of words to remove; pairs: shard (key and text) and the stretch to stream."""
+    """(vid, lo, hi) of words to remove from a variant; pairs: (vid, text, shard)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made: dict[bytes, SuffixAutomaton] = {}
         for b in batches:
-            rows: dict[tuple, None] = {}
-            for i, part, text, shard in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), text_bytes(b.column(2)), text_bytes(b.column(3)), strict=True):
-                words = text.split()
-                if text == shard:
-                    found = [(0, len(words))]
-                else:
-                    a = made.get(shard)
-                    if a is None:
-                        if len(made) >= 256:
-                            made.clear()
-                        a = made[shard] = SuffixAutomaton(shard.split())
-                    found = a.spans(words, length)
-                rows.update(((i, part * STARTS + lo, part * STARTS + hi), None) for lo, hi in found)
+            rows = []
+            for vid, text, shard in zip(b.column(0).to_pylist(), text_bytes(b.column(1)), text_bytes(b.column(2)), strict=True):
+                a = made.get(shard)
+                if a is None:
+                    if len(made) >= 256:
+                        made.clear()
+                    a = made[shard] = SuffixAutomaton(shard.split())
+                rows += [(vid, lo, hi) for lo, hi in a.spans(text.split(), length)]
             c = list(zip(*rows, strict=True)) or [[], [], []]
-            yield pa.record_batch([pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.int64())], ["doc_id", "lo", "hi"])
+            yield pa.record_batch([pa.array(c[0], pa.int64()), pa.array(c[1], pa.int32()), pa.array(c[2], pa.int32())], ["vid", "lo", "hi"])
+
+    return pairs.mapInArrow(run, "vid long, lo int, hi int")
+
+
+def _merged(spans: DataFrame) -> DataFrame:
+    """doc_id, lo, hi (arrays): spans of each document, in order and apart; spans: (doc_id, lo, hi)."""
+    kind = pa.list_(pa.int32())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lows, highs = [], []
+            for row in b.column(1).to_pylist():
+                low, high = [], []
+                for x in sorted((s["lo"], s["hi"]) for s in row):
+                    if high and x[0] <= high[-1]:
+                        high[-1] = max(high[-1], x[1])
+                    else:
+                        low.append(x[0])
+                        high.append(x[1])
+                lows.append(low)
+                highs.append(high)
+            yield pa.record_batch([b.column(0), pa.array(lows, kind), pa.array(highs, kind)], ["doc_id", "lo", "hi"])
+
+    # A document has at most as many spans as windows.
+    return spans.groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("s")).mapInArrow(run, "doc_id long, lo array<int>, hi array<int>")
+
 
-    return pairs.mapInArrow(run, "doc_id long, lo long, hi long")
+def _lent(table: DataFrame, array: str) -> DataFrame:
+    """table marked for broadcast if its arrays hold few enough elements."""
+    n = table.agg(F.coalesce(F.sum(F.size(array)), F.lit(0))).first()[0]
+    return F.broadcast(table) if n <= MOST_BROADCAST else table
 
 
 def removals(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """doc_id, spans (array of struct lo, hi; word positions), for documents that lose words."""
+    """doc_id, lo, hi (arrays of word positions), for documents that lose words."""
     src = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    grams = stored(_grams(src, length))
-    shared = grams.groupBy("gram").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("gram")
-    of_doc = grams.join(shared, "gram", "left_semi").groupBy("doc_id").agg(F.collect_set("gram").alias("grams"))
-    stretches = stored(_stretches(src.join(of_doc, "doc_id").select("doc_id", "text", "grams"), length))
-    windows = stretches.select(F.explode("windows").alias("window"), "doc_id", "part")
-    owners = windows.groupBy("window").agg(F.min(F.struct("doc_id", "part")).alias("owner"), F.max("doc_id").alias("last")).where("owner.doc_id < last")
-    needs = windows.join(owners.select("window", "owner"), "window").where("doc_id > owner.doc_id")
-    needs = needs.select("doc_id", "part", F.col("owner.doc_id").alias("owner_id"), F.col("owner.part").alias("owner_part")).distinct()
-    # Repeated rows have equal stretches; one is enough.
-    texts = stretches.select("doc_id", "part", "text").distinct()
-    shards = texts.withColumnsRenamed({"doc_id": "owner_id", "part": "owner_part", "text": "shard"})
-    pairs = needs.join(texts, ["doc_id", "part"]).join(shards, ["owner_id", "owner_part"]).select("doc_id", "part", "text", "shard")
+    every = stored(_segments(src, length))
+    shared = every.groupBy("gram").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("gram")
+    held = stored(every.join(shared, "gram", "left_semi").distinct())
+    variants = stored(held.groupBy("gram", "seg").agg(F.min("doc_id").alias("a")))
+    both = held.join(variants, ["gram", "seg"])
+    whole = both.where("doc_id > a").select("doc_id", F.col("start").alias("lo"), (F.col("start") + F.col("n") - 1 + length).alias("hi"))
+    several = variants.groupBy("gram").count().where("count > 1").select("gram")
+    first = both.where("doc_id = a").join(several, "gram", "left_semi").select("doc_id", F.xxhash64("gram", "seg").alias("vid"), "start", "n")
+    first = stored(first)
+    own = first.groupBy("doc_id", "vid").agg(F.min("start").alias("start"), F.min("n").alias("n")).groupBy("doc_id").agg(F.collect_list(F.struct("vid", "start", "n")).alias("own"))
+    own = _lent(stored(own), "own").withColumnRenamed("doc_id", "_id")
+    texts = _texts(src.join(own, F.col("doc_id") == F.col("_id")).select("doc_id", "text", "own"), length)
+    texts = stored(texts.dropDuplicates(["vid"]))  # repeated rows
+    windows = _windows(texts, length)
+    owners = windows.groupBy("window").agg(F.min_by("vid", "a").alias("owner"), F.min("a").alias("least"), F.max("a").alias("most")).where("least < most").select("window", "owner", "least")
+    needs = windows.join(owners, "window").where("a > least").select("vid", "owner").distinct()
+    shards = texts.select(F.col("vid").alias("owner"), F.col("text").alias("shard"))
+    pairs = needs.join(texts.select("vid", "text"), "vid").join(shards, "owner").select("vid", "text", "shard")
     found = _match(pairs, length).distinct()
-    return found.groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    part = found.join(first.select("doc_id", "vid", "start"), "vid").select("doc_id", (F.col("start") + F.col("lo")).alias("lo"), (F.col("start") + F.col("hi")).alias("hi"))
+    return stored(_merged(whole.unionByName(part)))
 
 
-def _kept(text: bytes, spans: list) -> tuple[list[bytes], int]:
+def _kept(text: bytes, lo: list | None, hi: list | None) -> tuple[list[bytes], int]:
     words = text.split()
-    if not spans:
+    if not lo:
         return words, 0
-    gone = bytearray(len(words))
-    for s in spans:
-        lo, hi = s["lo"], min(s["hi"], len(words))
-        gone[lo:hi] = b"\1" * (hi - lo)
-    return [w for w, g in zip(words, gone, strict=True) if not g], sum(gone)
+    kept, at = [], 0
+    for i, j in zip(lo, hi, strict=True):
+        kept += words[at:i]
+        at = max(at, j)
+    kept += words[at:]
+    return kept, len(words) - len(kept)
 
 
 def _joined(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    named = spans.select(F.col("doc_id").alias("_id"), F.col("spans").alias("_spans"))
-    return docs.join(named, F.col("doc_id").cast("long") == F.col("_id"), "left").drop("_id")
+    named = _lent(spans, "lo").select(F.col("doc_id").alias("_id"), F.col("lo").alias("_lo"), F.col("hi").alias("_hi"))
+    return docs.select("*", F.col("doc_id").cast("long").alias("_key")).join(named, F.col("_key") == F.col("_id"), "left").drop("_id", "_key")
 
 
 def dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -249,15 +297,15 @@ def dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n, gone, sha = [], [], []
-            for text, spans in zip(text_bytes(b.column(1)), b.column(2).to_pylist(), strict=True):
-                words, removed = _kept(text, spans)
+            for text, lo, hi in zip(text_bytes(b.column(1)), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+                words, removed = _kept(text, lo, hi)
                 n.append(len(words) + removed)
                 gone.append(removed)
                 sha.append(hashlib.sha256(b" ".join(words)).hexdigest())
             yield pa.record_batch([b.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha, pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return _joined(src, removals(docs, length)).select("doc_id", "text", "_spans").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return _joined(src, removals(docs, length)).select("doc_id", "text", "_lo", "_hi").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def strip(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -268,11 +316,11 @@ def strip(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         for b in batches:
             at = b.schema.get_field_index("text")
             texts = []
-            for text, raw, spans in zip(b.column(at).to_pylist(), text_bytes(b.column(at)), b.column(b.num_columns - 1).to_pylist(), strict=True):
-                words, removed = _kept(raw, spans)
+            for text, raw, lo, hi in zip(b.column(at).to_pylist(), text_bytes(b.column(at)), b.column(b.num_columns - 2).to_pylist(), b.column(b.num_columns - 1).to_pylist(), strict=True):
+                words, removed = _kept(raw, lo, hi)
                 texts.append(b" ".join(words).decode() if removed else text)
-            cols = list(b.columns[:-1])
+            cols = list(b.columns[:-2])
             cols[at] = pa.array(texts, b.schema.field(at).type)
-            yield pa.RecordBatch.from_arrays(cols, names=b.schema.names[:-1])
+            yield pa.RecordBatch.from_arrays(cols, names=b.schema.names[:-2])
 
     return _joined(docs, removals(docs, length)).mapInArrow(run, docs.schema)
