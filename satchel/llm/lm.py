@@ -8,7 +8,7 @@ probability. The arrays are plain bytes, so a trie opens from a memory-mapped
 file or from a binary cell without a copy.
 
 A corpus-sized trie fits no single machine, so no trie is broadcast. Documents
-are read in chunks of about CHUNK tokens; a chunk sends each shard the distinct
+are read once, into stored chunks of about CHUNK tokens; a chunk sends each shard the distinct
 keys it needs, with their counts from training documents, a shard sums the
 counts, builds its trie, looks all keys up and answers each chunk with codes in
 the order asked, and a chunk adds up its documents. Contexts of over a
@@ -226,7 +226,7 @@ class Chunk:
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[Chunk]:
-    """Of (doc_id, held_out, text); the same for the same partition of the input."""
+    """Of (doc_id, held_out, text)."""
     part, count = TaskContext.get().partitionId(), 0
 
     def made() -> Chunk:
@@ -297,9 +297,30 @@ def _cells(rows: list[tuple]) -> pa.RecordBatch:
     return pa.record_batch([pa.array(s, pa.int32()), pa.array(k, pa.int64()), pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(c, pa.binary())], ["shard", "chunk", "a", "b", "c"])
 
 
+def _chunk_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Chunks as cells: shard -1, word hashes, token indices, ids and lengths."""
+    for c in _chunks(batches):
+        info = pa.table({"id": pa.array(c.ids, pa.int64()), "held": pa.array(c.held, pa.bool_()), "end": pa.array(c.ends, pa.int64())})
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, info.schema) as f:
+            f.write_table(info)
+        yield _cells([(-1, c.name, _pack_rising(c.words), _pack_any(c.tokens), sink.getvalue().to_pybytes())])
+
+
+def _load(name: int, a: bytes, b: bytes, c: bytes) -> Chunk:
+    info = pa.ipc.open_stream(c).read_all()
+    return Chunk(name, info["id"].to_pylist(), info["held"].to_pylist(), _open_rising(a), _open_any(b).astype(np.int64), info["end"].to_numpy())
+
+
+def _loaded(batches: Iterator[pa.RecordBatch]) -> Iterator[Chunk]:
+    for batch in batches:
+        for name, a, b, c in zip(batch["chunk"].to_pylist(), batch["a"], batch["b"], batch["c"], strict=True):
+            yield _load(name, a.as_py(), b.as_py(), c.as_py())
+
+
 def _unigram_cells(shards: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for c in _chunks(batches):
+        for c in _loaded(batches):
             n = np.bincount(c.tokens[_training(c)], minlength=len(c.words))
             yield _cells([(s, c.name, _pack_rising(c.words[at]), _pack_any(n[at]), None) for s, at in _by_shard(_shard(c.words, shards))])
 
@@ -335,7 +356,7 @@ def _runs(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _bigram_cells(shards: int, hot: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for c in _chunks(batches):
+        for c in _loaded(batches):
             u, w, pair = _pairs(c)
             n = np.bincount(pair[_training(c)], minlength=len(u))
             context, word = _keys_of(c)
@@ -402,16 +423,6 @@ def _probability(codes: np.ndarray) -> np.ndarray:
     return np.where(codes > 0, 10.0 ** ((codes.astype(np.float64) - 65535) / CODE), 0.0)
 
 
-def _chunk_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """What a chunk needs to be scored later: shard -1, word hashes, token indices, ids and lengths."""
-    for c in _chunks(batches):
-        info = pa.table({"id": pa.array(c.ids, pa.int64()), "held": pa.array(c.held, pa.bool_()), "end": pa.array(c.ends, pa.int64())})
-        sink = pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, info.schema) as f:
-            f.write_table(info)
-        yield _cells([(-1, c.name, _pack_rising(c.words), _pack_any(c.tokens), sink.getvalue().to_pybytes())])
-
-
 def _score_chunk(shards: int, hot_words: np.ndarray, starts: int, n_train: int, v_train: int):
     def run(group: pa.Table) -> pa.Table:
         own, counts, codes = None, {}, {}
@@ -422,8 +433,7 @@ def _score_chunk(shards: int, hot_words: np.ndarray, starts: int, n_train: int,
                 counts[s] = _open_any(a.as_py())
             else:
                 codes[s] = _open_any(b.as_py())
-        info = pa.ipc.open_stream(own[2]).read_all()
-        chunk = Chunk(group["chunk"][0].as_py(), info["id"].to_pylist(), info["held"].to_pylist(), _open_rising(own[0]), _open_any(own[1]).astype(np.int64), info["end"].to_numpy())
+        chunk = _load(group["chunk"][0].as_py(), *own)
         c = np.zeros(len(chunk.words) + 1)
         for s, at in _by_shard(_shard(chunk.words, shards)):
             c[at] = counts.pop(s)
@@ -441,7 +451,7 @@ def _score_chunk(shards: int, hot_words: np.ndarray, starts: int, n_train: int,
         total = lambda x: np.add.reduceat(x, first)
         known = total((c[:-1] > 0)[chunk.tokens].astype(np.int64))
         return pa.table({
-            "doc_id": info["id"], "held_out": info["held"], "n_tokens": pa.array(np.diff(chunk.ends, prepend=0), pa.int64()), "n_known": pa.array(known, pa.int64()),
+            "doc_id": pa.array(chunk.ids, pa.int64()), "held_out": pa.array(chunk.held, pa.bool_()), "n_tokens": pa.array(np.diff(chunk.ends, prepend=0), pa.int64()), "n_known": pa.array(known, pa.int64()),
             "train_tokens": pa.array([n_train] * len(first), pa.int64()), "base_score": pa.array(total(base)), "score": pa.array(total(smooth)),
         })
 
@@ -463,7 +473,8 @@ def score(docs: DataFrame) -> DataFrame:
     shards = 1 + int(size.chars // SHARD_CHARS)
     # The hot list holds at most (chars / 2 + documents) / least_hot words.
     least_hot = max(2.0, size.chars / 8 / HOT)
-    asked = src.mapInArrow(_unigram_cells(shards), CELLS)
+    chunks = stored(src.mapInArrow(_chunk_cells, CELLS))
+    asked = chunks.mapInArrow(_unigram_cells(shards), CELLS)
     counts = stored(asked.groupBy("shard").applyInArrow(_count_shard(least_hot), CELLS))
     known = n = 0
     hot = {}
@@ -474,6 +485,6 @@ def score(docs: DataFrame) -> DataFrame:
     hot.pop(int(END), None)  # never a context
     hot[int(START)] = size.starts
     hot_words = np.array(sorted(hot), np.uint64)
-    answers = src.mapInArrow(_bigram_cells(shards, hot_words), CELLS).groupBy("shard").applyInArrow(_answer_shard({k >> 16: v for k, v in hot.items()}), CELLS)
-    everything = src.mapInArrow(_chunk_cells, CELLS).unionByName(counts.where("chunk is not null")).unionByName(answers)
+    answers = chunks.mapInArrow(_bigram_cells(shards, hot_words), CELLS).groupBy("shard").applyInArrow(_answer_shard({k >> 16: v for k, v in hot.items()}), CELLS)
+    everything = chunks.unionByName(counts.where("chunk is not null")).unionByName(answers)
     return everything.groupBy("chunk").applyInArrow(_score_chunk(shards, hot_words, size.starts, n, known), SCHEMA)
