@@ -225,7 +225,7 @@ class Chunk:
     ends: np.ndarray  # of documents in tokens
 
 
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[Chunk]:
+def _chunks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[Chunk]:
     """Of (doc_id, held_out, text)."""
     part, count = TaskContext.get().partitionId(), 0
 
@@ -245,7 +245,7 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[Chunk]:
             hashes.append(row)
             lengths.append(len(row))
             total += len(row)
-            if total >= CHUNK:
+            if total >= most:
                 yield made()
                 count += 1
                 ids, held, hashes, lengths, total = [], [], [], [], 0
@@ -297,14 +297,18 @@ def _cells(rows: list[tuple]) -> pa.RecordBatch:
     return pa.record_batch([pa.array(s, pa.int32()), pa.array(k, pa.int64()), pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(c, pa.binary())], ["shard", "chunk", "a", "b", "c"])
 
 
-def _chunk_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _chunk_cells(most: int):
     """Chunks as cells: shard -1, word hashes, token indices, ids and lengths."""
-    for c in _chunks(batches):
-        info = pa.table({"id": pa.array(c.ids, pa.int64()), "held": pa.array(c.held, pa.bool_()), "end": pa.array(c.ends, pa.int64())})
-        sink = pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, info.schema) as f:
-            f.write_table(info)
-        yield _cells([(-1, c.name, _pack_rising(c.words), _pack_any(c.tokens), sink.getvalue().to_pybytes())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for c in _chunks(batches, most):
+            info = pa.table({"id": pa.array(c.ids, pa.int64()), "held": pa.array(c.held, pa.bool_()), "end": pa.array(c.ends, pa.int64())})
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, info.schema) as f:
+                f.write_table(info)
+            yield _cells([(-1, c.name, _pack_rising(c.words), _pack_any(c.tokens), sink.getvalue().to_pybytes())])
+
+    return run
 
 
 def _load(name: int, a: bytes, b: bytes, c: bytes) -> Chunk:
@@ -461,7 +465,7 @@ def _score_chunk(shards: int, hot_words: np.ndarray, starts: int, n_train: int,
 SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def score(docs: DataFrame) -> DataFrame:
+def score(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """One row for each row of docs: SCHEMA.
 
     Null and empty texts have the end token only. A null id counts as training.
@@ -473,7 +477,7 @@ def score(docs: DataFrame) -> DataFrame:
     shards = 1 + int(size.chars // SHARD_CHARS)
     # The hot list holds at most (chars / 2 + documents) / least_hot words.
     least_hot = max(2.0, size.chars / 8 / HOT)
-    chunks = stored(src.mapInArrow(_chunk_cells, CELLS))
+    chunks = stored(src.mapInArrow(_chunk_cells(chunk), CELLS))
     asked = chunks.mapInArrow(_unigram_cells(shards), CELLS)
     counts = stored(asked.groupBy("shard").applyInArrow(_count_shard(least_hot), CELLS))
     known = n = 0

@@ -282,8 +282,10 @@ def _kept(text: bytes, lo: list | None, hi: list | None) -> tuple[list[bytes], i
 
 
 def _joined(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    named = _lent(spans, "lo").select(F.col("doc_id").alias("_id"), F.col("lo").alias("_lo"), F.col("hi").alias("_hi"))
-    return docs.select("*", F.col("doc_id").cast("long").alias("_key")).join(named, F.col("_key") == F.col("_id"), "left").drop("_id", "_key")
+    """Columns of docs by position, then lo and hi."""
+    at = docs.columns.index("doc_id")
+    rows = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
+    return rows.join(_lent(spans, "lo"), rows[f"c{at}"].cast("long") == F.col("doc_id"), "left").drop("doc_id")
 
 
 def dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -305,22 +307,23 @@ def dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             yield pa.record_batch([b.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha, pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return _joined(src, removals(docs, length)).select("doc_id", "text", "_lo", "_hi").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return _joined(src, removals(docs, length)).mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def strip(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """docs with the repeated words taken out of text; a text that loses none is
     unchanged, others have their kept words joined by one space. Every row stays."""
 
+    at, names = docs.columns.index("text"), docs.columns
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            at = b.schema.get_field_index("text")
             texts = []
-            for text, raw, lo, hi in zip(b.column(at).to_pylist(), text_bytes(b.column(at)), b.column(b.num_columns - 2).to_pylist(), b.column(b.num_columns - 1).to_pylist(), strict=True):
+            *cols, lows, highs = b.columns
+            for text, raw, lo, hi in zip(cols[at].to_pylist(), text_bytes(cols[at]), lows.to_pylist(), highs.to_pylist(), strict=True):
                 words, removed = _kept(raw, lo, hi)
                 texts.append(b" ".join(words).decode() if removed else text)
-            cols = list(b.columns[:-2])
-            cols[at] = pa.array(texts, b.schema.field(at).type)
-            yield pa.RecordBatch.from_arrays(cols, names=b.schema.names[:-2])
+            cols[at] = pa.array(texts, cols[at].type)
+            yield pa.RecordBatch.from_arrays(cols, names=names)
 
     return _joined(docs, removals(docs, length)).mapInArrow(run, docs.schema)
