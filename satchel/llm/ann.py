@@ -34,7 +34,7 @@ from satchel.llm.common import stored
 RESULTS = 20
 EVERY = 20  # queries are the ids that it divides
 TABLES = 2
-TARGET = 0.97  # chance that one table or another finds a neighbour at distance r
+TARGET = 0.96  # chance that one table or another finds a neighbour at distance r
 SAMPLE, PROBED = 20_000, 256
 SHARD = 32_768  # index rows
 SEED = 42
@@ -53,9 +53,9 @@ class Hashing:
 
     @classmethod
     def make(cls, rows: int, d: int, norm: float, r: float) -> Hashing:
-        k = max(4, round(0.8 * math.log2(max(rows, 2))))
+        k = max(4, round(0.5 * math.log2(max(rows, 2))))
         rng = np.random.default_rng(SEED)
-        width = 2.2 * r
+        width = 2.5 * r
         return cls(norm, r, width, rng.normal(size=(TABLES, k, d + 1)), rng.uniform(0, width, (TABLES, k)), rng.integers(0, 1 << 63, k, dtype=np.uint64) | np.uint64(1))
 
     def fold(self, table: int, cells: np.ndarray) -> np.ndarray:
@@ -146,27 +146,23 @@ def _routed(classes: DataFrame, hashing: Hashing, shards: int, hot: np.ndarray,
             if not b.num_rows:
                 continue
             ids, x = b.column(0).to_numpy(), _matrix(b.column(1))
-            at, shard, cells = [], [], []
-            if queries:
-                for i in range(len(ids)):
-                    cell = np.concatenate(hashing.probes(x[i]))
-                    to = (cell.view(np.uint64) % np.uint64(shards)).astype(np.int64)
-                    warm = np.isin(cell, hot)
-                    for s in range(shards) if warm.any() else np.unique(to).tolist():
-                        at.append(i)
-                        shard.append(s)
-                        cells.append(cell[(to == s) | warm])
-            else:
+            if not queries:
                 for row in hashing.buckets(x):
                     to = np.where(np.isin(row, hot), ids % shards, (row.view(np.uint64) % np.uint64(shards)).astype(np.int64))
-                    at += range(len(ids))
-                    shard += to.tolist()
-                    cells += [[c] for c in row.tolist()]
-            for i in range(0, len(at), 2048):
-                k = at[i : i + 2048]
-                flat = pa.array(x[k].reshape(-1))
-                v = pa.ListArray.from_arrays(pa.array(np.arange(0, len(k) * x.shape[1] + 1, x.shape[1], dtype=np.int32)), flat)
-                yield pa.record_batch([pa.array(shard[i : i + 2048], pa.int32()), pa.array([int(queries)] * len(k), pa.int32()), pa.array(ids[k]), v, pa.array(cells[i : i + 2048], pa.list_(pa.int64()))], ["shard", "kind", "id", "v", "cells"])
+                    yield cells_of(to, ids, x, row[:, None])
+                continue
+            for i in range(len(ids)):
+                cell = np.concatenate(hashing.probes(x[i]))
+                to = (cell.view(np.uint64) % np.uint64(shards)).astype(np.int64)
+                warm = np.isin(cell, hot)
+                where = np.arange(shards) if warm.any() else np.unique(to)
+                yield cells_of(where, np.full(len(where), ids[i]), np.repeat(x[i : i + 1], len(where), 0), [cell[(to == s) | warm] for s in where.tolist()])
+
+    def cells_of(shard: np.ndarray, ids: np.ndarray, x: np.ndarray, cells: list) -> pa.RecordBatch:
+        v = pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32)), pa.array(x.reshape(-1)))
+        ends = np.concatenate([[0], np.cumsum([len(c) for c in cells])]).astype(np.int32)
+        flat = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(cells)))
+        return pa.record_batch([pa.array(shard, pa.int32()), pa.array(np.full(len(ids), int(queries), np.int32)), pa.array(ids), v, flat], ["shard", "kind", "id", "v", "cells"])
 
     return classes.select("id", "v").mapInArrow(run, ROUTED)
 
