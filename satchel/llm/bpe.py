@@ -38,8 +38,8 @@ PLAIN_CUT = re.compile(rf"'(?:[stmd]|re|ve|ll)| ?[{LETTERS}]+| ?[0-9]+| ?[^\t-\r
 class Tokenizer:
     """Ranks of a tiktoken file and the pattern that cuts texts."""
 
-    #: Pieces remembered, each of up to KEEP bytes; others are encoded anew.
-    MOST, KEEP = 500_000, 64
+    #: Pieces of up to KEEP characters are remembered, the last MOST to 2 * MOST that came; others are encoded anew.
+    MOST, KEEP = 150_000, 64
 
     def __init__(self, path: str, pattern: str) -> None:
         with open(path, "rb") as f:
@@ -47,6 +47,7 @@ class Tokenizer:
         self.tokens = {i: t for t, i in self.ranks.items()}
         self.general, self.plain = regex.compile(pattern).findall, pattern == GENERAL
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def piece(self, b: bytes) -> list[int]:
         """Ids of one piece, by the segment tree."""
@@ -113,10 +114,13 @@ class Tokenizer:
         for s in self.cut(text):
             ids = known.get(s)
             if ids is None:
-                ids = array("I", self.piece(s.encode())).tobytes()
+                ids = self.older.get(s)
+                if ids is None:
+                    ids = array("I", self.piece(s.encode())).tobytes()
                 if len(s) <= self.KEEP:
                     if len(known) >= self.MOST:
-                        known.clear()
+                        self.older, known = known, {}
+                        self.known = known
                     known[s] = ids
             out.append(ids)
         return b"".join(out)

@@ -2,39 +2,23 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
-import zipfile
 from collections.abc import Callable, Iterator
-from pathlib import Path
 
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from satchel.session import ship
+
 #: A word is a run of characters other than ASCII white space. bytes.split()
 #: without an argument cuts at exactly these six bytes.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACES = " \t\n\x0b\x0c\r"
 
 
-def ship(spark: SparkSession) -> None:
-    """Gives this package to the executors' Python workers, once for each application."""
-    sc = spark.sparkContext
-    if getattr(sc, "_satchel_shipped", False):
-        return
-    top = Path(__file__).resolve().parents[1]
-    # The driver's own file; Spark sends it to the executors.
-    made = os.path.join(os.path.realpath(tempfile.mkdtemp(prefix="satchel-")), "satchel.zip")
-    with zipfile.ZipFile(made, "w") as z:
-        for f in sorted(top.rglob("*.py")):
-            z.write(f, f.relative_to(top.parent))
-    sc.addPyFile(made)
-    sc._satchel_shipped = True
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -59,11 +43,12 @@ def stored(df: DataFrame) -> DataFrame:
 
 
 def map_batches(df: DataFrame, each: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
-    """each over every Arrow batch of df."""
+    """each over the Arrow batches of df, a thousand rows at a time to hold few texts and results."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield each(b)
+            for i in range(0, b.num_rows, 1000):
+                yield each(b.slice(i, 1000))
 
     return df.mapInArrow(run, schema)
 
@@ -82,7 +67,7 @@ def held_out(doc_id: Column, of: int) -> Column:
 class WordHash(dict):
     """XXH64 by word, remembered for the words met last."""
 
-    MOST = 400_000
+    MOST = 150_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.MOST:

@@ -44,7 +44,7 @@ _tokens = re.compile(rb"[a-z\x80-\xff]+").findall
 
 class _Bucket(dict):
     def __missing__(self, token: bytes) -> int:
-        if len(self) >= 400_000:
+        if len(self) >= 150_000:
             self.clear()
         b = self[token] = xxhash.xxh32_intdigest(token) & (BUCKETS - 1)
         return b
