@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +12,10 @@ from satchel.functions import arrays, binary, paths, text
 from satchel.functions import json as js
 from satchel.operators import codec, integrity, manifest, tables
 from satchel.operators.patterns import Pattern, ancestors, glob_match, mark_unpacked, match_any, matches, pattern_table, read_patterns, select
-from satchel.session import ship
+from satchel.session import shared_dir, ship
+from satchel.sources.archive import read_archive, write_archive
+from satchel.sources.files import read_files
+from satchel.sources.sinks import extract
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -163,14 +167,14 @@ def exclude_tree(spark, d):
     return select(tree(spark, d), exclude=["A*/*", "E*"]).select("path")
 
 
-@query(f"WITH {T} SELECT path FROM t WHERE regexp_extract(path, '([^/]*)$', 1) GLOB '*A' OR regexp_extract(coalesce(parent_path, ''), '([^/]*)$', 1) GLOB '*A' OR split_part(path, '/', 1) GLOB '*A' OR path GLOB 'EUROPE/[F-G]*'")
+@query(f"WITH {T} SELECT path FROM t WHERE regexp_extract(path, '([^/]*)$', 1) GLOB '*A' OR regexp_extract(coalesce(parent_path, ''), '([^/]*)$', 1) GLOB '*A' OR split_part(path, '/', 1) GLOB '*A' OR path GLOB 'EUROPE/*_[1-5]' OR coalesce(parent_path, '') GLOB 'EUROPE/*_[1-5]'")
 def include_tree(spark, d):
-    return select(tree(spark, d), include=["*A", "EUROPE/[F-G]*"]).select("path")
+    return select(tree(spark, d), include=["*A", "EUROPE/*_[1-5]"]).select("path")
 
 
-@query(f"WITH {T} SELECT path FROM t WHERE path = 'ASIA' OR path LIKE 'ASIA/%' OR path = 'EUROPE/FRANCE' OR path LIKE 'EUROPE/FRANCE/%'")
+@query(f"WITH {T} SELECT path FROM t WHERE path = 'ASIA' OR path LIKE 'ASIA/%' OR path = 'EUROPE/NATION_3' OR path LIKE 'EUROPE/NATION_3/%'")
 def include_literal(spark, d):
-    return select(tree(spark, d), paths=["ASIA", "EUROPE/FRANCE"]).select("path")
+    return select(tree(spark, d), paths=["ASIA", "EUROPE/NATION_3"]).select("path")
 
 
 @query(f"WITH {T} SELECT path, regexp_extract(path, '([^/]*)$', 1) GLOB '*1' OR path GLOB 'ASIA/*' AS unpacked FROM t WHERE NOT (coalesce(parent_path, '') GLOB 'ASIA/*' OR coalesce(parent_path, '') GLOB '*1')")
@@ -206,10 +210,10 @@ def parent_child(spark, d):
     return manifest.children(tree(spark, d))
 
 
-@query(f"WITH {T}, r AS (SELECT path FROM t WHERE path GLOB '*/[C-J]*' AND is_dir) SELECT t.path FROM t WHERE EXISTS (SELECT 1 FROM r WHERE t.path = r.path OR starts_with(t.path, r.path || '/'))")
+@query(f"WITH {T}, r AS (SELECT path FROM t WHERE path GLOB '*/*_1[0-9]' AND is_dir) SELECT t.path FROM t WHERE EXISTS (SELECT 1 FROM r WHERE t.path = r.path OR starts_with(t.path, r.path || '/'))")
 def ancestor_join(spark, d):
     t = tree(spark, d)
-    return manifest.under(t, t.where(F.col("is_dir") & glob_match(F.col("path"), "*/[C-J]*"))).select("path")
+    return manifest.under(t, t.where(F.col("is_dir") & glob_match(F.col("path"), "*/*_1[0-9]"))).select("path")
 
 
 @query(f"WITH {T}, x AS (SELECT path, string_split(path, '/') AS s FROM t) SELECT path, CAST(k AS INTEGER) AS depth, array_to_string(s[1:k + 1], '/') AS ancestor FROM (SELECT path, s, unnest(range(0, len(s))) AS k FROM x)")
@@ -606,3 +610,41 @@ def deflate_roundtrip(spark, d):
 @query(f"WITH {M} SELECT ordinal, CAST(size AS DOUBLE) / original_size AS ratio FROM m WHERE packed_z AND size > 0")
 def compress_ratio(spark, d):
     return members(spark, d).where(manifest.compressed() & (F.col("size") > 0)).select("ordinal", codec.ratio().alias("ratio"))
+
+
+# Archives: documents written to the shared folder as an archive and read back
+
+
+def _written(spark: SparkSession, d: str, kind: str, **options: str) -> str:
+    path = f"{shared_dir(spark)}/satchel-{uuid.uuid4().hex}.{kind}"
+    write_archive(members(spark, d, content=True).select("path", "content", "executable", "unpacked"), path, **options)
+    return path
+
+
+LAID = f"""{M}, o AS (SELECT *, CASE WHEN unpacked THEN -1 ELSE CAST(coalesce(sum(CASE WHEN unpacked THEN 0 ELSE size END) OVER
+  (ORDER BY string_split(path, '/') ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) END AS off FROM m)"""
+
+
+@query(f"""WITH {LAID} SELECT path, name, parent_path, size, off AS "offset", executable, unpacked, CASE WHEN unpacked THEN '' ELSE sha256(encode(text)) END AS hash FROM o""")
+def scan_archive(spark, d):
+    m = read_archive(spark, _written(spark, d, "asar", integrity="true")).where(~F.col("is_dir"))
+    return m.select("path", "name", "parent_path", "size", F.coalesce("offset", F.lit(-1)).alias("offset"), "executable", "unpacked", F.coalesce(binary.hex_encode(F.col("integrity.hash")), F.lit("")).alias("hash"))
+
+
+@query(f"WITH {LAID}, d AS (SELECT DISTINCT source AS path FROM documents UNION SELECT DISTINCT source || '/' || lang FROM documents) SELECT path, false AS is_dir FROM o UNION ALL SELECT path, true FROM d")
+def scan_bsar(spark, d):
+    return read_archive(spark, _written(spark, d, "bsar", compress="true")).select("path", "is_dir")
+
+
+@query(f"WITH {M} SELECT path, sha256(encode(text)) AS sha256, size AS n FROM m WHERE NOT unpacked")
+def member_bytes(spark, d):
+    m = read_archive(spark, _written(spark, d, "bsar", compress="true"), content=True, split="1000000")
+    return manifest.packed(m).select("path", F.sha2("content", 256).alias("sha256"), F.octet_length("content").cast("long").alias("n"))
+
+
+@query(f"WITH {M} SELECT 'root/' || path AS path, size FROM m WHERE NOT unpacked AND NOT (name GLOB '*5.txt')")
+def scan_files(spark, d):
+    """Extracted and read again as files, with one exclusion."""
+    root = f"{shared_dir(spark).removeprefix('file://')}/satchel-{uuid.uuid4().hex}/root"
+    extract(read_archive(spark, _written(spark, d, "asar"), content=True), root)
+    return read_files(spark, root, exclude=["*5.txt"]).where(~F.col("is_dir")).select("path", "size")
