@@ -3,11 +3,14 @@
 Largest inner product becomes nearest Euclidean neighbour: with M the largest
 norm, x goes to (x / M, sqrt(1 - |x|^2 / M^2)) and a query to (q / |q|, 0). In
 each of TABLES tables k Gaussian projections, shifted and cut into cells of
-width w, give a bucket. For a neighbour at distance r the difference of a
-projection is normal with deviation r, so the chance that it lies in a bucket
-is a product of k normal intervals; a query visits buckets from the likeliest
-down until their chances add up to what the recall needs. Candidates of all
-tables are ranked by the exact inner product of the original vectors.
+width w, give a bucket. All these are unit vectors, so a neighbour at distance
+r is c q + s u with c = 1 - r^2 / 2, s^2 = 1 - c^2 and u a unit vector across
+q: its projection is normal around c times the query's with deviation s. The
+chance that it lies in a bucket is thus a product of k normal intervals, and so
+is the chance of any vector. A query visits buckets in the order of their
+ratio, those that favour a neighbour most first, until the chances of a
+neighbour add up to what the recall needs. Candidates of all tables are ranked
+by the exact inner product of the original vectors.
 
 Equal vectors are one class, of which the least ids are kept as far as an
 answer can need them; every row is indexed. A shard holds buckets by hash;
@@ -33,8 +36,8 @@ from satchel.llm.common import stored
 
 RESULTS = 20
 EVERY = 20  # queries are the ids that it divides
-TABLES = 2
-TARGET = 0.96  # chance that one table or another finds a neighbour at distance r
+TABLES = 4
+TARGET = 0.97  # chance that one table or another finds a neighbour at distance r
 SAMPLE, PROBED = 20_000, 256
 SHARD = 32_768  # index rows
 SEED = 42
@@ -53,7 +56,7 @@ class Hashing:
 
     @classmethod
     def make(cls, rows: int, d: int, norm: float, r: float) -> Hashing:
-        k = max(4, round(0.5 * math.log2(max(rows, 2))))
+        k = max(4, round(0.64 * math.log2(max(rows, 2))))
         rng = np.random.default_rng(SEED)
         width = 2.5 * r
         return cls(norm, r, width, rng.normal(size=(TABLES, k, d + 1)), rng.uniform(0, width, (TABLES, k)), rng.integers(0, 1 << 63, k, dtype=np.uint64) | np.uint64(1))
@@ -72,28 +75,31 @@ class Hashing:
     def probes(self, q: np.ndarray) -> list[np.ndarray]:
         """Buckets of one query in each table, likeliest first."""
         v = np.append(q / np.linalg.norm(q), 0.0)
+        cosine = 1 - self.r**2 / 2
+        spread = math.sqrt(max(1 - cosine**2, 1e-6))
         each = 1 - (1 - TARGET) ** (1 / len(self.a))
         out = []
         for t in range(len(self.a)):
-            p = (self.a[t] @ v + self.b[t]) / self.width
-            base = np.floor(p)
+            p = cosine * (self.a[t] @ v) + self.b[t]
+            base = np.floor(p / self.width)
             steps = np.arange(-3, 5)
-            edge = (base[:, None] + steps - p[:, None]) * self.width / self.r
+            edge = ((base[:, None] + steps) * self.width - p[:, None]) / spread
             cdf = 0.5 * (1 + _erf(edge / math.sqrt(2)))
             chance = np.diff(cdf, axis=1)  # k x 7 neighbouring cells
-            least = each / 16
+            plain = np.diff(0.5 * (1 + _erf((edge * spread + p[:, None] - self.b[t][:, None]) / math.sqrt(2))), axis=1)
+            gain = np.log(np.maximum(chance, 1e-300)) - np.log(np.maximum(plain, 1e-300))
+            least = 1e-3
             while True:
-                total, cells = np.ones(1), np.zeros((1, 0))
+                total, won, cells = np.ones(1), np.zeros(1), np.zeros((1, 0))
                 for j in range(len(p)):
                     # The best that the other projections can still give.
                     rest = chance[j + 1 :].max(1).prod()
-                    grown = total[:, None] * chance[j]
-                    i, c = np.nonzero(grown * rest >= least)
-                    total, cells = grown[i, c], np.concatenate([cells[i], (base[j] + steps[c])[:, None]], 1)
-                if total.sum() >= each or least < 1e-7:
+                    i, c = np.nonzero(total[:, None] * chance[j] * rest >= least)
+                    total, won, cells = total[i] * chance[j, c], won[i] + gain[j, c], np.concatenate([cells[i], (base[j] + steps[c])[:, None]], 1)
+                if total.sum() >= (1 + each) / 2 or least < 1e-7:
                     break
                 least /= 4
-            order = np.argsort(-total, kind="stable")
+            order = np.argsort(-won, kind="stable")
             stop = int(np.searchsorted(np.cumsum(total[order]), each)) + 1
             out.append(self.fold(t, cells[order[:stop]]))
         return out
@@ -205,8 +211,8 @@ def _search(routed: DataFrame, top: int) -> DataFrame:
                     rows = np.repeat(first[k] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
                     # A vector is here once a table at most; equal scores keep the smaller id.
                     near = x[rows] @ v
-                    if len(near) > 2 * top:
-                        floor = np.partition(near, len(near) - 2 * top)[len(near) - 2 * top]
+                    if len(near) > TABLES * top:
+                        floor = np.partition(near, len(near) - TABLES * top)[len(near) - TABLES * top]
                         rows = rows[near >= floor - 1e-9]
                     rows = rows[np.unique(ids[rows], return_index=True)[1]]
                     exact = (x[rows] * v).sum(1)
