@@ -8,7 +8,7 @@ probability. The arrays are plain bytes, so a trie opens from a memory-mapped
 file or from a binary cell without a copy.
 
 A corpus-sized trie fits no single machine, so no trie is broadcast. Documents
-are read once, into stored chunks of about CHUNK tokens; a chunk sends each shard the distinct
+are read in chunks of about CHUNK tokens; a chunk sends each shard the distinct
 keys it needs, with their counts from training documents, a shard sums the
 counts, builds its trie, looks all keys up and answers each chunk with codes in
 the order asked, and a chunk adds up its documents. Contexts of over a
@@ -35,12 +35,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from satchel.llm.common import WordHash, held_out, stored, text_bytes
+from satchel.llm.common import held_out, stored, text_bytes
 
 MU = 8.0
 ALPHA = 0.1
 FOLDS = 10
-CHUNK = 400_000  # tokens; a chunk ends with the document that reaches it
+CHUNK = 600_000  # tokens; a chunk ends with the document that reaches it
 SHARD_CHARS = 8_000_000  # of the corpus for each shard
 HOT = 1000  # a context over 1/HOT of the tokens is spread
 CODE = 65534 / 14.0  # steps for each power of ten; code 0 is absent
@@ -48,7 +48,6 @@ WORD_BITS = 40
 
 END = np.uint64(xxhash.xxh64_intdigest(b" end"))
 START = np.uint64(xxhash.xxh64_intdigest(b" start"))
-_hash = WordHash()
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -225,30 +224,37 @@ class Chunk:
     ends: np.ndarray  # of documents in tokens
 
 
+class _Codes(dict):
+    """0, 1, ... by first appearance."""
+
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = len(self)
+        return n
+
+
 def _chunks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[Chunk]:
-    """Of (doc_id, held_out, text)."""
+    """Of (doc_id, held_out, text). Chunks of one partition are the same in every pass; answers are checked against what was asked."""
     part, count = TaskContext.get().partitionId(), 0
+    end = b" end"  # no word has a space
 
     def made() -> Chunk:
-        words, tokens = np.unique(np.concatenate(hashes), return_inverse=True)
-        return Chunk((part << 32) | count, ids, held, words, tokens, np.cumsum(lengths))
+        hashes = np.fromiter(map(xxhash.xxh64_intdigest, codes), np.uint64, len(codes))
+        words, place = np.unique(hashes, return_inverse=True)
+        return Chunk((part << 32) | count, ids, held, words, place[np.concatenate(rows)], np.cumsum([len(r) for r in rows]))
 
-    ids, held, hashes, lengths, total = [], [], [], [], 0
+    codes, ids, held, rows, total = _Codes(), [], [], [], 0
     for b in batches:
         for i, h, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), text_bytes(b.column(2)), strict=True):
             w = text.lower().split()
-            row = np.empty(len(w) + 1, np.uint64)
-            row[:-1] = np.fromiter(map(_hash.__getitem__, w), np.uint64, len(w))
-            row[-1] = END
+            w.append(end)
+            rows.append(np.fromiter(map(codes.__getitem__, w), np.int32, len(w)))
             ids.append(i)
             held.append(h)
-            hashes.append(row)
-            lengths.append(len(row))
-            total += len(row)
+            total += len(w)
             if total >= most:
                 yield made()
                 count += 1
-                ids, held, hashes, lengths, total = [], [], [], [], 0
+                codes, ids, held, rows, total = _Codes(), [], [], [], 0
     if ids:
         yield made()
 
@@ -316,15 +322,9 @@ def _load(name: int, a: bytes, b: bytes, c: bytes) -> Chunk:
     return Chunk(name, info["id"].to_pylist(), info["held"].to_pylist(), _open_rising(a), _open_any(b).astype(np.int64), info["end"].to_numpy())
 
 
-def _loaded(batches: Iterator[pa.RecordBatch]) -> Iterator[Chunk]:
-    for batch in batches:
-        for name, a, b, c in zip(batch["chunk"].to_pylist(), batch["a"], batch["b"], batch["c"], strict=True):
-            yield _load(name, a.as_py(), b.as_py(), c.as_py())
-
-
-def _unigram_cells(shards: int):
+def _unigram_cells(shards: int, most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for c in _loaded(batches):
+        for c in _chunks(batches, most):
             n = np.bincount(c.tokens[_training(c)], minlength=len(c.words))
             yield _cells([(s, c.name, _pack_rising(c.words[at]), _pack_any(n[at]), None) for s, at in _by_shard(_shard(c.words, shards))])
 
@@ -358,9 +358,9 @@ def _runs(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(a, return_counts=True)
 
 
-def _bigram_cells(shards: int, hot: np.ndarray):
+def _bigram_cells(shards: int, hot: np.ndarray, most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for c in _loaded(batches):
+        for c in _chunks(batches, most):
             u, w, pair = _pairs(c)
             n = np.bincount(pair[_training(c)], minlength=len(u))
             context, word = _keys_of(c)
@@ -477,8 +477,7 @@ def score(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
     shards = 1 + int(size.chars // SHARD_CHARS)
     # The hot list holds at most (chars / 2 + documents) / least_hot words.
     least_hot = max(2.0, size.chars / 8 / HOT)
-    chunks = stored(src.mapInArrow(_chunk_cells(chunk), CELLS))
-    asked = chunks.mapInArrow(_unigram_cells(shards), CELLS)
+    asked = src.mapInArrow(_unigram_cells(shards, chunk), CELLS)
     counts = stored(asked.groupBy("shard").applyInArrow(_count_shard(least_hot), CELLS))
     known = n = 0
     hot = {}
@@ -489,6 +488,7 @@ def score(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
     hot.pop(int(END), None)  # never a context
     hot[int(START)] = size.starts
     hot_words = np.array(sorted(hot), np.uint64)
-    answers = chunks.mapInArrow(_bigram_cells(shards, hot_words), CELLS).groupBy("shard").applyInArrow(_answer_shard({k >> 16: v for k, v in hot.items()}), CELLS)
-    everything = chunks.unionByName(counts.where("chunk is not null")).unionByName(answers)
+    answers = src.mapInArrow(_bigram_cells(shards, hot_words, chunk), CELLS).groupBy("shard").applyInArrow(_answer_shard({k >> 16: v for k, v in hot.items()}), CELLS)
+    # The texts come first, so that their partitions have the same numbers as before.
+    everything = src.mapInArrow(_chunk_cells(chunk), CELLS).unionByName(counts.where("chunk is not null")).unionByName(answers)
     return everything.groupBy("chunk").applyInArrow(_score_chunk(shards, hot_words, size.starts, n, known), SCHEMA)
