@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from satchel.llm.common import stored
+from satchel.llm.common import stored, tidied
 
 RESULTS = 20
 EVERY = 20  # queries are the ids that it divides
@@ -170,7 +170,7 @@ def _routed(classes: DataFrame, hashing: Hashing, shards: int, hot: np.ndarray,
         flat = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(cells)))
         return pa.record_batch([pa.array(shard, pa.int32()), pa.array(np.full(len(ids), int(queries), np.int32)), pa.array(ids), v, flat], ["shard", "kind", "id", "v", "cells"])
 
-    return classes.select("id", "v").mapInArrow(run, ROUTED)
+    return classes.select("id", "v").mapInArrow(tidied(run), ROUTED)
 
 
 def _search(routed: DataFrame, top: int) -> DataFrame:
@@ -222,7 +222,7 @@ def _search(routed: DataFrame, top: int) -> DataFrame:
                     got[2].extend(exact[best].tolist())
                 yield pa.record_batch([pa.array(got[0], pa.int64()), pa.array(got[1], pa.int64()), pa.array(got[2], pa.float64())], ["query", "id", "score"])
 
-    return routed.repartition("shard").sortWithinPartitions("shard", "kind").mapInArrow(run, "query long, id long, score double")
+    return routed.repartition("shard").sortWithinPartitions("shard", "kind").mapInArrow(tidied(run), "query long, id long, score double")
 
 
 def nearest(vectors: DataFrame, every: int = EVERY, results: int = RESULTS) -> DataFrame:
@@ -246,7 +246,7 @@ def nearest(vectors: DataFrame, every: int = EVERY, results: int = RESULTS) -> D
             yield pa.record_batch([pa.array(hashing.buckets(_matrix(b.column(0))).reshape(-1) if b.num_rows else [], pa.int64())], ["cell"])
 
     # At most 64 * TABLES buckets.
-    counts = classes.select("v").mapInArrow(cells, "cell long").groupBy("cell").count().where(F.col("count") > n / 64)
+    counts = classes.select("v").mapInArrow(tidied(cells), "cell long").groupBy("cell").count().where(F.col("count") > n / 64)
     hot = np.array(sorted(r["cell"] for r in counts.collect()), np.int64) if shards > 1 else np.zeros(0, np.int64)
     index = _routed(classes, hashing, shards, hot, False)
     asked = _routed(classes.where("n_queries > 0"), hashing, shards, hot, True)

@@ -39,7 +39,7 @@ class Tokenizer:
     """Ranks of a tiktoken file and the pattern that cuts texts."""
 
     #: Pieces of up to KEEP characters are remembered, the last MOST to 2 * MOST that came; others are encoded anew.
-    MOST, KEEP = 150_000, 64
+    MOST, KEEP = 100_000, 64
 
     def __init__(self, path: str, pattern: str) -> None:
         with open(path, "rb") as f:

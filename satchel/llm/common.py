@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -32,6 +33,31 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+_caches: list[dict] = []
+
+
+def tidy() -> None:
+    """Gives memory of a reused Python worker back: caches of words, Arrow's pool and the C heap."""
+    for cache in _caches:
+        cache.clear()
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
+
+
+def tidied(run: Callable) -> Callable:
+    """run, then tidy()."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            tidy()
+
+    return wrapped
+
+
 def map_batches(df: DataFrame, each: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
     """each over the Arrow batches of df, a thousand rows at a time to hold few texts and results."""
 
@@ -40,7 +66,7 @@ def map_batches(df: DataFrame, each: Callable[[pa.RecordBatch], pa.RecordBatch],
             for i in range(0, b.num_rows, 1000):
                 yield each(b.slice(i, 1000))
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(tidied(run), schema)
 
 
 def text_bytes(column: pa.Array) -> Iterator[bytes]:
@@ -55,10 +81,14 @@ def held_out(doc_id: Column, of: int) -> Column:
 
 
 class WordHash(dict):
-    """XXH64 by word, remembered for the words met last."""
+    """XXH64 by word, remembered for the words met last in a task."""
 
     MOST = 150_000
 
+    def __init__(self) -> None:
+        super().__init__()
+        _caches.append(self)
+
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.MOST:
             self.clear()

@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from satchel.llm.common import held_out, stored, text_bytes
+from satchel.llm.common import held_out, stored, text_bytes, tidied
 
 MU = 8.0
 ALPHA = 0.1
@@ -477,7 +477,7 @@ def score(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
     shards = 1 + int(size.chars // SHARD_CHARS)
     # The hot list holds at most (chars / 2 + documents) / least_hot words.
     least_hot = max(2.0, size.chars / 8 / HOT)
-    asked = src.mapInArrow(_unigram_cells(shards, chunk), CELLS)
+    asked = src.mapInArrow(tidied(_unigram_cells(shards, chunk)), CELLS)
     counts = stored(asked.groupBy("shard").applyInArrow(_count_shard(least_hot), CELLS))
     known = n = 0
     hot = {}
@@ -488,7 +488,7 @@ def score(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
     hot.pop(int(END), None)  # never a context
     hot[int(START)] = size.starts
     hot_words = np.array(sorted(hot), np.uint64)
-    answers = src.mapInArrow(_bigram_cells(shards, hot_words, chunk), CELLS).groupBy("shard").applyInArrow(_answer_shard({k >> 16: v for k, v in hot.items()}), CELLS)
+    answers = src.mapInArrow(tidied(_bigram_cells(shards, hot_words, chunk)), CELLS).groupBy("shard").applyInArrow(_answer_shard({k >> 16: v for k, v in hot.items()}), CELLS)
     # The texts come first, so that their partitions have the same numbers as before.
-    everything = src.mapInArrow(_chunk_cells(chunk), CELLS).unionByName(counts.where("chunk is not null")).unionByName(answers)
+    everything = src.mapInArrow(tidied(_chunk_cells(chunk)), CELLS).unionByName(counts.where("chunk is not null")).unionByName(answers)
     return everything.groupBy("chunk").applyInArrow(_score_chunk(shards, hot_words, size.starts, n, known), SCHEMA)

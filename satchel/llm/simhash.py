@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from satchel.llm.common import components, map_batches, stored, text_bytes
+from satchel.llm.common import components, map_batches, stored, text_bytes, tidied
 
 BUDGET = 2
 SEED = 42
@@ -151,7 +151,7 @@ def _join_nodes(nodes: DataFrame, depth: int) -> DataFrame:
         if len(rest[0]):
             yield done(rest)
 
-    return nodes.select("path", "node", "bits", "fp").repartition("path", "node").sortWithinPartitions("path", "node", "bits").mapInArrow(run, "a long, b long")
+    return nodes.select("path", "node", "bits", "fp").repartition("path", "node").sortWithinPartitions("path", "node", "bits").mapInArrow(tidied(run), "a long, b long")
 
 
 def _rotations(bits: Column, path: Column, m: int, step: int) -> Column:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from satchel.llm.common import WordHash, stored, text_bytes
+from satchel.llm.common import WordHash, stored, text_bytes, tidied
 
 LENGTH = 50
 GRAM = 8
@@ -161,7 +161,7 @@ def _segments(docs: DataFrame, length: int) -> DataFrame:
                 cols = [np.concatenate(ids), *(np.concatenate(c) for c in zip(*out, strict=True))]
                 yield pa.record_batch([pa.array(c) for c in cols], ["doc_id", "gram", "seg", "start", "n"])
 
-    return docs.mapInArrow(run, "doc_id long, gram long, seg long, start int, n int")
+    return docs.mapInArrow(tidied(run), "doc_id long, gram long, seg long, start int, n int")
 
 
 def _texts(docs: DataFrame, length: int) -> DataFrame:
@@ -178,7 +178,7 @@ def _texts(docs: DataFrame, length: int) -> DataFrame:
                     texts.append(b" ".join(words[x["start"] : x["start"] + x["n"] - 1 + length]))
             yield pa.record_batch([pa.array(vids, pa.int64()), pa.array(ids, pa.int64()), pa.array(texts, pa.binary())], ["vid", "a", "text"])
 
-    return docs.mapInArrow(run, "vid long, a long, text binary")
+    return docs.mapInArrow(tidied(run), "vid long, a long, text binary")
 
 
 def _windows(texts: DataFrame, length: int) -> DataFrame:
@@ -191,7 +191,7 @@ def _windows(texts: DataFrame, length: int) -> DataFrame:
             flat = np.concatenate(hashes) if hashes else np.zeros(0, np.int64)
             yield pa.record_batch([pa.array(flat), pa.array(np.repeat(b.column(0).to_numpy(), n)), pa.array(np.repeat(b.column(1).to_numpy(), n))], ["window", "vid", "a"])
 
-    return texts.select("vid", "a", "text").mapInArrow(run, "window long, vid long, a long")
+    return texts.select("vid", "a", "text").mapInArrow(tidied(run), "window long, vid long, a long")
 
 
 def _match(pairs: DataFrame, length: int) -> DataFrame:
@@ -211,7 +211,7 @@ def _match(pairs: DataFrame, length: int) -> DataFrame:
             c = list(zip(*rows, strict=True)) or [[], [], []]
             yield pa.record_batch([pa.array(c[0], pa.int64()), pa.array(c[1], pa.int32()), pa.array(c[2], pa.int32())], ["vid", "lo", "hi"])
 
-    return pairs.mapInArrow(run, "vid long, lo int, hi int")
+    return pairs.mapInArrow(tidied(run), "vid long, lo int, hi int")
 
 
 def _merged(spans: DataFrame) -> DataFrame:
@@ -234,7 +234,7 @@ def _merged(spans: DataFrame) -> DataFrame:
             yield pa.record_batch([b.column(0), pa.array(lows, kind), pa.array(highs, kind)], ["doc_id", "lo", "hi"])
 
     # A document has at most as many spans as windows.
-    return spans.groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("s")).mapInArrow(run, "doc_id long, lo array<int>, hi array<int>")
+    return spans.groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("s")).mapInArrow(tidied(run), "doc_id long, lo array<int>, hi array<int>")
 
 
 def _lent(table: DataFrame, array: str) -> DataFrame:
@@ -307,7 +307,7 @@ def dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             yield pa.record_batch([b.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha, pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return _joined(src, removals(docs, length)).mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return _joined(src, removals(docs, length)).mapInArrow(tidied(run), "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def strip(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -326,4 +326,4 @@ def strip(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             cols[at] = pa.array(texts, cols[at].type)
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    return _joined(docs, removals(docs, length)).mapInArrow(run, docs.schema)
+    return _joined(docs, removals(docs, length)).mapInArrow(tidied(run), docs.schema)

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from satchel.llm.common import held_out, text_bytes
+from satchel.llm.common import WordHash, held_out, text_bytes, tidied
 
 BUCKETS = 1 << 20
 SAMPLE = (40_000, 10_000)  # rows of other and toxic texts
@@ -42,9 +42,9 @@ FOLDS = 5
 _tokens = re.compile(rb"[a-z\x80-\xff]+").findall
 
 
-class _Bucket(dict):
+class _Bucket(WordHash):
     def __missing__(self, token: bytes) -> int:
-        if len(self) >= 150_000:
+        if len(self) >= self.MOST:
             self.clear()
         b = self[token] = xxhash.xxh32_intdigest(token) & (BUCKETS - 1)
         return b
@@ -161,8 +161,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = SAMPLE) ->
         for b in batches:
             yield pa.record_batch([b.column(0), pa.array([sketch(t) for t in text_bytes(b.column(1))], pa.int64()), b.column(1)], ["toxic", "sketch", "text"])
 
-    counted = rows.where(~F.col("calibrates")).select("toxic", "text").mapInArrow(sketched, "toxic int, sketch long, text string").dropDuplicates(["toxic", "sketch"])
-    totals = counted.select("toxic", "text").mapInArrow(count, "bucket long, other long, toxic long")
+    counted = rows.where(~F.col("calibrates")).select("toxic", "text").mapInArrow(tidied(sketched), "toxic int, sketch long, text string").dropDuplicates(["toxic", "sketch"])
+    totals = counted.select("toxic", "text").mapInArrow(tidied(count), "bucket long, other long, toxic long")
     # At most BUCKETS + 1 rows.
     t = totals.groupBy("bucket").agg(F.sum("other").alias("other"), F.sum("toxic").alias("toxic")).toArrow()
     at, found = t["bucket"].to_numpy(), [t["other"].to_numpy(), t["toxic"].to_numpy()]
@@ -198,7 +198,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = SAMPLE) ->
                 out.append(([s for _, _, s in segments(shared.value[k])], len(k)))
             yield pa.record_batch([b.column(0), pa.array([x[0] for x in out], pa.list_(pa.float64())), pa.array([x[1] for x in out], pa.int64())], ["toxic", "sums", "n"])
 
-    m = rows.where("calibrates").select("toxic", "text").mapInArrow(measure, "toxic int, sums array<double>, n long").toPandas()  # at most sum(sample) rows
+    m = rows.where("calibrates").select("toxic", "text").mapInArrow(tidied(measure), "toxic int, sums array<double>, n long").toPandas()  # at most sum(sample) rows
     if m.toxic.nunique() < 2:
         return nothing
     other = m[m.toxic == 0]
@@ -229,7 +229,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.record_batch([b.column(0), b.column(1), pa.array(p, pa.float64()), pa.array([int(x >= 0.5) for x in p], pa.int32()), pa.array(rows, kind)], ["doc_id", "held_out", "score", "predicted", "passages"])
 
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id"), FOLDS).alias("held_out"), "text")
-    return src.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int, passages array<struct<lo:int,hi:int,strength:double>>")
+    return src.mapInArrow(tidied(run), "doc_id long, held_out boolean, score double, predicted int, passages array<struct<lo:int,hi:int,strength:double>>")
 
 
 def reject(docs: DataFrame, model: Model) -> DataFrame:
@@ -242,4 +242,4 @@ def reject(docs: DataFrame, model: Model) -> DataFrame:
             texts = text_bytes(b.column(b.schema.get_field_index("text")))
             yield b.filter(pa.array([m.probability(m.passages(t)[1]) < 0.5 for t in texts], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidied(run), docs.schema)
