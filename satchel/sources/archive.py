@@ -4,8 +4,9 @@ Reading: one row a member in document order. Options: content (default true)
 reads and inflates member bytes; base (default 12) is the number of bytes
 between the end of what the header counts and its start; split (bytes, default
 64 MB) divides large archives between tasks. Headers are parsed on executors;
-the driver lists files and sizes only. Filters on path, is_dir and unpacked are
-taken by the reader, so that bytes of other members are not read.
+the driver lists files and sizes only. With option pushdown (and the session's
+spark.sql.python.filterPushdown.enabled) filters on path, is_dir and unpacked
+are taken by the reader, so that bytes of other members are not read.
 
 Writing: rows (path, content, and optionally is_dir, executable, unpacked,
 size) become one archive. Options: kind (asar, bsar or baz, by suffix
@@ -71,13 +72,6 @@ class ArchiveReader(DataSourceReader):
         self.split = int(options.get("split", 64 << 20))
         self.equal: dict[str, object] = {}
 
-    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
-        for f in filters:
-            if isinstance(f, EqualTo) and f.attribute in (("path",), ("is_dir",), ("unpacked",)) and f.attribute[0] not in self.equal:
-                self.equal[f.attribute[0]] = f.value
-            else:
-                yield f
-
     def partitions(self) -> list[Part]:
         return [Part(a, i, n) for a, size in list_archives(self.path) for n in [1 + (size // self.split if self.content else 0)] for i in range(n)]
 
@@ -105,6 +99,17 @@ class ArchiveReader(DataSourceReader):
                     yield (*e.row(part.archive), inflate_bytes(data) if e.compression else data)
 
 
+class FilteringReader(ArchiveReader):
+    """For sessions with spark.sql.python.filterPushdown.enabled; others refuse a reader that takes filters."""
+
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        for f in filters:
+            if isinstance(f, EqualTo) and f.attribute in (("path",), ("is_dir",), ("unpacked",)) and f.attribute[0] not in self.equal:
+                self.equal[f.attribute[0]] = f.value
+            else:
+                yield f
+
+
 @dataclass
 class Spool(WriterCommitMessage):
     path: str
@@ -199,7 +204,8 @@ class ArchiveSource(DataSource):
         return S.WITH_CONTENT if self._content() else S.MEMBER
 
     def reader(self, schema: StructType) -> ArchiveReader:
-        return ArchiveReader(dict(self.options), len(schema) == len(S.WITH_CONTENT))
+        pushes = str(self.options.get("pushdown", "false")).lower() == "true"
+        return (FilteringReader if pushes else ArchiveReader)(dict(self.options), len(schema) == len(S.WITH_CONTENT))
 
     def writer(self, schema: StructType, overwrite: bool) -> ArchiveWriter:
         return ArchiveWriter(dict(self.options), schema.names, overwrite)
@@ -216,7 +222,8 @@ def register(spark: SparkSession) -> None:
 
 def read_archive(spark: SparkSession, path: str, content: bool = False, **options: str) -> DataFrame:
     register(spark)
-    return spark.read.format("archive").options(content=str(content).lower(), **options).load(path)
+    pushdown = spark.conf.get("spark.sql.python.filterPushdown.enabled", "false")
+    return spark.read.format("archive").options(content=str(content).lower(), **({"pushdown": pushdown} | options)).load(path)
 
 
 def write_archive(members: DataFrame, path: str, **options: str) -> None:
