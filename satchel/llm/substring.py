@@ -4,8 +4,9 @@ A window is `length` consecutive words. A word goes if a window over it also
 starts in a document with a smaller id, judged on the input.
 
 1. Winnowing picks from each window the least hash of its 8-word grams; equal
-   windows pick equal grams. Neighbouring windows that pick one occurrence form
-   a stretch (at most length - 7 windows). Grams of one document only are done.
+   windows pick equal grams. Neighbouring windows that pick equal grams form a
+   stretch, cut after length - 7 windows, since a gram that recurs can stay the
+   least of any number. Grams of one document only are done.
 2. Equal stretches (gram and stretch hash, 128 bits) are one variant, owned by
    the smallest id that holds it; for other holders all of it goes. A passage in
    a third of all documents is a row a task here.
@@ -140,8 +141,16 @@ class SuffixAutomaton:
         return out
 
 
+def _stretches(picked: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Start and number of neighbouring equal values, at most so many in one."""
+    first = np.flatnonzero(np.concatenate([[True], picked[1:] != picked[:-1]]))
+    since = np.arange(len(picked)) - np.repeat(first, np.diff(np.append(first, len(picked))))
+    start = np.flatnonzero(since % most == 0)
+    return start, np.diff(np.append(start, len(picked)))
+
+
 def _segments(docs: DataFrame, length: int) -> DataFrame:
-    """(doc_id, gram, seg, start, n): stretches of n windows from word start on that pick one gram occurrence."""
+    """(doc_id, gram, seg, start, n): stretches of n windows from word start on that pick equal grams."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -151,9 +160,8 @@ def _segments(docs: DataFrame, length: int) -> DataFrame:
                 if len(words) < length:
                     continue
                 windows, picked = _window_grams(words, length)
-                start = np.flatnonzero(np.concatenate([[True], picked[1:] != picked[:-1]]))
-                n = np.diff(np.append(start, len(picked)))
-                # The first and last window and their distance fix every word.
+                start, n = _stretches(picked, length - min(GRAM, length) + 1)
+                # The first and last window touch or overlap, so that they and their distance fix every word.
                 seg = _mix(_mix(windows[start]) + windows[start + n - 1] * np.uint64(3) + n.astype(np.uint64))
                 ids.append(np.full(len(start), i, np.int64))
                 out.append((picked[start].view(np.int64), seg.view(np.int64), start.astype(np.int32), n.astype(np.int32)))

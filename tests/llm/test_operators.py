@@ -226,6 +226,21 @@ def test_substring_partial_overlaps(spark, empty):
     assert substring.dedup(empty).count() == 0
 
 
+def test_substring_repeated_lines_edited(spark):
+    r = random.Random(4)
+    rows = []
+    for size in (1, 6, 10, 20, 43, 60):
+        for k in range(8):
+            line = [f"w{size}x{k}y{j}" for j in range(size)]
+            text = (line * (400 // size + 1))[:400]
+            edited = list(text)
+            edited[r.randint(120, 280)] = f"only{size}x{k}"
+            rows += [(len(rows), " ".join(text)), (len(rows) + 1, " ".join(edited))]
+    df = spark.createDataFrame([(i, t, "", "", 0) for i, t in rows], DOCS)
+    for length in (50, 12):
+        same([tuple(x) for x in substring.dedup(df, length).collect()], plain_dedup(rows, length))
+
+
 def test_strip(docs, rows):
     out = substring.strip(docs)
     assert out.columns == docs.columns and out.schema == docs.schema
