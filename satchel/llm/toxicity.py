@@ -7,9 +7,10 @@ scan finds all maximal-scoring segments of a text (Ruzzo and Tompa, 1999). For
 local scores of this kind the largest segment of n unrelated tokens follows an
 extreme-value law, P(S >= x) = 1 - exp(-K n exp(-lambda x)) (Karlin and
 Altschul, 1990); lambda is the root of sum p exp(lambda s) = 1 over tokens of
-other texts, K is fitted to their exceedances. A document's evidence, the sum
-of its segments in these units less ln(K n), is turned into a probability by
-logistic regression on training rows that the token counts leave out.
+other texts, K is fitted to their exceedances. Segments that n unrelated tokens
+would hold by chance are dropped; a document's evidence, the sum of the others
+in these units, each less ln(K n), is turned into a probability by logistic
+regression on training rows that the token counts leave out.
 
 Tokens are hashed into 2**20 buckets, so that the model has a fixed size, and
 count once a document. It is fitted on the SAMPLE training rows of each class
@@ -38,6 +39,7 @@ LEAST_Z = 4.0
 DRIFT = 0.4
 MOST = 6.0  # of one token's score
 FOLDS = 5
+SIGNIFICANCE = 0.05  # segments as strong that unrelated tokens of a text's length may be expected to hold
 
 _tokens = re.compile(rb"[a-z\x80-\xff]+").findall
 
@@ -81,7 +83,9 @@ def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
 
 
 def evidence(strengths: list[float], n: int, log_k: float) -> float:
-    return max(0.0, sum(strengths) - log_k - float(np.log(max(n, 1)))) if strengths else 0.0
+    """Sum of the significant segments of n tokens, each less ln(K n)."""
+    chance = max(0.0, log_k + float(np.log(max(n, 1))))
+    return sum(s - chance for s in strengths if s - chance >= -np.log(SIGNIFICANCE))
 
 
 def sketch(text: bytes) -> int:

@@ -396,6 +396,26 @@ def test_toxicity(spark, docs, empty):
     assert {x.score for x in toxicity.score(df, nothing).collect()} == {0.0}
 
 
+def test_toxicity_long_clean_text(spark):
+    r = random.Random(6)
+    rows, labels = [], []
+    for i in range(1200):
+        toxic = i % 6 == 0
+        words = prose(r, r.randint(20, 200)).split()
+        # Clean texts hold a stray word now and then, but never several.
+        for _ in range(r.randint(2, 5) if toxic else i % 20 == 1):
+            words.insert(r.randrange(len(words)), r.choice(["vile", "Nasty,", "wretch"]))
+        rows.append((i, " ".join(words), "", "", 0))
+        labels.append((i, 1, int(toxic)))
+    model = toxicity.fit(spark.createDataFrame(rows, DOCS), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    clean = " ".join(t for i, t, *_ in rows if i % 6)
+    rant = " ".join(r.choice(["vile", "nasty", "wretch"]) for _ in range(12))
+    long = [(0, clean, "", "", 0), (1, f"{clean} {clean}", "", "", 0), (2, f"{clean} {rant} {clean}", "", "", 0)]
+    df = spark.createDataFrame(long, DOCS)
+    assert {x.doc_id: x.predicted for x in toxicity.score(df, model).collect()} == {0: 0, 1: 0, 2: 1}
+    assert {x.doc_id for x in toxicity.reject(df, model).collect()} == {0, 1}
+
+
 # 8
 
 
