@@ -16,15 +16,16 @@ Equal vectors are one class, of which the least ids are kept as far as an
 answer can need them; every row is indexed. A shard holds buckets by hash;
 buckets of more than 1/64 of the rows (a bounded list) are spread over all
 shards. Queries stream past the vectors of a shard, so neither their number
-nor a hot bucket is held in memory. The distance r is fitted on a bounded
-sample: the RESULTS-th neighbour of PROBED queries among SAMPLE rows, ranks
-scaled; k grows with the logarithm of the rows.
+nor a hot bucket is held in memory. The distance r is each query's own, to its
+RESULTS-th neighbour among SAMPLE rows (broadcast), ranks scaled, since dense
+and sparse neighbourhoods differ; the width takes the mean over PROBED queries.
+k grows with the logarithm of the rows.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -37,7 +38,7 @@ from satchel.llm.common import stored, tidied
 RESULTS = 20
 EVERY = 20  # queries are the ids that it divides
 TABLES = 4
-TARGET = 0.97  # chance that one table or another finds a neighbour at distance r
+TARGET = 0.97  # chance that one table or another finds a neighbour at the query's distance r
 SAMPLE, PROBED = 20_000, 256
 SHARD = 32_768  # index rows
 SEED = 42
@@ -48,7 +49,6 @@ _erf = np.vectorize(math.erf, otypes=[float])
 @dataclass
 class Hashing:
     norm: float  # M
-    r: float
     width: float
     a: np.ndarray  # tables x k x (d + 1)
     b: np.ndarray  # tables x k
@@ -59,7 +59,7 @@ class Hashing:
         k = max(4, round(0.64 * math.log2(max(rows, 2))))
         rng = np.random.default_rng(SEED)
         width = 2.5 * r
-        return cls(norm, r, width, rng.normal(size=(TABLES, k, d + 1)), rng.uniform(0, width, (TABLES, k)), rng.integers(0, 1 << 63, k, dtype=np.uint64) | np.uint64(1))
+        return cls(norm, width, rng.normal(size=(TABLES, k, d + 1)), rng.uniform(0, width, (TABLES, k)), rng.integers(0, 1 << 63, k, dtype=np.uint64) | np.uint64(1))
 
     def fold(self, table: int, cells: np.ndarray) -> np.ndarray:
         x = (cells.astype(np.int64).view(np.uint64) * self.mult).sum(-1, dtype=np.uint64) + np.uint64(table)
@@ -72,10 +72,10 @@ class Hashing:
         v = np.concatenate([x / self.norm, lift[:, None]], 1)
         return np.stack([self.fold(t, np.floor((v @ self.a[t].T + self.b[t]) / self.width)) for t in range(len(self.a))])
 
-    def probes(self, q: np.ndarray) -> list[np.ndarray]:
-        """Buckets of one query in each table, likeliest first."""
+    def probes(self, q: np.ndarray, r: float) -> list[np.ndarray]:
+        """Buckets of one query, with neighbours at distance r, in each table, likeliest first."""
         v = np.append(q / np.linalg.norm(q), 0.0)
-        cosine = 1 - self.r**2 / 2
+        cosine = 1 - r**2 / 2
         spread = math.sqrt(max(1 - cosine**2, 1e-6))
         each = 1 - (1 - TARGET) ** (1 / len(self.a))
         out = []
@@ -110,7 +110,18 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.astype(np.float64).reshape(len(column), -1) if len(column) else np.zeros((0, 1))
 
 
-def _fit(classes: DataFrame, every: int, results: int) -> tuple[Hashing, int] | None:
+def _distances(asked: np.ndarray, rows: np.ndarray, norm: float, rank: int) -> np.ndarray:
+    """Of each query to its rank-th nearest of the rows."""
+    out = np.empty(len(asked))
+    for i in range(0, len(asked), 64):
+        q = asked[i : i + 64]
+        cosine = np.partition(q @ rows.T, len(rows) - rank, axis=1)[:, len(rows) - rank] / (np.linalg.norm(q, axis=1) * norm)
+        out[i : i + 64] = np.sqrt(np.maximum(2 - 2 * cosine, 1e-6))
+    return out
+
+
+def _fit(classes: DataFrame, every: int, results: int) -> tuple[Hashing, int, np.ndarray, int] | None:
+    """Hashing, number of classes, sample and the rank of a query's last neighbour in it."""
     norm2 = F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)
     size = classes.agg(F.count("*").alias("n"), F.max(norm2).alias("m"), F.first(F.size("v")).alias("d")).first()
     if not size.n:
@@ -121,10 +132,9 @@ def _fit(classes: DataFrame, every: int, results: int) -> tuple[Hashing, int] |
     asked = _matrix(classes.where("n_queries > 0").orderBy(draw, "id").limit(PROBED).select("v").toArrow()["v"].combine_chunks())
     if not len(asked):
         return None
-    cosine = np.sort(asked @ rows.T / (np.linalg.norm(asked, axis=1)[:, None] * norm), axis=1)
     rank = min(len(rows), 1 + max(1, round(results * len(rows) / size.n)))  # the first is mostly the query itself
-    r = float(np.sqrt(np.maximum(2 - 2 * cosine[:, -rank], 1e-6)).mean())
-    return Hashing.make(size.n, rows.shape[1], norm, r), size.n
+    r = float(_distances(asked, rows, norm, rank).mean())
+    return Hashing.make(size.n, rows.shape[1], norm, r), size.n, rows, rank
 
 
 def classes_of(vectors: DataFrame, every: int = EVERY, results: int = RESULTS) -> DataFrame:
@@ -144,8 +154,9 @@ def classes_of(vectors: DataFrame, every: int = EVERY, results: int = RESULTS) -
 ROUTED = "shard int, kind int, id long, v array<double>, cells array<long>"
 
 
-def _routed(classes: DataFrame, hashing: Hashing, shards: int, hot: np.ndarray, queries: bool) -> DataFrame:
-    """Index rows (kind 0, one a table) or queries (kind 1, one a shard that they visit)."""
+def _routed(classes: DataFrame, hashing: Hashing, shards: int, hot: np.ndarray, distances: Callable[[np.ndarray], np.ndarray] | None) -> DataFrame:
+    """Index rows (kind 0, one a table) or, given their distances, queries (kind 1, one a shard that they visit)."""
+    queries = distances is not None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -157,8 +168,8 @@ def _routed(classes: DataFrame, hashing: Hashing, shards: int, hot: np.ndarray,
                     to = np.where(np.isin(row, hot), ids % shards, (row.view(np.uint64) % np.uint64(shards)).astype(np.int64))
                     yield cells_of(to, ids, x, row[:, None])
                 continue
-            for i in range(len(ids)):
-                cell = np.concatenate(hashing.probes(x[i]))
+            for i, r in enumerate(distances(x).tolist()):
+                cell = np.concatenate(hashing.probes(x[i], r))
                 to = (cell.view(np.uint64) % np.uint64(shards)).astype(np.int64)
                 warm = np.isin(cell, hot)
                 where = np.arange(shards) if warm.any() else np.unique(to)
@@ -238,7 +249,8 @@ def nearest(vectors: DataFrame, every: int = EVERY, results: int = RESULTS) -> D
     fitted = _fit(classes, every, results)
     if fitted is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    hashing, n = fitted
+    hashing, n, sample, rank = fitted
+    norm, shared = hashing.norm, spark.sparkContext.broadcast(sample)
     shards = 1 + n * TABLES // SHARD
 
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -248,8 +260,8 @@ def nearest(vectors: DataFrame, every: int = EVERY, results: int = RESULTS) -> D
     # At most 64 * TABLES buckets.
     counts = classes.select("v").mapInArrow(tidied(cells), "cell long").groupBy("cell").count().where(F.col("count") > n / 64)
     hot = np.array(sorted(r["cell"] for r in counts.collect()), np.int64) if shards > 1 else np.zeros(0, np.int64)
-    index = _routed(classes, hashing, shards, hot, False)
-    asked = _routed(classes.where("n_queries > 0"), hashing, shards, hot, True)
+    index = _routed(classes, hashing, shards, hot, None)
+    asked = _routed(classes.where("n_queries > 0"), hashing, shards, hot, lambda x: _distances(x, shared.value, norm, rank))
     found = _search(index.unionByName(asked), results + 1).distinct()
     members = classes.select("id", F.explode("ids").alias("vec_id"))
     order = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")

@@ -303,6 +303,24 @@ def test_nearest(spark):
     assert ann.nearest(df.where("vec_id in (0, 20)")).count() == 2
 
 
+def test_nearest_skewed(spark):
+    r = np.random.default_rng(3)
+    x = r.normal(size=(6000, 64))
+    x[::3] = x[0] + 0.01 * r.normal(size=(2000, 64))  # a third in one tight group
+    x = (x / np.linalg.norm(x, axis=1)[:, None]).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = collections.defaultdict(set)
+    for q in ann.nearest(df).collect():
+        got[q.query_id].add(q.vec_id)
+    y, recall = x.astype(np.float64), {}
+    for q in range(0, 6000, 20):
+        near = y @ y[q]
+        near[q] = -2
+        recall[q] = len(got[q] & set(np.argsort(-near)[:20].tolist())) / 20
+    assert np.mean([v for q, v in recall.items() if q % 3]) >= 0.9, np.mean([v for q, v in recall.items() if q % 3])
+    assert np.mean([v for q, v in recall.items() if not q % 3]) >= 0.9, np.mean([v for q, v in recall.items() if not q % 3])
+
+
 # 6
 
 
