@@ -5,7 +5,10 @@ and points to one space) and compared to licence templates: twice the shared
 distinct bigrams over the sum of both counts. The coefficient can reach a
 threshold t only if neither side has more than (2 - t) / t times the bigrams of
 the other, so most lines have no candidate template and stop at a word count.
-Built-in functions only; nothing but matching lines is shuffled.
+Lines that match no template as a whole can hold or continue a notice: runs of
+words within and across them, from one shared bigram to another, are compared
+the same way. Built-in functions only; nothing but matching lines and shared
+bigrams is shuffled.
 """
 
 from __future__ import annotations
@@ -74,12 +77,60 @@ def _normal(c):
     return F.split(F.regexp_replace(F.regexp_replace(spaced, r"\. ", " "), r"^[ .]+|[ .]+$", ""), " +")
 
 
+def _line(words):
+    """A hash of a line's words."""
+    return F.xxhash64(F.concat_ws(" ", words))
+
+
+def _runs(docs: DataFrame, matched: DataFrame, threshold: float) -> DataFrame:
+    """(doc_id, license, minus): notices outside matched lines (hashes), as runs that do not overlap, best first.
+
+    A run's bigrams of no template count each time, others once.
+    """
+    ratio = (2 - threshold) / threshold
+    places = [len(normal_words(t)) - 1 for ts in TEMPLATES.values() for t in ts]
+    rows = [(name, k, len(b), math.floor(max(n, 1) * ratio + 1e-9), x) for (name, k, b), n in zip(_templates(), places, strict=True) for x in b]
+    known = docs.sparkSession.createDataFrame(rows, "license string, k int, m int, most int, bigram string")
+    src = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), "text")
+    lines = src.select("doc_id", "row", F.explode(F.array(F.transform(F.split("text", "\n"), lambda line: F.filter(_normal(line), lambda x: x != "")))).alias("lines"))
+    placed = F.flatten(F.transform("lines", lambda line, at: F.transform(line, lambda x: F.struct(x.alias("x"), at.alias("line")))))
+    words = lines.select("doc_id", "row", "lines", F.explode(F.array(placed)).alias("w")).where(F.size("w") > 1)
+
+    def pair(i):
+        a, b = F.get("w", i - 1), F.get("w", i)
+        return F.struct(i.alias("at"), F.concat_ws(" ", a["x"], b["x"]).alias("bigram"), a["line"].alias("first"), b["line"].alias("last"))
+
+    pairs = F.transform(F.sequence(F.lit(1), F.size("w") - 1), pair)
+    hits = words.select("doc_id", "row", F.explode(F.filter(pairs, lambda x: x["bigram"].isin(sorted({r[-1] for r in rows})))).alias("h"), "lines")
+    hits = hits.select("doc_id", "row", "h.at", "h.bigram", *(_line(F.get("lines", F.col(f"h.{end}"))).alias(end) for end in ("first", "last")))
+    for end in ("first", "last"):
+        hits = hits.join(matched.select(F.col("line").alias(end)).distinct(), end, "left_anti")
+    of = hits.join(F.broadcast(known), "bigram").groupBy("doc_id", "row", "license", "k", "m", "most").agg(F.array_sort(F.collect_list(F.struct("at", "bigram"))).alias("h"))
+    # As many as the threshold needs.
+    enough = lambda h: F.size(F.array_distinct(h["bigram"])) >= F.col("m") * (threshold / (2 - threshold)) - 1e-9
+    starts = F.transform(F.sequence(F.lit(1), F.size("h")), lambda i: F.filter(F.slice("h", i, F.col("most")), lambda x: x["at"] < F.get("h", i - 1)["at"] + F.col("most")))
+    runs = of.where(enough(F.col("h"))).select("doc_id", "row", "license", "k", "m", F.explode(F.filter(starts, enough)).alias("h"))
+
+    def upto(i):
+        same = F.size(F.array_distinct(F.slice("h", 1, i)["bigram"]))
+        lo, hi = F.get("h", F.lit(0))["at"], F.get("h", i - 1)["at"]
+        return F.struct((-2.0 * same / (F.col("m") + hi - lo + 1 - i + same)).alias("minus"), (lo - hi).alias("size"), F.col("license"), F.col("k"), lo.alias("lo"), hi.alias("hi"))
+
+    best = runs.select("doc_id", "row", F.array_min(F.transform(F.sequence(F.lit(1), F.size("h")), upto)).alias("b")).where(F.col("b.minus") <= -threshold)
+    ranked = best.groupBy("doc_id", "row").agg(F.array_sort(F.collect_list("b")).alias("b"))
+    # Bigrams that share a word overlap too.
+    free = lambda kept, x: ~F.exists(kept, lambda y: (x["lo"] <= y["hi"] + 1) & (y["lo"] <= x["hi"] + 1))
+    kept = F.aggregate("b", F.slice("b", 1, 0), lambda kept, x: F.when(free(kept, x), F.concat(kept, F.array(x))).otherwise(kept))
+    return ranked.select("doc_id", F.explode(kept).alias("b")).select("doc_id", "b.license", "b.minus")
+
+
 def scan(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, license, dice (the best of its lines), n_lines (that match it), a row for each document and license found.
+    """doc_id, license, dice (the best), n_lines (lines and other runs that match it), a row for each document and license found.
 
     A line matches the template with the highest coefficient at or above the
     threshold, the first by name and number on a tie. Null and empty texts
-    match nothing; rows with a null id are one document; repeated rows add
+    match nothing. Notices wrapped over lines or standing in longer ones count
+    as runs, whose ends are chosen for the highest coefficient; rows with a null id are one document; repeated rows add
     their lines. Other columns are not read.
     """
     table = _templates()
@@ -90,14 +141,15 @@ def scan(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     # explode(array(x)) computes x once; a plain alias would be inlined wherever it is used.
     words = src.select("doc_id", "row", "pos", F.explode(F.array(_normal(F.col("line")))).alias("w")).where(F.size("w") > lo)
     pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 1, F.lit(1))), lambda i: F.concat_ws(" ", F.get("w", i - 1), F.get("w", i)))
-    lines = words.select("doc_id", "row", "pos", F.explode(F.array(F.array_distinct(pairs))).alias("b")).where(F.size("b").between(lo, hi))
-    have = lines.select("doc_id", "row", "pos", F.size("b").alias("n"), F.explode("b").alias("bigram"))
+    lines = words.select("doc_id", "row", "pos", _line("w").alias("line"), F.explode(F.array(F.array_distinct(pairs))).alias("b")).where(F.size("b").between(lo, hi))
+    have = lines.select("doc_id", "row", "pos", "line", F.size("b").alias("n"), F.explode("b").alias("bigram"))
     known = docs.sparkSession.createDataFrame([(name, k, len(b), x) for name, k, b in table for x in b], "license string, k int, m int, bigram string")
     bounds = (F.col("m") <= F.col("n") * ratio) & (F.col("n") <= F.col("m") * ratio)
-    shared = have.join(F.broadcast(known), "bigram").where(bounds).groupBy("doc_id", "row", "pos", "license", "k", "m", "n").count()
+    shared = have.join(F.broadcast(known), "bigram").where(bounds).groupBy("doc_id", "row", "pos", "line", "license", "k", "m", "n").count()
     scored = shared.withColumn("dice", 2.0 * F.col("count") / (F.col("m") + F.col("n"))).where(F.col("dice") >= threshold)
-    best = scored.groupBy("doc_id", "row", "pos").agg(F.min(F.struct((-F.col("dice")).alias("minus"), "license", "k")).alias("m"))
-    return best.groupBy("doc_id", F.col("m.license").alias("license")).agg(F.max(-F.col("m.minus")).alias("dice"), F.count("*").alias("n_lines"))
+    best = scored.groupBy("doc_id", "row", "pos", "line").agg(F.min(F.struct((-F.col("dice")).alias("minus"), "license", "k")).alias("m"))
+    found = best.select("doc_id", "m.license", "m.minus").unionByName(_runs(docs, best, threshold))
+    return found.groupBy("doc_id", "license").agg(F.max(-F.col("minus")).alias("dice"), F.count("*").alias("n_lines"))
 
 
 def oracle(threshold: float = THRESHOLD) -> str:

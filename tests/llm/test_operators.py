@@ -461,6 +461,21 @@ def test_licenses(spark, docs, empty):
     assert licenses.scan(empty).count() == 0 and licenses.scan(docs).count() == 0
 
 
+def test_licenses_wrapped_and_embedded(spark):
+    import textwrap
+
+    cases = [("MIT", 2), ("GPL-3.0", 1), ("GPL-2.0", 1), ("BSD-3-Clause", 1), ("MPL-2.0", 1), ("ISC", 0), ("Apache-2.0", 0)]
+    r, rows, want = random.Random(2), [], []
+    for i, (name, k) in enumerate(cases):
+        notice = licenses.TEMPLATES[name][k]
+        # No line of the notice matches alone.
+        rows += [(2 * i, prose(r, 30) + "\n" + "\n".join(" * " + x for x in textwrap.wrap(notice, 40)) + "\n\n" + prose(r, 20)), (2 * i + 1, f"{prose(r, 40)} {notice} {prose(r, 40)}")]
+        want += [(2 * i, name, 1.0, 1), (2 * i + 1, name, 1.0, 1)]
+    twice = f"{prose(r, 9)} {licenses.TEMPLATES['MIT'][0]} {prose(r, 9)} {licenses.TEMPLATES['MIT'][0]} {prose(r, 9)}\nReleased under the MIT License."
+    df = spark.createDataFrame([(i, t, "", "", 0) for i, t in [*rows, (100, twice)]], DOCS)
+    same([tuple(x) for x in licenses.scan(df).collect()], [*want, (100, "MIT", 1.0, 3)])
+
+
 # 9
 
 
