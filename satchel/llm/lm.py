@@ -5,7 +5,7 @@ sequences kept by Elias-Fano (successors as context number and word key, so
 that a search is relative to the context), a third holds the pointers from
 contexts to successors, and each successor has a 16-bit code of its smoothed
 probability. The arrays are plain bytes, so a trie opens from a memory-mapped
-file or from a binary cell without a copy.
+file without a copy; the job does not use this, nor the pointers.
 
 A corpus-sized trie fits no single machine, so no trie is broadcast. Documents
 are read in chunks of about CHUNK tokens; a chunk sends each shard the distinct
