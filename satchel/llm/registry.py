@@ -58,4 +58,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality_rules": quality.ORACLE, "op6_mixing": mixing.oracle(), "op4_chat_format": chat.ORACLE, "op8_license_scan": licenses.oracle()}
+    return {"op2_quality_rules": quality.ORACLE, "op3_substring_dedup": substring.ORACLE, "op6_mixing": mixing.oracle(), "op4_chat_format": chat.ORACLE, "op8_license_scan": licenses.oracle()}

@@ -7,18 +7,25 @@ starts in a document with a smaller id, judged on the input.
    windows pick equal grams. Neighbouring windows that pick equal grams form a
    stretch, cut after length - 7 windows, since a gram that recurs can stay the
    least of any number. Grams of one document only are done.
-2. Equal stretches (gram and stretch hash, 128 bits) are one variant, owned by
-   the smallest id that holds it; for other holders all of it goes. A passage in
-   a third of all documents is a row a task here.
-3. Where a gram has several variants, mostly at the ends of passages, the owner
-   of a variant may still share windows with a variant of a smaller id. Each
-   variant is a reference shard of at most 2 * length - 8 words. Window hashes
-   lead a variant to the shards with the smallest ids that hold its windows,
-   and the shard's suffix automaton streams it for matching statistics: spans
-   that match `length` words or more go. Here hashes route, words decide.
-
-Shards go only where they can match: against every shard each document would
-meet as many automata as the corpus has shards.
+2. Equal stretches (gram and stretch hash) are one variant, whose reference
+   text is taken from the smallest id that holds it. Its other holders ask for
+   that text. Where a gram has several variants, mostly at the ends of passages,
+   the owner of a variant may still share windows with a variant of a smaller
+   id; window hashes lead it to the variants with the smallest ids.
+3. The texts that a document asks for are its reference shards. Neighbouring
+   ones are joined into passages of at most PASSAGE words; the suffix automaton
+   of each streams the document's words there for matching statistics, and
+   maximal spans of `length` words or more go.
+
+Hashes only route texts to documents; words decide what is removed. A document
+gets at most a reference of each of its own stretches and the variants that
+share its windows. Against every shard each document would meet as many automata
+as the corpus has shards.
+
+Texts are not shuffled as a whole: a bitmap of FILTER_BITS, broadcast, tells
+apart documents that certainly take no part. Past about FILTER_BITS / 4
+documents it lets ever more of the others through, which then cost a shuffle of
+their text and no other result.
 """
 
 from __future__ import annotations
@@ -35,8 +42,8 @@ from satchel.llm.common import WordHash, stored, text_bytes, tidied
 
 LENGTH = 50
 GRAM = 8
-#: Rows of a table of word positions that are broadcast to the documents; beyond, documents are shuffled by id.
-MOST_BROADCAST = 1_000_000
+FILTER_BITS = 1 << 27  # 16 MiB, whatever the input
+PASSAGE = 2000  # words of a reference passage, but for the end of the last stretch
 
 _word_hash = WordHash()
 _BASE = 0x9E3779B97F4A7C15  # odd, so that its powers have inverses
@@ -149,6 +156,10 @@ def _stretches(picked: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
     return start, np.diff(np.append(start, len(picked)))
 
 
+def _stretch_hash(first: np.ndarray, last: np.ndarray, n: np.ndarray) -> np.ndarray:
+    return _mix(_mix(first) + last * np.uint64(3) + n.astype(np.uint64))
+
+
 def _segments(docs: DataFrame, length: int) -> DataFrame:
     """(doc_id, gram, seg, start, n): stretches of n windows from word start on that pick equal grams."""
 
@@ -162,7 +173,7 @@ def _segments(docs: DataFrame, length: int) -> DataFrame:
                 windows, picked = _window_grams(words, length)
                 start, n = _stretches(picked, length - min(GRAM, length) + 1)
                 # The first and last window touch or overlap, so that they and their distance fix every word.
-                seg = _mix(_mix(windows[start]) + windows[start + n - 1] * np.uint64(3) + n.astype(np.uint64))
+                seg = _stretch_hash(windows[start], windows[start + n - 1], n)
                 ids.append(np.full(len(start), i, np.int64))
                 out.append((picked[start].view(np.int64), seg.view(np.int64), start.astype(np.int32), n.astype(np.int32)))
             if ids:
@@ -173,20 +184,26 @@ def _segments(docs: DataFrame, length: int) -> DataFrame:
 
 
 def _texts(docs: DataFrame, length: int) -> DataFrame:
-    """(vid, a, text) of the variants that documents own; docs: (doc_id, text, own)."""
+    """(vid, a, several, text) of the variants that documents own; docs: (doc_id, text, own)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            vids, ids, texts = [], [], []
+            out = []
             for i, text, own in zip(b.column(0).to_pylist(), text_bytes(b.column(1)), b.column(2).to_pylist(), strict=True):
-                words = text.split()
+                words, done = text.split(), set()
                 for x in own:
-                    vids.append(x["vid"])
-                    ids.append(i)
-                    texts.append(b" ".join(words[x["start"] : x["start"] + x["n"] - 1 + length]))
-            yield pa.record_batch([pa.array(vids, pa.int64()), pa.array(ids, pa.int64()), pa.array(texts, pa.binary())], ["vid", "a", "text"])
+                    part = words[x["start"] : x["start"] + x["n"] - 1 + length]
+                    if x["vid"] in done or len(part) < x["n"] - 1 + length:
+                        continue
+                    (windows,) = run_hashes(part, length)
+                    # Of rows with one id and several texts only some hold the stretch.
+                    if int(_stretch_hash(windows[:1], windows[-1:], np.array([x["n"]])).view(np.int64)[0]) == x["seg"]:
+                        done.add(x["vid"])
+                        out.append((x["vid"], i, x["several"], b" ".join(part)))
+            c = list(zip(*out, strict=True)) or [[]] * 4
+            yield pa.record_batch([pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.bool_()), pa.array(c[3], pa.binary())], ["vid", "a", "several", "text"])
 
-    return docs.mapInArrow(tidied(run), "vid long, a long, text binary")
+    return docs.mapInArrow(tidied(run), "vid long, a long, several boolean, text binary")
 
 
 def _windows(texts: DataFrame, length: int) -> DataFrame:
@@ -202,98 +219,123 @@ def _windows(texts: DataFrame, length: int) -> DataFrame:
     return texts.select("vid", "a", "text").mapInArrow(tidied(run), "window long, vid long, a long")
 
 
-def _match(pairs: DataFrame, length: int) -> DataFrame:
-    """(vid, lo, hi) of words to remove from a variant; pairs: (vid, text, shard)."""
+def _bitmap(ids: DataFrame) -> np.ndarray:
+    """The bits of FILTER_BITS that hashes of doc_id set, at most FILTER_BITS / 64 rows."""
+    h = ids.select(F.xxhash64("doc_id").bitwiseAND(F.lit(FILTER_BITS - 1)).alias("h"))
+    words = h.select(F.shiftright("h", 6).alias("at"), F.expr("shiftleft(1L, cast(h & 63 as int))").alias("bits")).groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
+    out = np.zeros(max(1, FILTER_BITS // 64), np.int64)
+    out[words["at"].to_numpy()] = words["bits"].to_numpy()
+    return out.view(np.uint8)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made: dict[bytes, SuffixAutomaton] = {}
-        for b in batches:
-            rows = []
-            for vid, text, shard in zip(b.column(0).to_pylist(), text_bytes(b.column(1)), text_bytes(b.column(2)), strict=True):
-                a = made.get(shard)
-                if a is None:
-                    if len(made) >= 256:
-                        made.clear()
-                    a = made[shard] = SuffixAutomaton(shard.split())
-                rows += [(vid, lo, hi) for lo, hi in a.spans(text.split(), length)]
-            c = list(zip(*rows, strict=True)) or [[], [], []]
-            yield pa.record_batch([pa.array(c[0], pa.int64()), pa.array(c[1], pa.int32()), pa.array(c[2], pa.int32())], ["vid", "lo", "hi"])
 
-    return pairs.mapInArrow(tidied(run), "vid long, lo int, hi int")
+def _split_off(rows: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows (column _id) that may be among ids, and rows that certainly are not."""
+    shared = rows.sparkSession.sparkContext.broadcast(_bitmap(ids))
+    hashed = rows.withColumn("_bit", F.xxhash64("_id").bitwiseAND(F.lit(FILTER_BITS - 1)))
 
+    def those(there: bool) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            bits = shared.value
+            for b in batches:
+                h = b.column(b.num_columns - 1).to_numpy()
+                # Numbers of 64 bits are little-endian, so byte h >> 3 holds bit h.
+                found = (bits[h >> 3] >> (h & 7).astype(np.uint8)) & 1 == there
+                yield b.drop_columns(["_bit"]).filter(pa.array(found))
 
-def _merged(spans: DataFrame) -> DataFrame:
-    """doc_id, lo, hi (arrays): spans of each document, in order and apart; spans: (doc_id, lo, hi)."""
-    kind = pa.list_(pa.int32())
+        return hashed.mapInArrow(tidied(run), rows.schema)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            lows, highs = [], []
-            for row in b.column(1).to_pylist():
-                low, high = [], []
-                for x in sorted((s["lo"], s["hi"]) for s in row):
-                    if high and x[0] <= high[-1]:
-                        high[-1] = max(high[-1], x[1])
-                    else:
-                        low.append(x[0])
-                        high.append(x[1])
-                lows.append(low)
-                highs.append(high)
-            yield pa.record_batch([b.column(0), pa.array(lows, kind), pa.array(highs, kind)], ["doc_id", "lo", "hi"])
-
-    # A document has at most as many spans as windows.
-    return spans.groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("s")).mapInArrow(tidied(run), "doc_id long, lo array<int>, hi array<int>")
-
-
-def _lent(table: DataFrame, array: str) -> DataFrame:
-    """table marked for broadcast if its arrays hold few enough elements."""
-    n = table.agg(F.coalesce(F.sum(F.size(array)), F.lit(0))).first()[0]
-    return F.broadcast(table) if n <= MOST_BROADCAST else table
-
-
-def removals(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """doc_id, lo, hi (arrays of word positions), for documents that lose words."""
-    src = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    every = stored(_segments(src, length))
+    return those(True), those(False)
+
+
+def _passages(refs: list[dict], length: int) -> Iterator[tuple[int, int, list[bytes]]]:
+    """(lo, hi, words) of reference passages and the document's words to stream through them.
+
+    Texts of neighbouring stretches, which overlap by length - 1 words, are joined, so that
+    every window of a passage is one of a reference.
+    """
+    lo = hi = 0
+    words: list[bytes] = []
+    for x in sorted(refs, key=lambda x: (x["start"], x["n"], x["text"])):
+        more = x["text"].split()
+        if words and x["start"] == hi - length + 1 and len(words) + len(more) <= PASSAGE and words[1 - length :] == more[: length - 1]:
+            words += more[length - 1 :]
+        else:
+            if words:
+                yield lo, hi, words
+            lo, words = x["start"], more
+        hi = x["start"] + x["n"] - 1 + length
+    if words:
+        yield lo, hi, words
+
+
+class _Automata(dict):
+    """By passage, for as long as MOST words are held."""
+
+    MOST = 20_000
+
+    def of(self, words: list[bytes]) -> SuffixAutomaton:
+        key = b" ".join(words)
+        if key not in self:
+            self.held = getattr(self, "held", 0) + len(words)
+            if self.held > self.MOST:
+                self.clear()
+                self.held = len(words)
+            self[key] = SuffixAutomaton(words)
+        return self[key]
+
+
+def _removed(words: list[bytes], refs: list[dict], length: int, automata: _Automata) -> list[tuple[int, int]]:
+    """Spans of words to remove, in order and apart."""
+    found: list[tuple[int, int]] = []
+    for lo, hi, passage in _passages(refs, length):
+        found += [(lo + i, lo + j) for i, j in automata.of(passage).spans(words[lo:hi], length)]
+    out: list[tuple[int, int]] = []
+    for i, j in sorted(found):
+        if out and i <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], j))
+        else:
+            out.append((i, j))
+    return out
+
+
+def references(src: DataFrame, length: int) -> DataFrame:
+    """(doc_id, refs): for documents that can lose words, places (start, n) and texts of their reference shards; src: (_id, text)."""
+    docs = src.select(F.col("_id").alias("doc_id"), "text").where("doc_id is not null")
+    every = stored(_segments(docs, length))
     shared = every.groupBy("gram").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("gram")
     held = stored(every.join(shared, "gram", "left_semi").distinct())
     variants = stored(held.groupBy("gram", "seg").agg(F.min("doc_id").alias("a")))
-    both = held.join(variants, ["gram", "seg"])
-    whole = both.where("doc_id > a").select("doc_id", F.col("start").alias("lo"), (F.col("start") + F.col("n") - 1 + length).alias("hi"))
-    several = variants.groupBy("gram").count().where("count > 1").select("gram")
-    first = both.where("doc_id = a").join(several, "gram", "left_semi").select("doc_id", F.xxhash64("gram", "seg").alias("vid"), "start", "n")
-    first = stored(first)
-    own = first.groupBy("doc_id", "vid").agg(F.min("start").alias("start"), F.min("n").alias("n")).groupBy("doc_id").agg(F.collect_list(F.struct("vid", "start", "n")).alias("own"))
-    own = _lent(stored(own), "own").withColumnRenamed("doc_id", "_id")
-    texts = _texts(src.join(own, F.col("doc_id") == F.col("_id")).select("doc_id", "text", "own"), length)
-    texts = stored(texts.dropDuplicates(["vid"]))  # repeated rows
-    windows = _windows(texts, length)
-    owners = windows.groupBy("window").agg(F.min_by("vid", "a").alias("owner"), F.min("a").alias("least"), F.max("a").alias("most")).where("least < most").select("window", "owner", "least")
-    needs = windows.join(owners, "window").where("a > least").select("vid", "owner").distinct()
-    shards = texts.select(F.col("vid").alias("owner"), F.col("text").alias("shard"))
-    pairs = needs.join(texts.select("vid", "text"), "vid").join(shards, "owner").select("vid", "text", "shard")
-    found = _match(pairs, length).distinct()
-    part = found.join(first.select("doc_id", "vid", "start"), "vid").select("doc_id", (F.col("start") + F.col("lo")).alias("lo"), (F.col("start") + F.col("hi")).alias("hi"))
-    return stored(_merged(whole.unionByName(part)))
-
-
-def _kept(text: bytes, lo: list | None, hi: list | None) -> tuple[list[bytes], int]:
-    words = text.split()
-    if not lo:
-        return words, 0
+    several = variants.groupBy("gram").count().where("count > 1").select("gram", F.lit(True).alias("several"))
+    both = stored(held.join(variants, ["gram", "seg"]).select("doc_id", "gram", "seg", "a", "start", "n", F.xxhash64("gram", "seg").alias("vid")))
+    owners = stored(both.where("doc_id = a").join(several, "gram", "left").select("doc_id", "vid", "seg", "start", "n", F.coalesce("several", F.lit(False)).alias("several")))
+    # A document has at most as many stretches as windows.
+    own = owners.groupBy("doc_id").agg(F.collect_list(F.struct("vid", "seg", "start", "n", "several")).alias("own"))
+    some, _ = _split_off(src.select("_id", "text"), owners.select("doc_id").distinct())
+    texts = stored(_texts(some.join(own, F.col("_id") == F.col("doc_id")).select("doc_id", "text", "own"), length).dropDuplicates(["vid", "a"]))
+    windows = _windows(texts.where("several").select("vid", "a", "text"), length)
+    least = windows.groupBy("window").agg(F.min_by(F.struct("vid", "a"), F.struct("a", "vid")).alias("to"), F.min("a").alias("least"), F.max("a").alias("most")).where("least < most").select("window", "to")
+    needs = windows.join(least, "window").where("a > to.a").select("vid", F.col("a").alias("doc_id"), "to").distinct()
+    routed = needs.join(owners.select("doc_id", "vid", "start", "n"), ["doc_id", "vid"]).select("doc_id", "start", "n", F.col("to.vid").alias("vid"), F.col("to.a").alias("a"))
+    asked = both.where("doc_id > a").select("doc_id", "start", "n", "vid", "a").unionByName(routed)
+    sent = asked.join(texts.select("vid", "a", "text"), ["vid", "a"]).select("doc_id", F.struct("start", "n", "text").alias("ref"))
+    return stored(sent.groupBy("doc_id").agg(F.collect_list("ref").alias("refs")))
+
+
+def _kept(words: list[bytes], spans: list[tuple[int, int]]) -> tuple[list[bytes], int]:
     kept, at = [], 0
-    for i, j in zip(lo, hi, strict=True):
+    for i, j in spans:
         kept += words[at:i]
-        at = max(at, j)
+        at = j
     kept += words[at:]
     return kept, len(words) - len(kept)
 
 
-def _joined(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """Columns of docs by position, then lo and hi."""
-    at = docs.columns.index("doc_id")
-    rows = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
-    return rows.join(_lent(spans, "lo"), rows[f"c{at}"].cast("long") == F.col("doc_id"), "left").drop("doc_id")
+def _with_references(rows: DataFrame, length: int) -> DataFrame:
+    """rows (columns _id and text among them) with column refs, null where a document loses no words."""
+    refs = references(rows, length)
+    some, others = _split_off(rows, refs.select("doc_id"))
+    joined = some.join(refs, some["_id"] == refs["doc_id"], "left").drop("doc_id")
+    return joined.unionByName(others.withColumn("refs", F.lit(None).cast(refs.schema["refs"].dataType)))
 
 
 def dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -301,37 +343,66 @@ def dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     Null and empty texts have no words. A row without an id neither loses words
     nor lets others lose any. Rows with one id are one document for the order;
-    each repeated row gets its result. Other columns are not read.
+    each repeated row gets its result. Of equal windows the least id keeps its
+    words. Other columns are not read. An empty table gives none. A text is
+    whole in one task whatever its length; automata hold PASSAGE words at a time.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automata = _Automata()
         for b in batches:
             n, gone, sha = [], [], []
-            for text, lo, hi in zip(text_bytes(b.column(1)), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                words, removed = _kept(text, lo, hi)
-                n.append(len(words) + removed)
+            for text, refs in zip(text_bytes(b.column(1)), b.column(2), strict=True):
+                words = text.split()
+                n.append(len(words))
+                words, removed = _kept(words, _removed(words, refs.as_py(), length, automata) if refs.is_valid else [])
                 gone.append(removed)
                 sha.append(hashlib.sha256(b" ".join(words)).hexdigest())
             yield pa.record_batch([b.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha, pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
-    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return _joined(src, removals(docs, length)).mapInArrow(tidied(run), "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    rows = docs.select(F.col("doc_id").cast("long").alias("_id"), "text")
+    return _with_references(rows, length).select("_id", "text", "refs").mapInArrow(tidied(run), "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def strip(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """docs with the repeated words taken out of text; a text that loses none is
-    unchanged, others have their kept words joined by one space. Every row stays."""
+    unchanged, others have their kept words joined by one space. Every row and
+    column stays; nulls, empty texts and tables, repeated rows and long texts as in dedup()."""
 
     at, names = docs.columns.index("text"), docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automata = _Automata()
         for b in batches:
             texts = []
-            *cols, lows, highs = b.columns
-            for text, raw, lo, hi in zip(cols[at].to_pylist(), text_bytes(cols[at]), lows.to_pylist(), highs.to_pylist(), strict=True):
-                words, removed = _kept(raw, lo, hi)
-                texts.append(b" ".join(words).decode() if removed else text)
+            *cols, every = b.columns
+            for text, raw, refs in zip(cols[at], text_bytes(cols[at]), every, strict=True):
+                words, removed = [], 0
+                if refs.is_valid:
+                    words = raw.split()
+                    words, removed = _kept(words, _removed(words, refs.as_py(), length, automata))
+                texts.append(b" ".join(words).decode() if removed else text.as_py())
             cols[at] = pa.array(texts, cols[at].type)
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    return _joined(docs, removals(docs, length)).mapInArrow(tidied(run), docs.schema)
+    # Columns by position, whatever their names.
+    plain = [f"c{i}" for i in range(len(names))]
+    rows = docs.toDF(*plain).select("*", F.col(f"c{names.index('doc_id')}").cast("long").alias("_id"), F.col(f"c{at}").alias("text"))
+    found = _with_references(rows.drop(f"c{at}"), length)
+    return found.select(*("text" if i == at else c for i, c in enumerate(plain)), "refs").mapInArrow(tidied(run), docs.schema)
+
+
+#: DuckDB SQL for dedup() of documents.
+ORACLE = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+x AS (SELECT r, doc_id, w, unnest(range(1, len(w) - {LENGTH - 2})) AS i FROM d WHERE doc_id IS NOT NULL),
+v AS (SELECT r, doc_id, i, array_to_string(w[i:i + {LENGTH - 1}], ' ') AS words FROM x),
+m AS (SELECT words, min(doc_id) AS least FROM v GROUP BY words),
+gone AS (SELECT DISTINCT r, unnest(range(i, i + {LENGTH})) AS i FROM v JOIN m USING (words) WHERE v.doc_id > m.least),
+lost AS (SELECT r, count(*) AS n, list(i) AS at FROM gone GROUP BY r),
+p AS (SELECT r, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM d WHERE r IN (SELECT r FROM lost)),
+k AS (SELECT p.r, string_agg(word, ' ' ORDER BY p.i) AS kept FROM p ANTI JOIN gone ON p.r = gone.r AND p.i = gone.i GROUP BY p.r)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(lost.n, 0) AS BIGINT) AS n_removed,
+  sha256(CASE WHEN lost.r IS NULL THEN array_to_string(w, ' ') ELSE coalesce(k.kept, '') END) AS kept_sha256
+FROM d LEFT JOIN lost ON d.r = lost.r LEFT JOIN k ON d.r = k.r
+"""
