@@ -20,6 +20,7 @@ restore the share of each class.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -82,10 +83,15 @@ def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
     return [(lo, hi, right - left) for lo, hi, left, right in stack]
 
 
+def surprise(strength: float, n: int, log_k: float) -> float:
+    """Minus the logarithm of the number of segments as strong that n unrelated tokens are expected to hold."""
+    return strength - max(0.0, log_k + math.log(max(n, 1)))
+
+
 def evidence(strengths: list[float], n: int, log_k: float) -> float:
-    """Sum of the significant segments of n tokens, each less ln(K n)."""
-    chance = max(0.0, log_k + float(np.log(max(n, 1))))
-    return sum(s - chance for s in strengths if s - chance >= -np.log(SIGNIFICANCE))
+    """Sum of the surprises of the significant segments of n tokens."""
+    found = (surprise(s, n, log_k) for s in strengths)
+    return sum(x for x in found if x >= -math.log(SIGNIFICANCE))
 
 
 def sketch(text: bytes) -> int:
@@ -103,9 +109,10 @@ class Model:
     base: float  # share of toxic rows, the answer where nothing was learned
 
     def passages(self, text: bytes) -> tuple[list[tuple[int, int, float]], float]:
-        """Segments (token positions, score in units of the law) and the evidence of the text."""
+        """Significant segments (token positions, strength in units of the law) in order and the evidence of the text."""
         b = buckets(text)
         found = [(lo, hi, self.rate * s) for lo, hi, s in segments(self.scores[b])]
+        found = [x for x in found if surprise(x[2], len(b), self.log_k) >= -math.log(SIGNIFICANCE)]
         return found, evidence([s for _, _, s in found], len(b), self.log_k)
 
     def probability(self, x: float) -> float:
@@ -120,19 +127,25 @@ def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, float
     a = np.stack([np.ones_like(x), x], 1)
     beta = np.zeros(2)
     ridge = np.diag([1e-3, 1e-2])
-    for _ in range(50):
+    for _ in range(200):
         p = 1 / (1 + np.exp(-np.clip(a @ beta, -30, 30)))
         step = np.linalg.solve((a * (w * p * (1 - p))[:, None]).T @ a + ridge, a.T @ (w * (y - p)) - ridge @ beta)
         beta += step
-        if np.abs(step).max() < 1e-8:
+        if np.abs(step).max() < 1e-10:
             break
+    else:
+        raise RuntimeError("the logistic regression does not converge")
     return float(beta[0]), float(beta[1])
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = SAMPLE) -> Model:
     """A model of the training rows: label rows whose crc32(doc_id as text) mod 5 is not 0.
 
-    A doc_id with several labels takes the highest; null ids and labels are left out.
+    A doc_id with several labels takes the highest; null ids and labels are left
+    out. Null and empty texts have no tokens; repeated rows and near copies count
+    once, the one with the least id. Other columns, whatever their names, are not
+    read. Without training rows of both classes the model answers the share of
+    toxic rows. The same rows give the same model however they are dealt out.
     """
     spark = docs.sparkSession
     fold = F.crc32(F.col("doc_id").cast("string")) % FOLDS
@@ -147,7 +160,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = SAMPLE) ->
         return nothing
     parts = [known.where((F.col("toxic") > 0) == bool(c)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample[c]).select(F.col("doc_id").alias("_id"), F.lit(c).alias("_toxic")) for c in (0, 1)]
     chosen = F.broadcast(parts[0].unionByName(parts[1]))  # at most sum(sample) rows of 12 bytes
-    rows = docs.join(chosen, F.col("doc_id").cast("long") == F.col("_id")).select(F.col("_toxic").alias("toxic"), (fold == FOLDS - 1).alias("calibrates"), "text")
+    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = src.join(chosen, F.col("doc_id") == F.col("_id")).select("doc_id", F.col("_toxic").alias("toxic"), (fold == FOLDS - 1).alias("calibrates"), "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got, docs_in = np.zeros((2, BUCKETS), np.int32), [0, 0]
@@ -163,9 +177,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = SAMPLE) ->
 
     def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.record_batch([b.column(0), pa.array([sketch(t) for t in text_bytes(b.column(1))], pa.int64()), b.column(1)], ["toxic", "sketch", "text"])
+            yield pa.record_batch([b.column(0), b.column(1), pa.array([sketch(t) for t in text_bytes(b.column(2))], pa.int64()), b.column(2)], ["doc_id", "toxic", "sketch", "text"])
 
-    counted = rows.where(~F.col("calibrates")).select("toxic", "text").mapInArrow(tidied(sketched), "toxic int, sketch long, text string").dropDuplicates(["toxic", "sketch"])
+    counted = rows.where(~F.col("calibrates")).select("doc_id", "toxic", "text").mapInArrow(tidied(sketched), "doc_id long, toxic int, sketch long, text string")
+    counted = counted.groupBy("toxic", "sketch").agg(F.min_by("text", F.struct("doc_id", F.xxhash64("text"))).alias("text"))
     totals = counted.select("toxic", "text").mapInArrow(tidied(count), "bucket long, other long, toxic long")
     # At most BUCKETS + 1 rows.
     t = totals.groupBy("bucket").agg(F.sum("other").alias("other"), F.sum("toxic").alias("toxic")).toArrow()
@@ -185,7 +200,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = SAMPLE) ->
     # lambda over tokens of other texts.
     p = (y[0] + prior[0] * (y[1] > 0)) / (y[0] + prior[0] * (y[1] > 0)).sum()
     lo, hi = 1e-3, 1.0
-    mean = lambda r: float((p * np.exp(r * scores)).sum()) - 1
+    mean = lambda r: float((p * np.exp(r * scores.astype(np.float64))).sum()) - 1
     while mean(hi) < 0 and hi < 50:
         hi *= 2
     for _ in range(60):
@@ -197,12 +212,13 @@ def fit(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = SAMPLE) ->
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for text in text_bytes(b.column(1)):
+            for text in text_bytes(b.column(2)):
                 k = buckets(text)
                 out.append(([s for _, _, s in segments(shared.value[k])], len(k)))
-            yield pa.record_batch([b.column(0), pa.array([x[0] for x in out], pa.list_(pa.float64())), pa.array([x[1] for x in out], pa.int64())], ["toxic", "sums", "n"])
+            yield pa.record_batch([b.column(0), b.column(1), pa.array([x[0] for x in out], pa.list_(pa.float64())), pa.array([x[1] for x in out], pa.int64())], ["doc_id", "toxic", "sums", "n"])
 
-    m = rows.where("calibrates").select("toxic", "text").mapInArrow(tidied(measure), "toxic int, sums array<double>, n long").toPandas()  # at most sum(sample) rows
+    # At most sum(sample) ids.
+    m = rows.where("calibrates").select("doc_id", "toxic", "text").distinct().mapInArrow(tidied(measure), "doc_id long, toxic int, sums array<double>, n long").orderBy("doc_id", "n", "sums").toPandas()
     if m.toxic.nunique() < 2:
         return nothing
     other = m[m.toxic == 0]
@@ -219,7 +235,9 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, score, predicted, passages (token positions and strength), a row for each row of docs.
 
     Null and empty texts have no tokens and get the score of no evidence. A null
-    id counts as training. Other columns are not read. No shuffle.
+    id counts as training. Repeated rows each get their result, an empty table
+    gives none. A score of exactly 0.5 predicts 1. Texts are scanned whole
+    whatever their length. Other columns are not read. No shuffle.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kind = pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32()), ("strength", pa.float64())]))
@@ -237,7 +255,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def reject(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of docs that are not predicted toxic, unchanged."""
+    """The rows of docs that are not predicted toxic, unchanged; nulls, empty, long and repeated texts as in score()."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
