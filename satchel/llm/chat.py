@@ -18,23 +18,37 @@ from satchel.llm.common import stored
 START, MIDDLE, END = "<|", "|>\n", "\n<|end|>\n"
 
 
-def _turn_key(*seed: Column) -> Column:
-    """A hash of position, role and text; nulls differ from empty strings."""
-    part = lambda c: F.coalesce(F.concat(F.lit("="), c), F.lit("-"))
-    return F.xxhash64(*seed, F.col("pos"), part(F.col("role")), part(F.col("text")))
+SECOND = "second"  # seed of the second hash
 
 
-def _turns(conversations: DataFrame) -> DataFrame:
-    order = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), F.col("role").asc_nulls_first(), F.col("text").asc_nulls_first())
-    src = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
-    return src.where("conv_id is not null").select("*", F.row_number().over(order).alias("pos"))
+def _hash(*parts: Column) -> Column:
+    """A hash in which nulls differ from empty strings."""
+    return F.xxhash64(*(F.coalesce(F.concat(F.lit("="), p), F.lit("-")) for p in parts))
+
+
+def _source(conversations: DataFrame) -> DataFrame:
+    kinds = {"conv_id": "long", "turn": "long", "role": "string", "text": "string"}
+    return conversations.select(*(F.col(c).cast(t).alias(c) for c, t in kinds.items())).where("conv_id is not null")
+
+
+def _positions(src: DataFrame) -> DataFrame:
+    """(conv_id, pos, a, b): places and hashes of turns. Texts do not leave their task, but
+    for turns that repeat with their role, which are ordered by text."""
+    hashed = src.select("conv_id", "turn", "role", _hash(F.col("role"), F.col("text")).alias("a"), _hash(F.lit(SECOND), F.col("role"), F.col("text")).alias("b"), "text")
+    tied = stored(hashed.groupBy("conv_id", "turn", "role").count().where("count > 1").select(F.col("conv_id").alias("c"), F.col("turn").alias("t"), F.col("role").alias("r")))
+    same = (F.col("conv_id") == F.col("c")) & F.col("turn").eqNullSafe(F.col("t")) & F.col("role").eqNullSafe(F.col("r"))
+    alone = hashed.drop("text").join(tied, same, "left_anti").withColumn("k", F.lit(1))
+    by_text = Window.partitionBy("conv_id", "turn", "role").orderBy(F.col("text").asc_nulls_first())
+    repeated = hashed.join(tied, same, "left_semi").withColumn("k", F.row_number().over(by_text)).drop("text")
+    order = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), F.col("role").asc_nulls_first(), "k")
+    return alone.unionByName(repeated).select("conv_id", F.row_number().over(order).alias("pos"), "a", "b")
 
 
 def maximal(turns: DataFrame) -> DataFrame:
-    """conv_id, n_turns, n_copies of the conversations that stay; turns: (conv_id, pos, role, text)."""
+    """conv_id, n_turns, n_copies of the conversations that stay; turns: (conv_id, pos, a, b)."""
     so_far = Window.partitionBy("conv_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     all_of = Window.partitionBy("conv_id")
-    rolled = turns.select("conv_id", "pos", _turn_key().alias("h1"), _turn_key(F.lit("second")).alias("h2"))
+    rolled = turns.select("conv_id", "pos", F.xxhash64("pos", "a", "b").alias("h1"), F.xxhash64(F.lit(SECOND), "pos", "a", "b").alias("h2"))
     rolled = rolled.select(
         "conv_id", "pos", F.expr("bit_xor(h1)").over(so_far).alias("h1"), F.expr("bit_xor(h2)").over(so_far).alias("h2"), F.max("pos").over(all_of).alias("n")
     )
@@ -45,10 +59,12 @@ def maximal(turns: DataFrame) -> DataFrame:
     return whole.join(longer, ["n", "h1", "h2"], "left_anti").select("conv_id", F.col("n").alias("n_turns"), "n_copies")
 
 
-def render(turns: DataFrame) -> DataFrame:
-    """conv_id, rendered: the turns in order, each as <|role|>, text and <|end|>."""
-    one = F.struct("pos", F.concat(F.lit(START), F.coalesce("role", F.lit("")), F.lit(MIDDLE), F.coalesce("text", F.lit("")), F.lit(END)).alias("line"))
-    return turns.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(one)), lambda x: x["line"]), "").alias("rendered"))
+def render(src: DataFrame) -> DataFrame:
+    """conv_id, rendered: the turns in order, each as <|role|>, text and <|end|>; src: (conv_id, turn, role, text)."""
+    line = lambda x: F.concat(F.lit(START), F.coalesce(x["role"], F.lit("")), F.lit(MIDDLE), F.coalesce(x["text"], F.lit("")), F.lit(END))
+    # Fields of a struct sort with nulls first.
+    in_order = F.array_sort(F.collect_list(F.struct("turn", "role", "text")))
+    return src.groupBy("conv_id").agg(F.array_join(F.transform(in_order, line), "").alias("rendered"))
 
 
 def collapse(conversations: DataFrame) -> DataFrame:
@@ -58,11 +74,12 @@ def collapse(conversations: DataFrame) -> DataFrame:
     turns of their own. A null role or text renders as empty but is not equal to
     an empty one. Rows without conv_id belong to no conversation and are left
     out. Equal conversations count as copies of the least id; other columns are
-    not read. An empty table gives none.
+    not read. An empty table gives none. One task hashes and renders a whole
+    conversation, however long.
     """
-    turns = _turns(conversations)
-    kept = stored(maximal(turns))
-    return kept.join(render(turns.join(kept.select("conv_id"), "conv_id", "left_semi")), "conv_id").select("conv_id", F.col("n_turns").cast("long").alias("n_turns"), "n_copies", "rendered")
+    src = _source(conversations)
+    kept = stored(maximal(_positions(src)))
+    return kept.join(render(src.join(kept.select("conv_id"), "conv_id", "left_semi")), "conv_id").select("conv_id", F.col("n_turns").cast("long").alias("n_turns"), "n_copies", "rendered")
 
 
 ORACLE = """
