@@ -15,7 +15,7 @@ fingerprints can share a node.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +28,7 @@ from satchel.llm.common import components, map_batches, stored, text_bytes, tidi
 BUDGET = 2
 SEED = 42
 NODE = 4096
+FRONTIER = 1 << 18  # node pairs in hand
 
 
 def shingle_hashes(text: bytes, k: int = 3) -> list[int]:
@@ -71,18 +72,21 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return map_batches(src, each, "doc_id long, copy long, fp long")
 
 
-def trie_pairs(x: np.ndarray, lo: np.ndarray, hi: np.ndarray, depth: int, budget: int = BUDGET) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs of x (uint64, distinct and sorted within each node [lo, hi)) that differ in at most budget bits.
+def pair_blocks(x: np.ndarray, lo: np.ndarray, hi: np.ndarray, depth: int, budget: int = BUDGET, most: int = FRONTIER) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs of x (uint64, distinct and sorted within each node [lo, hi)) that differ in at most budget bits, in blocks.
 
-    All node pairs of a level are one array; a pair of leaves is settled at once.
+    Node pairs of a level go down together, at most `most` at once, the others wait; a pair of leaves is settled at once.
     """
     wide = hi - lo > 1
-    al, ah = lo[wide], hi[wide]
-    bl, bh, err = al, ah, np.zeros(len(al), np.int8)
-    left, right = [], []
-    for bit in range(63 - depth, -1, -1):
-        if not len(al):
-            break
+    waiting = [(63 - depth, lo[wide], hi[wide], lo[wide], hi[wide], np.zeros(int(wide.sum()), np.int8))]
+    while waiting:
+        bit, al, ah, bl, bh, err = waiting.pop()
+        if bit < 0 or not len(al):
+            continue
+        if len(al) > most:
+            half = len(al) // 2
+            waiting += [(bit, *(v[part] for v in (al, ah, bl, bh, err))) for part in (slice(half, None), slice(half))]
+            continue
         ones = np.zeros(len(x) + 1, np.int64)
         np.cumsum((x >> np.uint64(bit)) & np.uint64(1), out=ones[1:], dtype=np.int64)
         am, bm = ah - (ones[ah] - ones[al]), bh - (ones[bh] - ones[bl])
@@ -98,32 +102,27 @@ def trie_pairs(x: np.ndarray, lo: np.ndarray, hi: np.ndarray, depth: int, budget
             if leaf.any():
                 i, j = a[leaf], c[leaf]
                 near = np.bitwise_count(x[i] ^ x[j]) <= budget
-                left.append(i[near])
-                right.append(j[near])
+                yield i[near], j[near]
             ok &= ~leaf
             kept.append([v[ok] for v in (a, b, c, d, e)])
-        al, ah, bl, bh, err = (np.concatenate(v) for v in zip(*kept, strict=True))
-    none = np.zeros(0, np.int64)
-    return np.concatenate([none, *left]), np.concatenate([none, *right])
-
-
-def forest(i: np.ndarray, j: np.ndarray) -> list[tuple[int, int]]:
-    """A spanning forest of the pairs, as (member, root)."""
-    up: dict[int, int] = {}
-
-    def find(v: int) -> int:
-        root = v
-        while (p := up.get(root, root)) != root:
-            root = p
-        while v != root:
-            up[v], v = root, up.get(v, v)
-        return root
-
-    for a, b in zip(i.tolist(), j.tolist(), strict=True):
-        a, b = find(a), find(b)
-        if a != b:
-            up[max(a, b)] = min(a, b)
-    return [(v, find(v)) for v in list(up)]
+        waiting.append((bit - 1, *(np.concatenate(v) for v in zip(*kept, strict=True))))
+
+
+def forest(n: int, blocks: Iterable[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of 0 ... n - 1 under the pairs, as members and their roots."""
+    root = np.arange(n)
+    for i, j in blocks:
+        while True:
+            a, b = root[i], root[j]
+            apart = a != b
+            if not apart.any():
+                break
+            i, j = i[apart], j[apart]
+            np.minimum.at(root, np.maximum(a, b)[apart], np.minimum(a, b)[apart])
+            while (up := root[root]).tobytes() != root.tobytes():
+                root = up
+    members = np.flatnonzero(root != np.arange(n))
+    return members, root[members]
 
 
 def _join_nodes(nodes: DataFrame, depth: int) -> DataFrame:
@@ -136,8 +135,8 @@ def _join_nodes(nodes: DataFrame, depth: int) -> DataFrame:
             path, node, bits, fp = c
             new = np.flatnonzero((path[1:] != path[:-1]) | (node[1:] != node[:-1])) + 1
             lo, hi = np.concatenate([[0], new]), np.concatenate([new, [len(fp)]])
-            links = forest(*trie_pairs(bits.view(np.uint64), lo, hi, depth))
-            return pa.record_batch([pa.array([int(fp[a]) for a, _ in links], pa.int64()), pa.array([int(fp[b]) for _, b in links], pa.int64())], ["a", "b"])
+            members, roots = forest(len(fp), pair_blocks(bits.view(np.uint64), lo, hi, depth))
+            return pa.record_batch([pa.array(fp[members]), pa.array(fp[roots])], ["a", "b"])
 
         for b in batches:
             if not b.num_rows:
@@ -203,7 +202,9 @@ def near_duplicates(docs: DataFrame, most: int = NODE) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id, one row for each row of docs.
 
     Null and empty texts have fingerprint zero, which links like any other.
-    Repeated rows give repeated results; other columns are not read.
+    Repeated rows give repeated results, equal fingerprints one component; other
+    columns are not read. An empty table gives none. A text is hashed whole in
+    one task, whatever its length.
     """
     prints = stored(fingerprints(docs))
     return prints.join(groups(prints, most), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
