@@ -28,9 +28,20 @@ def stored(df: DataFrame) -> DataFrame:
     """df written to the shared folder and read again, so that a lost executor
     costs no recomputation and later plans start from a table."""
     spark = df.sparkSession
+    ship(spark)
     path = f"{shared_dir(spark)}/satchel-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._satchel_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes the files of stored() tables that nothing reads any more."""
+    for t in tables:
+        jvm = t.sparkSession._jvm
+        path = jvm.org.apache.hadoop.fs.Path(t._satchel_path)
+        path.getFileSystem(t.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 _trim = getattr(ctypes.CDLL(None), "malloc_trim", None)

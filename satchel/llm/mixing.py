@@ -13,7 +13,10 @@ its tokens, disjointly, and a shard orders its documents by hash.
 
 Only DataFrame functions run. Documents are never in one task by source: sizes
 are summed by (source, block), and only the block where a rest ends is ordered
-by document. Tables of sources and blocks have at most BLOCKS rows a source.
+by document. Blocks and tokens are put in order in two levels, slices of the key
+first, so that neither a source nor the root of the tree is one task. Only the
+table of sources, a row each, is. plan() has BLOCKS blocks a source, draw()
+more where they would exceed BLOCK_CHARS characters.
 """
 
 from __future__ import annotations
@@ -26,6 +29,7 @@ from satchel.llm.common import stored
 WEIGHTS = (5, 2, 1)  # by source in code-point order, null last, repeating
 MOST_PASSES = 3
 BLOCKS = 1024
+BLOCK_CHARS = 8_000_000
 SHARDS = 16
 
 
@@ -63,11 +67,23 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
     return w.select("source", "source_size", F.least(target, F.col("cap").cast("double")).alias("target"))
 
 
+def _before(df: DataFrame, key: Column, by: list[str], ties: list[str], value: Column) -> DataFrame:
+    """df with before, the sum of value over the rows of a group that come earlier in the order of an MD5 key,
+    and everything, the sum over the group. The key's first three digits cut a group into 4,096 slices."""
+    marked = df.withColumn("_key", key).withColumn("_slice", F.substring("_key", 1, 3)).withColumn("_value", value)
+    totals = marked.groupBy(*by, "_slice").agg(F.sum("_value").alias("_total"))
+    earlier = Window.partitionBy(*by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    slices = totals.select(*by, "_slice", F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_earlier"), F.sum("_total").over(Window.partitionBy(*by)).alias("everything"))
+    within = Window.partitionBy(*by, "_slice").orderBy("_key", *ties).rowsBetween(Window.unboundedPreceding, -1)
+    placed = marked.join(slices, [*by, "_slice"]).withColumn("before", F.col("_earlier") + F.coalesce(F.sum("_value").over(within), F.lit(0)))
+    return placed.drop("_key", "_slice", "_value", "_earlier")
+
+
 def _rows(docs: DataFrame, blocks: int, *more: Column) -> DataFrame:
     name = F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("-"))
     key = _key(F.lit("doc"), F.coalesce(F.col("doc_id").cast("string"), F.lit("-")))
     rows = docs.select(*more, F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size_of(F.col("text")).alias("size"), name.alias("name"), key.alias("key"))
-    return rows.withColumn("block", F.conv(F.substring("key", 1, 6), 16, 10).cast("int") % blocks)
+    return rows.withColumn("block", (F.conv(F.substring("key", 1, 12), 16, 10).cast("long") % blocks).cast("int"))
 
 
 def _quotas(of_block: DataFrame, weights: tuple[int, ...], most: int) -> DataFrame:
@@ -76,8 +92,7 @@ def _quotas(of_block: DataFrame, weights: tuple[int, ...], most: int) -> DataFra
     b = of_block.join(t, F.col("source").eqNullSafe(F.col("t_source"))).drop("t_source")
     b = b.withColumn("passes", F.when(F.col("source_size") > 0, F.least(F.lit(most), F.floor(F.col("target") / F.col("source_size")))).otherwise(0).cast("int"))
     b = b.withColumn("rest", F.round(F.col("target")).cast("long") - F.col("passes") * F.col("source_size"))
-    in_turn = Window.partitionBy("name").orderBy(_key(F.lit("block"), F.col("name"), F.col("block").cast("string")), "block").rowsBetween(Window.unboundedPreceding, -1)
-    b = b.withColumn("before", F.coalesce(F.sum("words").over(in_turn), F.lit(0)))
+    b = _before(b, _key(F.lit("block"), F.col("name"), F.col("block").cast("string")), ["name"], ["block"], F.col("words")).drop("everything")
     return b.withColumn("drawn", F.when(F.col("before") >= F.col("rest"), "none").when(F.col("before") + F.col("words") <= F.col("rest"), "whole").otherwise("part"))
 
 
@@ -104,7 +119,8 @@ def plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_P
     taken = passes * size + part. Null texts have size 0; null sources are one
     source, after all others; null ids go to one block; rows with one id in a
     source share the words that a partial pass leaves them. A source without
-    words has target 0. Columns other than doc_id, text and source are not read.
+    words has target 0. Equal keys are ordered by the columns after them; an
+    empty table gives none; very long texts are only counted. Columns other than doc_id, text and source are not read.
     """
     rows = stored(_rows(docs, blocks))
     b = _blocks(rows, weights, most)
@@ -121,10 +137,14 @@ def draw(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_P
 
     Whole documents only: the one document of a source that plan() takes in part
     is in the last pass if that part is half of it or more. Documents without
-    words come with the whole passes of their source.
+    words come with the whole passes of their source. Nulls, repeated rows and
+    empty tables as in plan(); columns may have any names. A shard of about
+    shard_words words is sorted in one task, a very long text makes it longer.
     """
     small = 100_000  # rows of the block table that are broadcast; beyond, both sides are shuffled
-    rows = _rows(docs, blocks, F.struct(*docs.columns).alias("_row"))
+    chars = docs.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
+    blocks = max(blocks, 1 + int(chars // BLOCK_CHARS))
+    rows = _rows(docs, blocks, F.struct("*").alias("_row"))
     b = _blocks(rows.drop("_row"), weights, most)
     size = b.agg(F.coalesce(F.sum("words"), F.lit(0)).alias("words"), F.count("*").alias("n")).first()
     tokens = stored(_tree(b, 1 + int(size.words // shard_words)))
@@ -142,15 +162,17 @@ def _tree(blocks: DataFrame, shards: int) -> DataFrame:
     split over a binary tree of shards; then the n-th block of a source takes its n-th token."""
     passes = F.col("passes") + (F.col("drawn") != "none").cast("int")
     tokens = blocks.where(passes > 0).select("name", "block", F.explode(F.sequence(F.lit(1), passes)).alias("pass"), "passes")
-    nth = Window.partitionBy("name").orderBy(_key(F.lit("draw"), F.col("name"), F.col("block").cast("string"), F.col("pass").cast("string")), "block", "pass")
-    t = tokens.select("name", "block", "pass", (F.col("pass") > F.col("passes")).alias("last"), F.row_number().over(nth).alias("n"))
+    key = _key(F.lit("draw"), F.col("name"), F.col("block").cast("string"), F.col("pass").cast("string"))
+    t = _before(tokens, key, ["name"], ["block", "pass"], F.lit(1))
+    t = stored(t.select("name", "block", "pass", (F.col("pass") > F.col("passes")).alias("last"), (F.col("before") + 1).cast("int").alias("n")))
     urn = t.select("name", "n", F.lit(0).alias("lo"), F.lit(shards).alias("hi"))
     for depth in range((shards - 1).bit_length()):
-        at = Window.partitionBy("lo", "hi")
-        place = F.row_number().over(at.orderBy(_key(F.lit(f"level {depth}"), F.col("name"), F.col("n").cast("string")), "name", "n"))
+        at = _before(urn, _key(F.lit(f"level {depth}"), F.col("name"), F.col("n").cast("string")), ["lo", "hi"], ["name", "n"], F.lit(1))
         mid, wide = F.floor((F.col("lo") + F.col("hi")) / 2).cast("int"), F.col("hi") - F.col("lo") > 1
-        split = urn.select("*", mid.alias("mid"), (wide & (place * (F.col("hi") - F.col("lo")) <= F.count("*").over(at) * (mid - F.col("lo")))).alias("left"))
+        split = at.select("*", mid.alias("mid"), (wide & ((F.col("before") + 1) * (F.col("hi") - F.col("lo")) <= F.col("everything") * (mid - F.col("lo")))).alias("left"))
         urn = split.select("name", "n", F.when(~wide | F.col("left"), F.col("lo")).otherwise(F.col("mid")).alias("lo"), F.when(F.col("left"), F.col("mid")).otherwise(F.col("hi")).alias("hi"))
+        if depth % 4 == 3:
+            urn = stored(urn)  # keeps the plan short
     return t.join(urn.select("name", "n", F.col("lo").alias("shard")), ["name", "n"]).select("name", "block", "pass", "last", "shard")
 
 
@@ -166,7 +188,7 @@ u{d + 1} AS (SELECT name, n, CASE WHEN hi - lo <= 1 OR lft THEN lo ELSE mid END
     return rf"""
 WITH r AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
     coalesce('=' || source, '-') AS name, md5('doc/' || coalesce(CAST(doc_id AS VARCHAR), '-')) AS key FROM documents),
-rows_ AS (SELECT *, CAST('0x' || key[1:6] AS INTEGER) % {blocks} AS block FROM r),
+rows_ AS (SELECT *, CAST(CAST('0x' || key[1:12] AS BIGINT) % {blocks} AS INTEGER) AS block FROM r),
 src AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM rows_ GROUP BY source),
 w AS (SELECT *, [{w}][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(weights)} + 1] AS weight, source_size * {most} AS cap FROM src),
 x AS (SELECT *, CAST(sum(source_size) OVER () - coalesce(sum(cap) OVER o, 0) AS BIGINT) AS lft, CAST(sum(weight) OVER () - coalesce(sum(weight) OVER o, 0) AS BIGINT) AS opn
