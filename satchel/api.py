@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import argparse
 import logging
+import os
 import sys
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from satchel.operators import integrity, manifest
+from satchel.operators import manifest
 from satchel.operators.patterns import Pattern, mark_unpacked, select
 from satchel.sources.archive import read_archive, write_archive
 from satchel.sources.files import read_files
@@ -52,11 +53,10 @@ def listing(spark: SparkSession, archive: str, verbose: bool = False, **selectio
 
 def extract_to(spark: SparkSession, archive: str, destination: str = ".", keep_existing: bool = False, check: bool = False, **selection) -> DataFrame:  # noqa: ANN003
     found = members(spark, archive, content=True, **selection)
-    done = extract(found, destination, keep_existing)
-    if check:
-        r = integrity.report(integrity.verify(found)).first()
-        if r.errors:
-            raise ValueError(f"{r.errors} members fail their hash")
+    done = extract(found, destination, keep_existing, check)
+    damaged = done.where("action = 'damaged'").count() if check else 0
+    if damaged:
+        raise ValueError(f"{damaged} members are damaged and were not written")
     return done
 
 
@@ -108,11 +108,14 @@ def main(argv: list[str] | None = None) -> int:
                 into += [Pattern(t, **style) for t in map(str.strip, f) if t and not t.startswith("#")]
     from satchel.session import session
 
-    spark = session("local[*]")
+    spark = session()  # the master is spark-submit's, or all cores of this machine
     chosen = {"include": a.include, "exclude": a.exclude, "paths": a.paths}
     try:
         if a.create:
             create(spark, a.file, a.paths, a.exclude, a.unpack, a.format, bool(a.compress), bool(a.integrity))
+            if (a.format or "") != "cdump" and not a.file.endswith((".c", ".h")):
+                for r in listing(spark, a.file, a.verbose).toLocalIterator():
+                    print(r.line)
         elif a.list:
             for r in listing(spark, a.file, a.verbose, **chosen).toLocalIterator():
                 print(r.line)
@@ -121,7 +124,8 @@ def main(argv: list[str] | None = None) -> int:
                 sys.stdout.buffer.write(b)
         else:
             done = extract_to(spark, a.file, a.directory or ".", a.keep_old_files, bool(a.integrity), **chosen)
-            log.info("%d files", done.count())
+            for r in done.orderBy("path").toLocalIterator():
+                log.info("%s", {"written": r.line if a.verbose else r.path, "kept": f"keeping existing file: {r.path}"}.get(r.action, r.path))
     except (ValueError, OSError) as e:
         log.error("%s", e)
         return 1

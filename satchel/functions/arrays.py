@@ -34,3 +34,11 @@ def resize(c: Column, n: int, fill: Column) -> Column:
 def drop_repeats(c: Column) -> Column:
     """Without elements equal to the one before."""
     return F.filter(c, lambda x, i: (i == 0) | ~x.eqNullSafe(F.get(c, i - 1)))
+
+
+def append_range(c: Column, lo: Column, hi: Column) -> Column:
+    """Ranges (structs of lo and hi, in order and apart) with one more at the end; an error if it is empty or not above the last."""
+    top = F.try_element_at(c, F.lit(-1))["hi"]
+    fits = (lo <= hi) & (top.isNull() | (lo > top))
+    more = F.concat(c, F.array(F.struct(lo.alias("lo"), hi.alias("hi"))))
+    return F.when(fits, more).otherwise(F.raise_error(F.lit("range out of order")).cast("array<struct<lo:int,hi:int>>"))

@@ -66,7 +66,8 @@ def _series(kind: str, one) -> object:
     def run(s: pd.Series) -> pd.Series:
         return s.map(lambda x: None if x is None or x is pd.NA else one(x))
 
-    return run
+    # A null number arrives as NaN.
+    return lambda c: F.when(c.isNotNull(), run(c))
 
 
 def double_bits(c: Column) -> Column:
@@ -158,3 +159,101 @@ def shell_quote(c: Column) -> Column:
     from shlex import quote
 
     return _series("string", quote)(c)
+
+
+def float_of_bits(c: Column) -> Column:
+    @F.pandas_udf("float")
+    def run(s: pd.Series) -> pd.Series:
+        return pd.Series(s.to_numpy(np.int32).view(np.float32))
+
+    return run(c)
+
+
+def hex_float(c: Column) -> Column:
+    """Exact: 0x1.<6 digits>p<exponent>, where the 23 bits of the fraction stand shifted by one."""
+
+    def one(x: float) -> str:
+        bits = int(np.float32(x).view(np.uint32))
+        sign, exponent, fraction = "-" if bits >> 31 else "", bits >> 23 & 255, bits & 0x7FFFFF
+        if exponent == 255:
+            return (sign or "+") + ("nan" if fraction else "inf")
+        power = exponent - 127 if exponent else (-126 if fraction else 0)
+        return f"{sign}0x{int(exponent > 0)}.{fraction << 1:06x}p{power:+d}"
+
+    return _series("string", one)(c)
+
+
+_hex_float = re.compile(r"([-+]?)(?:(inf)|(nan)|0x([01])\.([0-9a-fA-F]{6})p([-+][0-9]+))")
+
+
+def float_of_hex(c: Column) -> Column:
+    """What hex_float() writes; null for anything else."""
+
+    def one(x: str) -> float | None:
+        m = _hex_float.fullmatch(x)
+        if not m:
+            return None
+        sign = -1.0 if m[1] == "-" else 1.0
+        if m[2] or m[3]:
+            return sign * float(m[2] or m[3])
+        exponent = int(m[6]) + 127 if m[4] == "1" else 0
+        if not 0 <= exponent <= 254:
+            return None
+        return float(np.uint32((m[1] == "-") << 31 | exponent << 23 | int(m[5], 16) >> 1).view(np.float32))
+
+    return _series("float", one)(c)
+
+
+def _byte(c: Column, at: Column) -> Column:
+    """Byte at a place from 0 as a number; 0 beyond the end."""
+    return F.coalesce(F.conv(F.nullif(F.hex(F.substr(c, at + 1, F.lit(1))), F.lit("")), 16, 10).cast("int"), F.lit(0))
+
+
+def is_lead(byte: Column) -> Column:
+    """Whether a byte begins a UTF-8 sequence of several."""
+    return byte.bitwiseAND(F.lit(0xC0)) == 0xC0
+
+
+def is_tail(byte: Column) -> Column:
+    """Whether a byte continues a UTF-8 sequence."""
+    return byte.bitwiseAND(F.lit(0xC0)) == 0x80
+
+
+def is_wide(byte: Column) -> Column:
+    """Whether a byte is part of a UTF-8 sequence of several."""
+    return byte.bitwiseAND(F.lit(0x80)) == 0x80
+
+
+def byte_counts(c: Column) -> Column:
+    """lead, tail and plain: how many bytes of each class a binary holds."""
+    pairs = F.regexp_extract_all(F.hex(c), F.lit("(..)"), F.lit(1))
+    count = lambda digits: F.size(F.filter(pairs, lambda x: F.substring(x, 1, 1).isin(*digits))).cast("long")
+    return F.struct(count("CDEF").alias("lead"), count("89AB").alias("tail"), count("01234567").alias("plain"))
+
+
+def first_code_point(c: Column, at: Column | None = None) -> Column:
+    """code and used (bytes) of the UTF-8 sequence at a place, without checks: its length is taken from the
+    first byte alone and six bits from each byte after it. A byte that continues a sequence gives 0 and uses none."""
+    at = F.lit(0) if at is None else at
+    b = [_byte(c, at + k) for k in range(4)]
+    six = lambda k, shift: F.shiftleft(b[k].bitwiseAND(F.lit(0x3F)), shift)
+    top = lambda mask, shift: F.shiftleft(b[0].bitwiseAND(F.lit(mask)), shift)
+    used = F.when(b[0] < 0x80, 1).when(b[0] < 0xC0, 0).when(b[0] < 0xE0, 2).when(b[0] < 0xF0, 3).otherwise(4)
+    code = F.when(used == 1, b[0]).when(used == 0, 0).when(used == 2, top(0x1F, 6) + six(1, 0)).when(used == 3, top(0x0F, 12) + six(1, 6) + six(2, 0)).otherwise(top(0x07, 18) + six(1, 12) + six(2, 6) + six(3, 0))
+    return F.struct(code.alias("code"), used.alias("used"))
+
+
+def from_utf16(c: Column, replace: bool = True) -> Column:
+    """Text of UTF-16LE bytes; broken ones become U+FFFD, or the result null."""
+    return _series("string", lambda b: _decoded(b, "utf-16-le", replace))(c)
+
+
+def from_utf32(c: Column, replace: bool = True) -> Column:
+    return _series("string", lambda b: _decoded(b, "utf-32-le", replace))(c)
+
+
+def _decoded(b: bytes, kind: str, replace: bool) -> str | None:
+    try:
+        return bytes(b).decode(kind, "replace" if replace else "strict")
+    except UnicodeDecodeError:
+        return None

@@ -47,3 +47,28 @@ def member_json() -> Column:
         size=F.col("size"), unpacked=only(F.col("unpacked")), offset=F.when(~F.col("unpacked"), F.col("offset").cast("string")),
         executable=only(F.col("executable")), integrity=integrity, compression=compression,
     )
+
+
+def elements(c: Column, path: str = "$", kind: str = "string") -> Column:
+    """Elements of the array at a path; null if there is none or an element is of another kind."""
+    return F.try_variant_get(F.try_parse_json(c), path, f"array<{kind}>")
+
+
+def put_array(*values: Column) -> Column:
+    """An array of the values in order, null as null."""
+    return F.to_json(F.array(*values), {"ignoreNullFields": "false"})
+
+
+def indented(c: Column) -> Column:
+    """The same value with a line for each element or field, one space deeper a level; null if it is no JSON."""
+    import json
+
+    from satchel.functions.binary import _series
+
+    def one(x: str) -> str | None:
+        try:
+            return json.dumps(json.loads(x), indent=1, ensure_ascii=False)
+        except ValueError:
+            return None
+
+    return _series("string", one)(c)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -81,11 +82,54 @@ def hex_int(c: Column) -> Column:
     return F.lower(F.hex(c))
 
 
-def printf(template: str, *args: Column) -> Column:
-    """%% s c d u x and their l and ll forms; no widths."""
-    import re
+_directive = re.compile(r"%(%|s|c|lc|wc|d|x|t|u|z|g|ld|lu|lld|llu|lx)")
+
 
-    return F.format_string(re.sub(r"%(?:ll|l)?u", "%d", re.sub(r"%(?:ll|l)([dx])", r"%\1", template)), *args)
+def printf(template: str, *args: Column) -> Column:
+    """%% s c lc wc d x t u z g and ld lu lx lld llu; no widths. c, lc and wc take code points, u, z and their
+    long forms count a negative number as 64 bits without a sign, g has 17 digits."""
+    from satchel.functions.binary import from_code_point, shortest_17
+
+    out, given, at = [], iter(args), 0
+    for m in _directive.finditer(template):
+        if "%" in template[at : m.start()]:
+            break
+        out.append(F.lit(template[at : m.start()]))
+        at, kind = m.end(), m[1]
+        if kind == "%":
+            out.append(F.lit("%"))
+            continue
+        c = next(given)
+        if kind in ("c", "lc", "wc"):
+            out.append(from_code_point(c))
+        elif kind in ("x", "lx"):
+            out.append(hex_int(c))
+        elif kind == "g":
+            out.append(shortest_17(c.cast("double")))
+        elif kind in ("u", "z", "lu", "llu"):
+            n = c.cast("decimal(20,0)")
+            out.append(F.when(n < 0, n + F.lit(str(1 << 64)).cast("decimal(20,0)")).otherwise(n).cast("decimal(20,0)").cast("string"))
+        else:
+            out.append(c.cast("string"))
+    if "%" in template[at:]:
+        raise ValueError(f"unknown directive in {template!r}")
+    return F.concat(*out, F.lit(template[at:]))
+
+
+def prefix(c: Column, n: int) -> Column:
+    return F.substring(c, 1, n)
+
+
+def lines(c: Column) -> Column:
+    """Lines without their ends, \\n or \\r\\n; what follows the last end is a line if it is not empty."""
+    every = F.split(c, "\n")
+    ended = F.when(F.endswith(c, F.lit("\n")) | (c == ""), F.slice(every, 1, F.size(every) - 1)).otherwise(every)
+    return F.transform(ended, lambda x: F.regexp_replace(x, "\r$", ""))
+
+
+def compare(a: Column, b: Column) -> Column:
+    """-1, 0 or 1 by code points; null comes before every string."""
+    return F.when(a.eqNullSafe(b), 0).when(a.isNull() | (a < b), -1).otherwise(1)
 
 
 def concat_all(*parts: Column) -> Column:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -48,3 +51,17 @@ def report(verified: DataFrame) -> DataFrame:
         F.coalesce(F.sum("bad_blocks"), F.lit(0)).cast("long").alias("bad_blocks"),
         F.count_if(F.octet_length("content") != F.coalesce("compression.original_size", "size")).alias("wrong_size"),
     )
+
+
+def digest_of_parts(parts: DataFrame, by: str, order: str = "block", content: str = "content") -> DataFrame:
+    """by, digest: of each file's parts in their order, which are never one value; a task holds the parts of one file."""
+
+    def run(table: pa.Table) -> pa.Table:
+        h = hashlib.sha256()
+        for chunk in table.sort_by(order)[content].chunks:
+            for part in chunk:
+                h.update(memoryview(part.as_buffer()) if part.is_valid else b"")
+        return pa.table({by: table[by].slice(0, 1), "digest": pa.array([h.digest()], pa.binary())})
+
+    kind = parts.schema[by].dataType.simpleString()
+    return parts.select(by, order, content).groupBy(by).applyInArrow(run, f"{by} {kind}, digest binary")

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from satchel.session import shared_dir
+
 
 def path_of(parent: Column, name: Column) -> Column:
     return F.concat_ws("/", parent, name)
@@ -79,9 +83,29 @@ def dump_directory(members: DataFrame, width: int = 1 << 16) -> DataFrame:
     ).orderBy("name")
 
 
+def numbered(df: DataFrame, *order: Column, name: str = "ordinal") -> DataFrame:
+    """df with 0, 1, ... in an order. The rows are sorted by ranges into a table of the shared folder, and
+    numbers begin with the count of rows in the parts before: no task sees more than its range."""
+    placed = df.drop(name).orderBy(*order)
+    # A row's number within its part is the low 33 bits.
+    marked = placed.select("*", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("_nth"))
+    path = f"{shared_dir(df.sparkSession)}/satchel-{uuid.uuid4().hex}"
+    marked.write.parquet(path)
+    table = df.sparkSession.read.schema(marked.schema).parquet(path)
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = table.groupBy("_part").agg(F.count("*").alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
+    return table.join(F.broadcast(parts), "_part").withColumn(name, F.col("_first") + F.col("_nth")).drop("_part", "_nth", "_first")  # a row a partition
+
+
 def preorder(members: DataFrame) -> DataFrame:
-    """In the order of path segments, a directory before what it holds."""
-    return members.orderBy(F.split("path", "/"))
+    """members with ordinal in the order of path segments, a directory before what it holds."""
+    return numbered(members, F.split("path", "/"))
+
+
+def with_defaults(members: DataFrame) -> DataFrame:
+    """Attributes that an entry does not state: size and offset 0, not executable, not unpacked."""
+    values = {"size": F.lit(0).cast("long"), "offset": F.lit(0).cast("long"), "executable": F.lit(False), "unpacked": F.lit(False)}
+    return members.withColumns({c: F.coalesce(c, v) if c in members.columns else v for c, v in values.items()})
 
 
 def children(members: DataFrame) -> DataFrame:

@@ -2,20 +2,24 @@
 
 Patterns given as values become one boolean expression: a regular expression
 for those that look at the path and one for those that look at the name. A
-selection is then a plain filter, with no join and no shuffle. Patterns in a
-table are joined, broadcast if their number is within a bound.
+selection is then a plain filter, with no join and no shuffle. Of patterns in a
+table, literal paths are an equality join; wildcards are counted, and a list
+within a bound becomes regular expressions.
+
+? and sets take one byte, so that a character of several needs as many.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Pattern tables up to this many rows are broadcast.
-MOST_BROADCAST = 10_000
+#: Wildcards of a pattern table, which become expressions of WILD_GROUP each.
+MOST_WILDCARDS, WILD_GROUP = 100_000, 1_000
 
 
 @dataclass(frozen=True)
@@ -101,14 +105,24 @@ def _plain(c: str) -> str:
     return "\\" + c if c.isprintable() else f"\\x{ord(c):02x}"
 
 
-def glob_match(value: Column, glob: str, by_byte: bool = False) -> Column:
-    """Whole-string match; by_byte counts a character of several bytes as so many for ?."""
-    if by_byte:
-        value, glob = F.decode(F.encode(value, "UTF-8"), "ISO-8859-1"), glob.encode().decode("latin-1")
-    return value.rlike(glob_regex(glob))
+def _match_any_glob(value: Column, globs: Iterable[str], by_byte: bool) -> Column:
+    """Bytes are told apart only for patterns in which they can differ from characters."""
+    globs = list(dict.fromkeys(globs))
+    fine = [g for g in globs if by_byte and ("?" in g or "[" in g)]
+    out = []
+    if plain := [g for g in globs if g not in set(fine)]:
+        out.append(value.rlike("|".join(map(glob_regex, plain))))
+    if fine:
+        out.append(F.decode(F.encode(value, "UTF-8"), "ISO-8859-1").rlike("|".join(glob_regex(g.encode().decode("latin-1")) for g in fine)))
+    return reduce(lambda a, b: a | b, out)
+
 
+def glob_match(value: Column, glob: str, by_byte: bool = True) -> Column:
+    """Whole-string match; by_byte counts a character of several bytes as so many for ? and sets."""
+    return _match_any_glob(value, [glob], by_byte)
 
-def matches(path: Column, name: Column, pats: Iterable[Pattern], by_byte: bool = False) -> Column:
+
+def matches(path: Column, name: Column, pats: Iterable[Pattern], by_byte: bool = True) -> Column:
     """Whether any pattern matches; false without patterns."""
     rules = [p.rule() for p in pats]
     out = F.lit(False)
@@ -118,9 +132,7 @@ def matches(path: Column, name: Column, pats: Iterable[Pattern], by_byte: bool =
     for kind, column in (("path", path), ("name", name)):
         globs = [t for k, t in rules if k == kind]
         if globs:
-            if by_byte:
-                column, globs = F.decode(F.encode(column, "UTF-8"), "ISO-8859-1"), [g.encode().decode("latin-1") for g in globs]
-            out = out | column.rlike("|".join(glob_regex(g) for g in dict.fromkeys(globs)))
+            out = out | _match_any_glob(column, globs, by_byte)
     return out
 
 
@@ -134,7 +146,7 @@ def _any_ancestor(path: Column, pats: list[Pattern], by_byte: bool) -> Column:
     return F.exists(ancestors(path), lambda a: matches(a, F.substring_index(a, "/", -1), pats, by_byte))
 
 
-def select(members: DataFrame, include: Iterable[str | Pattern] = (), exclude: Iterable[str | Pattern] = (), paths: Iterable[str] = (), by_byte: bool = False) -> DataFrame:
+def select(members: DataFrame, include: Iterable[str | Pattern] = (), exclude: Iterable[str | Pattern] = (), paths: Iterable[str] = (), by_byte: bool = True) -> DataFrame:
     """Members that no exclusion reaches, itself or by an ancestor, and some inclusion does.
 
     paths are literal inclusions. Without inclusions all are included.
@@ -149,7 +161,7 @@ def select(members: DataFrame, include: Iterable[str | Pattern] = (), exclude: I
     return out
 
 
-def mark_unpacked(members: DataFrame, unpack: Iterable[str | Pattern], by_byte: bool = False) -> DataFrame:
+def mark_unpacked(members: DataFrame, unpack: Iterable[str | Pattern], by_byte: bool = True) -> DataFrame:
     """Matching members become unpacked, without offset or content; what is below a matching directory goes."""
     pats = patterns(unpack)
     if not pats:
@@ -164,34 +176,34 @@ def mark_unpacked(members: DataFrame, unpack: Iterable[str | Pattern], by_byte:
 
 
 def pattern_table(patterns_df: DataFrame) -> DataFrame:
-    """rule and regex for rows (pattern, anchored, literal): one trailing / goes; wildcards are turned on the driver,
-    which is where a list of patterns comes from."""
-    rows = patterns_df.select("pattern", "anchored", "literal").distinct().collect()
-    out = []
-    for r in rows:
-        kind, text = Pattern(r.pattern, r.anchored, r.literal).rule()
-        out.append((r.pattern, kind, text, None if kind == "equals" else glob_regex(text)))
-    return patterns_df.sparkSession.createDataFrame(out, "pattern string, rule string, text string, regex string")
+    """rule ('equals', 'path' or 'name') and text, for rows (pattern, anchored, literal); one trailing / goes."""
+    text = F.regexp_replace("pattern", "/$", "")
+    dotted = F.startswith(text, F.lit("./"))
+    literal, anchored = F.coalesce("literal", F.lit(False)), F.coalesce("anchored", F.lit(False))
+    rule = F.when(literal, "equals").when(anchored | dotted | F.contains(text, F.lit("/")), "path").otherwise("name")
+    body = F.when(~literal & ~anchored & dotted, F.substring(text, 3, 1 << 30)).otherwise(text)
+    return patterns_df.where("pattern is not null").select(rule.alias("rule"), body.alias("text")).distinct()
 
 
-def match_any(members: DataFrame, rules: DataFrame, anti: bool = False) -> DataFrame:
-    """Members that match some row (anti: none) of a pattern_table.
+def match_any(members: DataFrame, rules: DataFrame, anti: bool = False, by_byte: bool = True) -> DataFrame:
+    """Members that match some row (anti: none) of a pattern_table; each row of members once.
 
-    Literal paths are an equality join. Wildcards are a nested-loop semi join
-    against a broadcast; a table beyond MOST_BROADCAST rows is folded into
-    expressions of MOST_BROADCAST patterns each instead.
+    Literal paths, however many, are an equality join. Wildcards have no key to
+    join by: they are counted, and up to MOST_WILDCARDS become filters; more
+    are an error, since each of them looks at each member.
     """
-    name = F.substring_index(members["path"], "/", -1)
-    wild = rules.where("rule <> 'equals'")
-    if wild.limit(MOST_BROADCAST + 1).count() > MOST_BROADCAST:
-        globs = [Pattern(r.pattern) for r in wild.toLocalIterator()]
-        hit = F.lit(False)
-        for i in range(0, len(globs), MOST_BROADCAST):
-            hit = hit | matches(members["path"], name, globs[i : i + MOST_BROADCAST])
-        hit = hit | members["path"].isin([r.text for r in rules.where("rule = 'equals'").collect()])
-        return members.where(~hit if anti else hit)
-    on = ((rules["rule"] == "equals") & (members["path"] == rules["text"])) | ((rules["rule"] == "path") & F.rlike(members["path"], rules["regex"])) | ((rules["rule"] == "name") & F.rlike(name, rules["regex"]))
-    return members.join(F.broadcast(rules), on, "left_anti" if anti else "left_semi")
+    wild = rules.where("rule <> 'equals'").limit(MOST_WILDCARDS + 1).collect()
+    if len(wild) > MOST_WILDCARDS:
+        raise ValueError(f"more than {MOST_WILDCARDS} wildcard patterns")
+    path, name = members["path"], F.substring_index(members["path"], "/", -1)
+    by_rule = [(c, sorted(r.text for r in wild if r.rule == kind)) for kind, c in (("path", path), ("name", name))]
+    groups = [_match_any_glob(c, texts[i : i + WILD_GROUP], by_byte) for c, texts in by_rule for i in range(0, len(texts), WILD_GROUP)]
+    hit = reduce(lambda a, b: a | b, groups, F.lit(False))
+    equal = rules.where("rule = 'equals'").select(F.col("text").alias("_literal")).distinct()
+    if anti:
+        return members.where(~F.coalesce(hit, F.lit(False))).join(equal, path == equal["_literal"], "left_anti")
+    # A left join with distinct texts keeps each member once.
+    return members.join(equal, path == equal["_literal"], "left").where(F.col("_literal").isNotNull() | hit).drop("_literal")
 
 
 def read_patterns(lines: DataFrame) -> DataFrame:

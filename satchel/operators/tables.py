@@ -57,3 +57,18 @@ def in_ranges(x: Column, ranges: list[tuple[int, int]]) -> Column:
     """Whether a code point lies in one of sorted ranges."""
     table = F.array(*[F.struct(F.lit(a).alias("lo"), F.lit(b).alias("hi")) for a, b in ranges])
     return F.exists(table, lambda r: x.between(r["lo"], r["hi"]))
+
+
+def any_in_ranges(c: Column, ranges: list[tuple[int, int]]) -> Column:
+    """Whether any character of a string lies in one of the ranges; by one regular expression."""
+    return c.rlike("[" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in ranges) + "]")
+
+
+def join_ranges(df: DataFrame, value: str, ranges: DataFrame, width: int = 256) -> DataFrame:
+    """Rows of df with each row of ranges (lo, hi, ...) that their value lies in.
+
+    An equality join: a range stands under every block of `width` values that it touches.
+    """
+    blocks = ranges.withColumn("_block", F.explode(F.sequence(F.floor(F.col("lo") / width), F.floor(F.col("hi") / width))))
+    marked = df.withColumn("_block", F.floor(F.col(value) / width))
+    return marked.join(blocks, "_block").where(F.col(value).between(F.col("lo"), F.col("hi"))).drop("_block")

@@ -13,6 +13,7 @@ from satchel.functions import json as js
 from satchel.operators import codec, integrity, manifest, tables
 from satchel.operators.patterns import Pattern, ancestors, glob_match, mark_unpacked, match_any, matches, pattern_table, read_patterns, select
 from satchel.session import shared_dir, ship
+from satchel.sources import pipes
 from satchel.sources.archive import read_archive, write_archive
 from satchel.sources.files import read_files
 from satchel.sources.sinks import extract
@@ -330,15 +331,7 @@ def array_keys(spark, d):
 
 @query(f"WITH {T} SELECT path, row_number() OVER (ORDER BY string_split(path, '/')) - 1 AS ordinal FROM t")
 def preorder(spark, d):
-    t = tree(spark, d)
-    # Region names are few; customers are ranked below their nation, nations below their region.
-    top = F.split("path", "/")[0]
-    from pyspark.sql import Window
-
-    sizes = t.groupBy(top.alias("top")).agg(F.count("*").alias("n"))
-    before = sizes.select("top", F.coalesce(F.sum("n").over(Window.orderBy("top").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    within = F.row_number().over(Window.partitionBy("top").orderBy(F.split("path", "/")))
-    return t.withColumn("top", top).join(before, "top").select("path", (F.col("before") + within - 1).alias("ordinal"))
+    return manifest.preorder(tree(spark, d)).select("path", "ordinal")
 
 
 @query(f"WITH {M} SELECT ordinal, sha256(encode(text)) AS digest FROM m ORDER BY digest")
@@ -465,10 +458,11 @@ def codepoint_in(spark, d):
     return read(spark, d, "documents").where("length(text) > 0").select("doc_id", cp.alias("cp"), tables.in_ranges(cp, [(65, 90), (192, 222)]).alias("upper"))
 
 
-@query("SELECT item_id, text AS t FROM benchmark")
+@query("SELECT item_id, CASE WHEN item_id % 3 = 0 THEN text ELSE text || chr(65279) END AS t, length(text) + CAST(item_id % 3 <> 0 AS INTEGER) AS n FROM benchmark")
 def strip_bom(spark, d):
-    marked = F.concat(F.decode(F.unhex(F.lit("EFBBBF")), "UTF-8"), "text")
-    return read(spark, d, "benchmark").select("item_id", text.strip_bom(marked).alias("t"))
+    mark = F.decode(F.unhex(F.lit("EFBBBF")), "UTF-8")
+    t = text.strip_bom(F.when(F.col("item_id") % 3 == 0, F.concat(mark, "text")).when(F.col("item_id") % 3 == 1, F.concat("text", mark)).otherwise(F.concat(mark, "text", mark)))
+    return read(spark, d, "benchmark").select("item_id", t.alias("t"), F.length(t).cast("long").alias("n"))
 
 
 # Numbers and bytes
@@ -611,6 +605,196 @@ def deflate_roundtrip(spark, d):
 def compress_ratio(spark, d):
     return members(spark, d).where(manifest.compressed() & (F.col("size") > 0)).select("ordinal", codec.ratio().alias("ratio"))
 
+# Bytes and numbers whose values the SQL computes from arithmetic
+
+
+@query("SELECT doc_id, CAST(length(regexp_replace(text, '[\\x00-\\x7F]', '', 'g')) AS BIGINT) AS lead, CAST(octet_length(encode(text)) - length(text) AS BIGINT) AS tail, CAST(length(regexp_replace(text, '[^\\x00-\\x7F]', '', 'g')) AS BIGINT) AS plain FROM documents")
+def byte_classes(spark, d):
+    return read(spark, d, "documents").select("doc_id", binary.byte_counts(F.encode("text", "UTF-8")).alias("n")).select("doc_id", "n.*")
+
+
+@query("""WITH b AS (SELECT o_orderkey, o_orderkey * 40503 % 256 AS a, o_orderkey * 7919 % 256 AS b, o_orderkey * 104729 % 256 AS c, o_orderkey * 1299709 % 256 AS d FROM orders)
+SELECT o_orderkey, CAST(CASE WHEN a < 128 THEN a WHEN a < 192 THEN 0 WHEN a < 224 THEN (a & 31) * 64 + (b & 63) WHEN a < 240 THEN (a & 15) * 4096 + (b & 63) * 64 + (c & 63)
+  ELSE (a & 7) * 262144 + (b & 63) * 4096 + (c & 63) * 64 + (d & 63) END AS INTEGER) AS code, CASE WHEN a < 128 THEN 1 WHEN a < 192 THEN 0 WHEN a < 224 THEN 2 WHEN a < 240 THEN 3 ELSE 4 END AS used FROM b""")
+def utf8_lenient(spark, d):
+    byte = lambda m: F.unhex(F.lpad(F.hex(F.col("o_orderkey").cast("long") * m % 256), 2, "0"))
+    bytes_ = F.concat(*map(byte, (40503, 7919, 104729, 1299709)))
+    return read(spark, d, "orders").select("o_orderkey", binary.first_code_point(bytes_).alias("x")).select("o_orderkey", "x.*")
+
+
+UNITS = "list_transform(string_split(text, ''), lambda c: printf('%02x%02x', unicode(c) & 255, (unicode(c) >> 8) & 255))"
+
+
+@query(f"SELECT item_id, array_to_string({UNITS}, '') AS h16, array_to_string(list_transform({UNITS}, lambda x: x || '0000'), '') AS h32, text AS t16, text || chr(65533) AS t32, true AS strict FROM benchmark")
+def wide_bytes(spark, d):
+    t = F.col("text")
+    w, broken = binary.utf16(t), F.concat(binary.utf32(t), F.unhex(F.lit("00D80000")))
+    return read(spark, d, "benchmark").select(
+        "item_id", binary.hex_encode(w).alias("h16"), binary.hex_encode(binary.utf32(t)).alias("h32"), binary.from_utf16(w).alias("t16"), binary.from_utf32(broken).alias("t32"), binary.from_utf32(broken, replace=False).isNull().alias("strict")
+    )
+
+
+PARTS = "x AS (SELECT p_partkey, p_retailprice AS v, CAST(floor(log2(p_retailprice)) AS BIGINT) AS e FROM part), y AS (SELECT *, CAST((v / power(2, e) - 1) * 4503599627370496 AS BIGINT) AS m FROM x)"
+
+
+@query(f"WITH {PARTS} SELECT p_partkey, (e + 1023) * 4503599627370496 + m AS bits, '0x1.' || printf('%013x', m) || 'p+' || e AS h, printf('%.17g', v) AS g, v AS back, v AS unhexed FROM y")
+def double_bits(spark, d):
+    x = F.col("p_retailprice")
+    bits = binary.double_bits(x)
+    return read(spark, d, "part").select("p_partkey", bits.alias("bits"), binary.hex_double(x).alias("h"), binary.shortest_17(x).alias("g"), binary.double_of_bits(bits).alias("back"), binary.double_of_hex(binary.hex_double(x)).alias("unhexed"))
+
+
+FLOATS = "x AS (SELECT p_partkey, CAST(CAST(p_retailprice AS FLOAT) AS DOUBLE) AS v FROM part), y AS (SELECT *, CAST(floor(log2(v)) AS BIGINT) AS e FROM x), z AS (SELECT *, CAST((v / power(2, e) - 1) * 8388608 AS BIGINT) AS m FROM y)"
+
+
+@query(f"WITH {FLOATS} SELECT p_partkey, CAST((e + 127) * 8388608 + m AS INTEGER) AS bits, '0x1.' || printf('%06x', m * 2) || 'p+' || e AS h, v AS back, v AS unhexed FROM z")
+def float_hex(spark, d):
+    x = F.col("p_retailprice").cast("float")
+    bits = binary.float_bits(x)
+    return read(spark, d, "part").select("p_partkey", bits.alias("bits"), binary.hex_float(x).alias("h"), binary.float_of_bits(bits).cast("double").alias("back"), binary.float_of_hex(binary.hex_float(x)).cast("double").alias("unhexed"))
+
+
+@query("""WITH x AS (SELECT p_partkey AS k, p_size AS s, p_partkey % 100 - 50 AS c FROM part)
+SELECT k AS p_partkey, printf('%02x', c & 255) || '00' || printf('%02x%02x', s & 255, (s >> 8) & 255) || printf('%02x%02x%02x%02x', k & 255, (k >> 8) & 255, (k >> 16) & 255, (k >> 24) & 255) AS signed,
+  printf('%02x', s & 255) || '00' || printf('%02x%02x', k & 255, (k >> 8) & 255) || printf('%02x%02x%02x%02x', k & 255, (k >> 8) & 255, (k >> 16) & 255, (k >> 24) & 255) AS unsigned,
+  printf('%02x', c & 255) || '00000000000000' || printf('%02x%02x%02x%02x', k & 255, (k >> 8) & 255, (k >> 16) & 255, (k >> 24) & 255) || '00000000' AS wide,
+  printf('%02x', s & 255) || '00000000000000' || printf('%02x%02x%02x%02x', k & 255, (k >> 8) & 255, (k >> 16) & 255, (k >> 24) & 255) || '00000000' AS wide_unsigned,
+  printf('%02x', s & 255) || '000000' || '0000003f' || '000000000000e0bf' AS reals FROM x""")
+def aligned_layouts(spark, d):
+    k, s = F.col("p_partkey").cast("long"), F.col("p_size").cast("long")
+    c, put = k % 100 - 50, lambda layout, *x: binary.hex_encode(binary.pack(layout, *x))
+    return read(spark, d, "part").select(
+        "p_partkey", put("b@h@i", c, s, k).alias("signed"), put("B@H@I", s, k % 65536, k).alias("unsigned"), put("b@q", c, k).alias("wide"), put("B@Q", s, k).alias("wide_unsigned"),
+        put("B@f@d", s, F.lit(0.5), F.lit(-0.5)).alias("reals"),
+    )
+
+
+@query("""SELECT p_partkey, p_name || ':' || chr(CAST(200 + p_partkey % 50000 AS INTEGER)) || chr(65 + p_size % 26) || chr(97 + p_size % 26) || ' -' || p_size || ' ' || (18446744073709551615 - CAST(p_partkey AS HUGEINT)) || ' ' || p_partkey || ' '
+  || p_partkey || ' ' || printf('%.17g', p_retailprice) || ' 5%' AS t FROM part""")
+def printf_all(spark, d):
+    k, s = F.col("p_partkey").cast("long"), F.col("p_size").cast("long")
+    made = text.printf("%s:%lc%wc%c -%t %llu %z %ld %g 5%%", F.col("p_name"), 200 + k % 50000, 65 + s % 26, 97 + s % 26, s, -k - 1, k, k, F.col("p_retailprice"))
+    return read(spark, d, "part").select("p_partkey", made.alias("t"))
+
+
+# Strings, arrays and JSON, continued
+
+
+@query("SELECT p_partkey, p_name[1:4] AS head FROM part")
+def str_prefix(spark, d):
+    return read(spark, d, "part").select("p_partkey", text.prefix(F.col("p_name"), 4).alias("head"))
+
+
+@query("""WITH x AS (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents), y AS (SELECT doc_id, CASE WHEN s[-1] = '' THEN s[1:-2] ELSE s END AS s FROM x)
+SELECT doc_id, list_transform(s, lambda x: regexp_replace(x, '\r$', '')) AS lines FROM y""")
+def read_lines(spark, d):
+    return read(spark, d, "documents").select("doc_id", text.lines(F.col("text")).alias("lines"))
+
+
+@query("SELECT s_suppkey, row_number() OVER (ORDER BY nullif(s_nationkey, 3) NULLS FIRST, s_suppkey DESC) AS place, CASE WHEN s_nationkey = 3 THEN -1 WHEN s_name < 'Supplier#000000500' THEN -1 WHEN s_name = 'Supplier#000000500' THEN 0 ELSE 1 END AS against FROM supplier")
+def null_order(spark, d):
+    key, name = F.nullif("s_nationkey", F.lit(3)), F.when(F.col("s_nationkey") != 3, F.col("s_name"))
+    placed = manifest.numbered(read(spark, d, "supplier"), key.asc_nulls_first(), F.col("s_suppkey").desc(), name="place")
+    return placed.select("s_suppkey", (F.col("place") + 1).alias("place"), text.compare(name, F.lit("Supplier#000000500")).alias("against"))
+
+
+@query("SELECT p_partkey, [{'lo': 0, 'hi': p_size}, {'lo': p_size + 1, 'hi': p_size + 9}] AS ranges FROM part")
+def range_append(spark, d):
+    s = F.col("p_size").cast("int")
+    first = F.array(F.struct(F.lit(0).alias("lo"), s.alias("hi")))
+    return read(spark, d, "part").select("p_partkey", arrays.append_range(first, s + 1, s + 9).alias("ranges"))
+
+
+@query("SELECT doc_id, regexp_matches(text, '[A-Z\\x{C0}-\\x{DE}]') AS upper, regexp_matches(text, '[\\x{3040}-\\x{30FF}\\x{4E00}-\\x{9FFF}]') AS east FROM documents")
+def any_codepoint_in(spark, d):
+    t = F.col("text")
+    return read(spark, d, "documents").select("doc_id", tables.any_in_ranges(t, [(65, 90), (0xC0, 0xDE)]).alias("upper"), tables.any_in_ranges(t, [(0x3040, 0x30FF), (0x4E00, 0x9FFF)]).alias("east"))
+
+
+@query("SELECT p_partkey, n_name FROM part JOIN nation ON p_partkey % 1000 BETWEEN n_nationkey * 37 AND n_nationkey * 37 + 50")
+def range_join(spark, d):
+    ranges = read(spark, d, "nation").select("n_name", (F.col("n_nationkey") * 37).alias("lo"), (F.col("n_nationkey") * 37 + 50).alias("hi"))
+    return tables.join_ranges(read(spark, d, "part").select("p_partkey", (F.col("p_partkey") % 1000).alias("v")), "v", ranges).select("p_partkey", "n_name")
+
+
+@query("""WITH x AS (SELECT conv_id, list(role ORDER BY turn, role) AS r FROM conversations GROUP BY conv_id)
+SELECT conv_id, '{"roles":["' || array_to_string(r, '","') || '"]}' AS json, r AS roles, r[1] AS head FROM x""")
+def json_array(spark, d):
+    r = read(spark, d, "conversations").groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role"))), lambda x: x["role"]).alias("r"))
+    made = r.select("conv_id", js.put(roles=F.col("r")).alias("json"))
+    return made.select("conv_id", "json", js.elements(F.col("json"), "$.roles").alias("roles"), js.get(F.col("json"), "$.roles[0]").alias("head"))
+
+
+@query("""SELECT event_id, '{' || chr(10) || ' "id": ' || event_id || ',' || chr(10) || ' "all": [' || chr(10) || '  "' || event_type || '",' || chr(10) || '  "x"' || chr(10) || ' ]' || chr(10) || '}' AS json FROM events""")
+def json_indented(spark, d):
+    made = js.put(id=F.col("event_id"), all=F.array("event_type", F.lit("x")))
+    return read(spark, d, "events").select("event_id", js.indented(made).alias("json"))
+
+
+@query("""SELECT event_id, '["' || event_type || '",null,"' || user_id || '"]' AS json FROM events""")
+def json_put_array(spark, d):
+    return read(spark, d, "events").select("event_id", js.put_array(F.col("event_type"), F.lit(None).cast("string"), F.col("user_id").cast("string")).alias("json"))
+
+
+@query("SELECT item_id, CASE WHEN regexp_matches(text, '^[A-Za-z0-9@%+=:,./_-]+$') THEN text ELSE '''' || replace(text, '''', '''\"''\"''') || '''' END AS quoted FROM benchmark")
+def shell_quote(spark, d):
+    return read(spark, d, "benchmark").select("item_id", binary.shell_quote(F.col("text")).alias("quoted"))
+
+
+# Members, continued
+
+
+@query(f"WITH {M} SELECT ordinal, CASE WHEN ordinal % 2 = 0 THEN size ELSE 0 END AS size, CAST(0 AS BIGINT) AS \"offset\", executable, unpacked FROM m")
+def member_defaults(spark, d):
+    m = members(spark, d).withColumn("size", F.when(F.col("ordinal") % 2 == 0, F.col("size"))).withColumn("executable", F.when(F.col("executable"), True)).drop("offset")
+    return manifest.with_defaults(m).select("ordinal", "size", "offset", "executable", "unpacked")
+
+
+@query(f"WITH {M} SELECT ordinal, sha256(encode(text)) AS digest FROM m")
+def digest_of_parts(spark, d):
+    m = members(spark, d, content=True)
+    n = F.floor(F.octet_length("content") / 1024).cast("int")
+    parts = m.select("ordinal", "content", F.explode(F.sequence(F.lit(0), n)).alias("block")).select("ordinal", "block", F.substring("content", F.col("block") * 1024 + 1, 1024).alias("content"))
+    return integrity.digest_of_parts(parts, "ordinal").select("ordinal", binary.hex_encode(F.col("digest")).alias("digest"))
+
+
+@query("SELECT item_id, translate(text, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') AS t FROM benchmark")
+def pipe_through(spark, d):
+    rows = read(spark, d, "benchmark").select("item_id", F.encode("text", "UTF-8").alias("content"))
+    return pipes.through(rows, ["tr", "a-z", "A-Z"]).select("item_id", F.decode("content", "UTF-8").alias("t"))
+
+
+@query("SELECT CAST(0 AS BIGINT) AS command, unnest([0, 1]) AS line, unnest(['a', 'b c']) AS text UNION ALL SELECT 1, 0, 'x'")
+def pipe_source(spark, d):
+    return pipes.output_lines(spark, [["printf", "a\\nb c\\n"], ["printf", "x"]])
+
+
+@query("SELECT CAST(i AS BIGINT) AS ordinal, lower(hex(encode(t))) AS h FROM (VALUES (0, 'one'), (1, ''), (2, 'drei ß')) AS x(i, t)")
+def string_source(spark, d):
+    return pipes.strings(spark, ["one", "", "drei ß"]).unionByName(pipes.strings(spark, [])).select("ordinal", binary.hex_encode(F.col("content")).alias("h"))
+
+
+@query("SELECT doc_id, text AS t, true AS not_longer FROM documents")
+def smallest_deflate(spark, d):
+    z = read(spark, d, "documents").select("doc_id", F.encode("text", "UTF-8").alias("b")).withColumn("z", codec.smallest_deflate(F.col("b"), 6))
+    return z.select("doc_id", F.decode(codec.inflate(F.col("z")), "UTF-8").alias("t"), (F.octet_length("z") <= F.octet_length(codec.deflate(F.col("b")))).alias("not_longer"))
+
+
+@query("WITH x AS (SELECT doc_id, CAST(octet_length(encode(text)) AS BIGINT) AS n FROM documents) SELECT doc_id, 128 + greatest(n * 110 // 100, n + (n // 31744 + 1) * 5) AS most, true AS within FROM x")
+def deflate_bound(spark, d):
+    b = F.encode("text", "UTF-8")
+    most = codec.deflate_bound(F.octet_length(b).cast("long"))
+    return read(spark, d, "documents").select("doc_id", most.alias("most"), (F.octet_length(codec.deflate(b)) <= most).alias("within"))
+
+
+#: Raw DEFLATE made by hand: one stored block that holds the bytes of a text of less than 64 KiB.
+@query("SELECT item_id, text AS t FROM benchmark")
+def inflate_stored(spark, d):
+    b = F.encode("text", "UTF-8")
+    n = F.octet_length(b)
+    stream = F.concat(F.unhex(F.lit("01")), binary.pack("H", n.cast("long")), binary.pack("H", (65535 - n).cast("long")), b)
+    return read(spark, d, "benchmark").select("item_id", F.decode(codec.inflate(stream), "UTF-8").alias("t"))
+
 
 # Archives: documents written to the shared folder as an archive and read back
 

@@ -44,9 +44,12 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a temporary one only where none is set."""
+    """The folder that all executors share; without one, a temporary folder if everything runs in this process."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="satchel-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")

@@ -27,58 +27,77 @@ DOUBLE, STRING, DOCUMENT, ARRAY, BINARY, BOOLEAN, NULL, INT32, INT64 = 0x01, 0x0
 
 
 def dumps(pairs: Document) -> bytes:
-    body = b"".join(_element(k, v) for k, v in pairs)
-    return struct.pack("<i", len(body) + 5) + body + b"\0"
-
-
-def _element(key: str, v: object) -> bytes:
-    def made(code: int, data: bytes) -> bytes:
-        return bytes([code]) + key.encode() + b"\0" + data
-
+    """Lists are documents with keys 0, 1, ...; an explicit stack, so that depth is bounded by memory only."""
+    out = bytearray(4)
+    stack = [(0, iter(pairs))]
+    while stack:
+        start, rest = stack[-1]
+        found = next(rest, None)
+        if found is None:
+            out.append(0)
+            struct.pack_into("<i", out, start, len(out) - start)
+            stack.pop()
+            continue
+        key, v = found
+        code, data = _element(v)
+        out += bytes([code]) + key.encode() + b"\0" + data
+        if code in (DOCUMENT, ARRAY):
+            stack.append((len(out) - 4, iter(v if code == DOCUMENT else [(str(i), x) for i, x in enumerate(v)])))
+    return bytes(out)
+
+
+def _element(v: object) -> tuple[int, bytes]:
+    """Code and bytes of a value; of a document or list the room for its length only."""
     if v is None:
-        return made(NULL, b"")
+        return NULL, b""
     if isinstance(v, bool):
-        return made(BOOLEAN, bytes([v]))
+        return BOOLEAN, bytes([v])
     if isinstance(v, Int32):
-        return made(INT32, struct.pack("<i", v))
+        return INT32, struct.pack("<i", v)
     if isinstance(v, int):
-        return made(INT64, struct.pack("<q", v))
+        return INT64, struct.pack("<q", v)
     if isinstance(v, float):
-        return made(DOUBLE, struct.pack("<d", v))
+        return DOUBLE, struct.pack("<d", v)
     if isinstance(v, str):
         s = v.encode() + b"\0"
-        return made(STRING, struct.pack("<i", len(s)) + s)
+        return STRING, struct.pack("<i", len(s)) + s
     if isinstance(v, bytes):
-        return made(BINARY, struct.pack("<iB", len(v), 0) + v)
+        return BINARY, struct.pack("<iB", len(v), 0) + v
     if isinstance(v, Document):
-        return made(DOCUMENT, dumps(v))
+        return DOCUMENT, bytes(4)
     if isinstance(v, list):
-        return made(ARRAY, dumps(Document((str(i), x) for i, x in enumerate(v))))
+        return ARRAY, bytes(4)
     raise BsonError(f"no BSON form for {type(v).__name__}")
 
 
 def loads(data: bytes) -> Document:
     """The document at the start of data; its length word is not trusted, terminators decide."""
-    out, _ = _document(data, 0)
-    return out
-
-
-def _document(b: bytes, at: int) -> tuple[Document, int]:
-    at += 4
-    out = Document()
+    top, at = Document(), 4
+    stack: list[tuple[Document, bool]] = [(top, False)]  # what is open, and whether it is a list
     while True:
-        if at >= len(b):
+        if at >= len(data):
             raise BsonError("document ends early")
-        code = b[at]
-        at += 1
+        code, at = data[at], at + 1
         if not code:
-            return out, at
-        end = b.find(0, at)
+            done, is_list = stack.pop()
+            if not stack:
+                return top
+            if is_list:
+                above = stack[-1][0]
+                above[-1] = (above[-1][0], [v for _, v in done])
+            continue
+        end = data.find(0, at)
         if end < 0:
             raise BsonError("key ends early")
-        key, at = b[at:end].decode(), end + 1
-        value, at = _value(b, at, code)
-        out.append((key, value))
+        key, at = data[at:end].decode(), end + 1
+        if code in (DOCUMENT, ARRAY):
+            below = Document()
+            stack[-1][0].append((key, below))
+            stack.append((below, code == ARRAY))
+            at += 4
+            continue
+        value, at = _value(data, at, code)
+        stack[-1][0].append((key, value))
 
 
 def _value(b: bytes, at: int, code: int) -> tuple[object, int]:
@@ -101,11 +120,6 @@ def _value(b: bytes, at: int, code: int) -> tuple[object, int]:
             if n < 0 or at + 5 + n > len(b):
                 raise BsonError("binary ends early")
             return bytes(b[at + 5 : at + 5 + n]), at + 5 + n
-        if code == DOCUMENT:
-            return _document(b, at)
-        if code == ARRAY:
-            pairs, at = _document(b, at)
-            return [v for _, v in pairs], at
     except (struct.error, IndexError) as e:
         raise BsonError("value ends early") from e
     raise BsonError(f"element code {code:#x}")

@@ -150,10 +150,15 @@ def tree(entries: list[Entry]) -> Document:
     dirs = {"": root}
 
     def directory(path: str) -> Entry:
-        d = dirs.get(path)
-        if d is None:
-            d = dirs[path] = Entry(path, is_dir=True)
-            directory(path.rpartition("/")[0]).children.append(d)
+        missing = []
+        while path not in dirs:
+            missing.append(path)
+            path = path.rpartition("/")[0]
+        d = dirs[path]
+        for path in reversed(missing):
+            dirs[path] = below = Entry(path, is_dir=True)
+            d.children.append(below)
+            d = below
         return d
 
     for e in entries:
@@ -168,45 +173,66 @@ def tree(entries: list[Entry]) -> Document:
 def document(entries: list[Entry], bson: bool) -> Document:
     """The directory document; attributes in the order of the format."""
 
-    def files(d: Entry) -> Document:
-        out = Document()
+    def attributes(e: Entry) -> Document:
+        a = Document([("size", e.size or 0)])
+        if e.unpacked:
+            a.append(("unpacked", True))
+        else:
+            a.append(("offset", (e.offset or 0) if bson else str(e.offset or 0)))
+        if e.executable:
+            a.append(("executable", True))
+        if e.algorithm == SHA256:
+            digest = (lambda b: b) if bson else bytes.hex
+            i = Document([("algorithm", Int32(SHA256) if bson else "SHA256")])
+            if e.hash is not None:
+                i.append(("hash", digest(e.hash)))
+            if e.block_size:
+                i.append(("blockSize", e.block_size))
+                i.append(("blocks", [digest(b) for b in e.blocks or []]))
+            a.append(("integrity", i))
+        if e.compression == DEFLATE:
+            a.append(("compression", Document([("algorithm", Int32(DEFLATE) if bson else "DEFLATE"), ("originalSize", e.original_size or 0)])))
+        return a
+
+    top = Document()
+    todo = [(tree(entries), top)]  # a list of its own, so that depth is bounded by memory only
+    while todo:
+        d, out = todo.pop()
         for e in d.children:
-            a = Document()
             if e.is_dir:
-                if e.unpacked:
-                    a.append(("unpacked", True))
-                a.append(("files", files(e)))
+                below = Document()
+                out.append((e.path.rpartition("/")[2], Document([*([("unpacked", True)] if e.unpacked else []), ("files", below)])))
+                todo.append((e, below))
             else:
-                a.append(("size", e.size or 0))
-                if e.unpacked:
-                    a.append(("unpacked", True))
-                else:
-                    a.append(("offset", (e.offset or 0) if bson else str(e.offset or 0)))
-                if e.executable:
-                    a.append(("executable", True))
-                if e.algorithm == SHA256:
-                    digest = (lambda b: b) if bson else bytes.hex
-                    i = Document([("algorithm", Int32(SHA256) if bson else "SHA256")])
-                    if e.hash is not None:
-                        i.append(("hash", digest(e.hash)))
-                    if e.block_size:
-                        i.append(("blockSize", e.block_size))
-                        i.append(("blocks", [digest(b) for b in e.blocks or []]))
-                    a.append(("integrity", i))
-                if e.compression == DEFLATE:
-                    a.append(("compression", Document([("algorithm", Int32(DEFLATE) if bson else "DEFLATE"), ("originalSize", e.original_size or 0)])))
-            out.append((e.path.rpartition("/")[2], a))
-        return out
-
-    return Document([("files", files(tree(entries)))])
+                out.append((e.path.rpartition("/")[2], attributes(e)))
+    return Document([("files", top)])
 
 
 def _json(v: object) -> str:
-    if isinstance(v, Document):
-        return "{" + ",".join(f"{json.dumps(k)}:{_json(x)}" for k, x in v) + "}"
-    if isinstance(v, list):
-        return "[" + ",".join(map(_json, v)) + "]"
-    return json.dumps(v)
+    out: list[str] = []
+    todo: list[object] = [v]
+    while todo:
+        x = todo.pop()
+        if isinstance(x, _Written):
+            out.append(x.text)
+        elif isinstance(x, Document):
+            todo.append(_Written("}"))
+            for n, (k, y) in reversed(list(enumerate(x))):
+                todo += [y, _Written(("," if n else "") + json.dumps(k) + ":")]
+            todo.append(_Written("{"))
+        elif isinstance(x, list):
+            todo.append(_Written("]"))
+            for n, y in reversed(list(enumerate(x))):
+                todo += [y, _Written("," if n else "")]
+            todo.append(_Written("["))
+        else:
+            out.append(json.dumps(x))
+    return "".join(out)
+
+
+@dataclass
+class _Written:
+    text: str
 
 
 def header(entries: list[Entry], bson: bool) -> bytes:

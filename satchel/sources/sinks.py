@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -10,18 +11,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from satchel.functions.paths import safe
-from satchel.operators.manifest import compressed, packed, running_before
+from satchel.operators.integrity import verify
+from satchel.operators.manifest import compressed, long_line, packed, running_before
+from satchel.schema import BLOCK
+from satchel.session import shared_dir
 
 #: The lines around the data.
 START, END = "/* start of in-memory archive */", "/* end of in-memory archive */"
 
 
-def extract(members: DataFrame, destination: str, keep_existing: bool = False) -> DataFrame:
-    """Writes packed files below destination, on executors; returns path, bytes, action, a row for each.
+def extract(members: DataFrame, destination: str, keep_existing: bool = False, check: bool = False, block: int = BLOCK) -> DataFrame:
+    """Writes packed files below destination, on executors; returns path, bytes, action, line (as in a long
+    listing), a row for each, from a table in the shared folder.
 
     destination must be a folder that all executors share. Empty folders are
     not made. Absolute paths and those with '..' are refused, and so are paths
-    with a tilde.
+    with a tilde. With check a file whose hash, block hashes or size are not as
+    stated is not written, its action is 'damaged'. A file appears under its
+    name when it is complete; bytes go out a block at a time.
     """
     rows = packed(members)
     bad = rows.where(~safe(F.col("path")) | F.contains("path", F.lit("~"))).select("path").limit(1).collect()
@@ -31,21 +38,43 @@ def extract(members: DataFrame, destination: str, keep_existing: bool = False) -
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in frames:
             out = []
-            for path, data in zip(p.path, p.content, strict=True):
+            for path, data, sound, line in zip(p.path, p.content, p.sound, p.line, strict=True):
                 target = os.path.join(destination, path)
+                if not sound:
+                    out.append((path, 0, "damaged", line))
+                    continue
                 if keep_existing and os.path.isfile(target):
-                    out.append((path, 0, "kept"))
+                    out.append((path, 0, "kept", line))
                     continue
                 os.makedirs(os.path.dirname(target), exist_ok=True)
-                part = f"{target}.part-{os.getpid()}"
+                part, view = f"{target}.part-{os.getpid()}", memoryview(data or b"")
                 with open(part, "wb") as f:
-                    f.write(data or b"")
+                    for i in range(0, len(view), BLOCK):
+                        f.write(view[i : i + BLOCK])
                 os.replace(part, target)
-                out.append((path, len(data or b""), "written"))
-            yield pd.DataFrame(out, columns=["path", "bytes", "action"])
-
-    done = rows.select("path", "content").mapInPandas(run, "path string, bytes long, action string")
-    return members.sparkSession.createDataFrame(done.toArrow().to_pandas(), done.schema)
+                out.append((path, len(view), "written", line))
+            yield pd.DataFrame(out, columns=["path", "bytes", "action", "line"])
+
+    sound = F.lit(True)
+    if check:
+        rows = verify(rows, block=block)
+        sized = F.octet_length("content") == F.coalesce("compression.original_size", "size")
+        sound = F.coalesce(F.col("hash_ok"), F.lit(True)) & F.coalesce(F.col("bad_blocks") == 0, F.lit(True)) & F.coalesce(sized, F.lit(True))
+    line = long_line() if {"integrity", "compression", "executable"} <= set(rows.columns) else F.col("path")
+    done = rows.select("path", "content", sound.alias("sound"), line.alias("line")).mapInPandas(run, "path string, bytes long, action string, line string")
+    report = f"{shared_dir(members.sparkSession)}/satchel-{uuid.uuid4().hex}"
+    done.write.parquet(report)  # once: reading the report again writes no files
+    return members.sparkSession.read.schema(done.schema).parquet(report)
+
+
+def prune_empty(folder: str) -> int:
+    """Removes empty folders below folder, from the deepest up, and returns how many. Runs on the driver."""
+    n = 0
+    for at, _, _ in os.walk(folder, topdown=False):
+        if at != folder and not os.listdir(at):
+            os.rmdir(at)
+            n += 1
+    return n
 
 
 def contents(members: DataFrame) -> Iterator[bytes]:

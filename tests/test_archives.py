@@ -132,6 +132,92 @@ def test_extract(spark, frame, tmp_path):
             sinks.extract(m, str(out))
 
 
+def test_damaged_members_are_not_written(spark, frame, tmp_path):
+    path, out = str(tmp_path / "x.bsar"), tmp_path / "out"
+    write_archive(frame, path, integrity="true")
+    raw = bytearray(open(path, "rb").read())
+    raw[-1] ^= 1
+    open(path, "wb").write(raw)
+    with pytest.raises(ValueError, match="1 members"):
+        api.extract_to(spark, path, str(out), check=True)
+    written = {str(p.relative_to(out)) for p in out.rglob("*") if p.is_file()}
+    assert len(written) == 3 and not any(".part" in w for w in written)
+    done = sinks.extract(read_archive(spark, path, content=True), str(tmp_path / "again"), check=True)
+    assert sorted(r.action for r in done.collect()) == ["damaged"] + ["written"] * 3
+    assert all(r.line.startswith("-i") for r in done.collect())
+
+
+def test_empty_folders_go(tmp_path):
+    (tmp_path / "a" / "b" / "c").mkdir(parents=True)
+    (tmp_path / "d").mkdir()
+    (tmp_path / "d" / "f").write_text("x")
+    assert sinks.prune_empty(str(tmp_path)) == 3 and sorted(os.listdir(tmp_path)) == ["d"]
+
+
+def test_a_member_of_several_blocks(spark, tmp_path):
+    data = os.urandom(9 << 20)
+    (tmp_path / "big.bin").write_bytes(data)
+    path = str(tmp_path / "x.bsar")
+    api.create(spark, path, [str(tmp_path / "big.bin")], compress=True, integrity=True)
+    api.extract_to(spark, path, str(tmp_path / "out"), check=True)
+    assert (tmp_path / "out" / "big.bin").read_bytes() == data
+
+
+def test_deep_paths():
+    from satchel.sources import bson, directory
+
+    e = directory.Entry("/".join(["d"] * 3000) + "/f", size=0, offset=0)
+    for kind in (False, True):
+        made = directory.document([e], kind)
+        if kind:
+            made = bson.loads(bson.dumps(made))
+        found = list(directory.flatten(dict(made)["files"]))
+        assert len(found) == 3001 and found[-1].path == e.path
+    assert directory._json(directory.document([e], False)).count('"files"') == 3001
+    nested = bson.Document([("a", [1, [2, bson.Document([("b", None)])], []]), ("c", "d")])
+    assert bson.loads(bson.dumps(nested)) == nested
+
+
+def test_shared_folder_is_asked_for():
+    from types import SimpleNamespace
+
+    from satchel.session import shared_dir
+
+    far = SimpleNamespace(conf={}, sparkContext=SimpleNamespace(master="spark://host:7077"))
+    with pytest.raises(ValueError, match="checkpoint.dir"):
+        shared_dir(far)
+
+
+def test_functions_at_their_edges(spark):
+    from satchel.functions import arrays, binary, text
+
+    df = spark.createDataFrame([(float("nan"),), (float("inf"),), (-0.0,), (1.0,), (1e-45,), (3.4028235e38,), (None,)], "x float")
+    rows = df.select("x", binary.hex_float(F.col("x")).alias("h"), binary.float_of_hex(binary.hex_float(F.col("x"))).alias("y")).collect()
+    assert [r.h for r in rows] == ["+nan", "+inf", "-0x0.000000p+0", "0x1.000000p+0", "0x0.000002p-126", "0x1.fffffep+127", None]
+    assert [str(r.x) for r in rows] == [str(r.y) for r in rows]
+    one = spark.range(1)
+    bad = ["0x1.00000p+0", "0x2.000000p+0", "1.0", "0x1.000000p+128", "0x1.000000p", ""]
+    assert one.select(*[binary.float_of_hex(F.lit(x)) for x in bad]).first()[:] == (None,) * len(bad)
+    ranges = F.array(F.struct(F.lit(1).alias("lo"), F.lit(5).alias("hi")))
+    assert [tuple(r) for r in one.select(arrays.append_range(ranges, F.lit(6), F.lit(6))).first()[0]] == [(1, 5), (6, 6)]
+    for lo, hi in ((5, 9), (9, 8)):
+        with pytest.raises(Exception, match="out of order"):
+            one.select(arrays.append_range(ranges, F.lit(lo), F.lit(hi))).collect()
+    assert one.select(text.lines(F.lit("a\r\n\nb")), text.lines(F.lit("a\n")), text.lines(F.lit("")), text.lines(F.lit("\n"))).first()[:] == (["a", "", "b"], ["a"], [], [""])
+    with pytest.raises(ValueError):
+        text.printf("%q", F.lit(1))
+
+
+def test_rows_are_numbered_in_order(spark):
+    from satchel.operators import manifest
+
+    df = spark.createDataFrame([(f"d{i % 7}/x{i % 3}" + "/y" * (i % 4), i) for i in range(500)], "path string, n long").repartition(5)
+    got = manifest.numbered(df, F.split("path", "/"), F.col("n")).orderBy("ordinal").collect()
+    assert [r.ordinal for r in got] == list(range(500))
+    keys = [(r.path.split("/"), r.n) for r in got]
+    assert keys == sorted(keys)
+
+
 def test_files_and_create(spark, tmp_path):
     root = tmp_path / "root"
     (root / "sub" / "deep").mkdir(parents=True)
@@ -184,6 +270,7 @@ def test_command_line(spark, tmp_path, capsys, monkeypatch):
     (tmp_path / "f.txt").write_text("hello")
     path = str(tmp_path / "c.asar")
     assert api.main(["-c", "-f", path, "--integrity=SHA256", str(tmp_path / "f.txt")]) == 0
+    assert capsys.readouterr().out == "f.txt\n"  # what was packed
     assert api.main(["-t", "-v", "-f", path]) == 0
     assert capsys.readouterr().out == "-i-- " + " " * 14 + "           5 f.txt\n"
     assert api.main(["-x", "-f", path, "-C", str(tmp_path / "o"), "--integrity"]) == 0

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from satchel.operators import manifest
-from satchel.operators.patterns import MOST_BROADCAST, Pattern, ancestors, glob_match, glob_regex, mark_unpacked, match_any, matches, pattern_table, read_patterns, select
+from satchel.operators.patterns import Pattern, ancestors, glob_match, glob_regex, mark_unpacked, match_any, matches, pattern_table, read_patterns, select
 
 
 def walk(pattern, text):
@@ -54,7 +54,7 @@ def test_random_globs():
 ])
 def test_cases(spark, glob, text, want):
     assert bool(python(glob).match(text)) == want
-    assert spark.createDataFrame([(text,)], "s string").select(glob_match(F.col("s"), glob)).first()[0] == want
+    assert spark.createDataFrame([(text,)], "s string").select(glob_match(F.col("s"), glob, by_byte=False)).first()[0] == want
 
 
 def test_bytes_and_open_sets(spark):
@@ -115,10 +115,27 @@ def test_pattern_tables(spark, monkeypatch):
     rules = pattern_table(spark.createDataFrame([("*.c/", False, False), ("d", False, True)], "pattern string, anchored boolean, literal boolean"))
     assert sorted(r.path for r in match_any(df, rules).collect()) == ["d", "x/a.c"]
     assert [r.path for r in match_any(df, rules, anti=True).collect()] == ["b.h"]
-    monkeypatch.setattr("satchel.operators.patterns.MOST_BROADCAST", 0 + 1)
-    many = pattern_table(spark.createDataFrame([("*.c", False, False), ("*.h", False, False), ("d", False, True)], "pattern string, anchored boolean, literal boolean"))
-    assert sorted(r.path for r in match_any(df, many).collect()) == ["b.h", "d", "x/a.c"]
-    assert MOST_BROADCAST > 1
+    # More literal rows than wildcards may be, repeated members, and groups of one expression each.
+    monkeypatch.setattr("satchel.operators.patterns.MOST_WILDCARDS", 3)
+    monkeypatch.setattr("satchel.operators.patterns.WILD_GROUP", 1)
+    rows = [("*.c", False, False), ("*.h", False, False), ("./x/*", False, False)] + [(f"d{i}", False, True) for i in range(50)] + [("d", False, True), ("d", None, True)]
+    many = pattern_table(spark.createDataFrame(rows, "pattern string, anchored boolean, literal boolean"))
+    twice = df.unionByName(df)
+    assert sorted(r.path for r in match_any(twice, many).collect()) == ["b.h", "b.h", "d", "d", "x/a.c", "x/a.c"]
+    assert match_any(twice, many, anti=True).count() == 0
+    plan = match_any(twice, many)._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    monkeypatch.setattr("satchel.operators.patterns.MOST_WILDCARDS", 2)
+    with pytest.raises(ValueError):
+        match_any(df, many)
+
+
+def test_question_mark_takes_a_byte(spark):
+    df = spark.createDataFrame([("é",), ("e",), ("éé",)], "path string")
+    assert [r.path for r in select(df, ["??"]).collect()] == ["é"]
+    assert [r.path for r in select(df, ["?"]).collect()] == ["e"]
+    assert sorted(r.path for r in select(df, ["?"], by_byte=False).collect()) == ["e", "é"]
+    assert [r.path for r in select(df, ["é*é"]).collect()] == ["éé"]
 
 
 def test_pattern_files(spark):
