@@ -201,7 +201,8 @@ def float_of_hex(c: Column) -> Column:
             return None
         return float(np.uint32((m[1] == "-") << 31 | exponent << 23 | int(m[5], 16) >> 1).view(np.float32))
 
-    return _series("float", one)(c)
+    # A NaN from a series would become null.
+    return F.when(c.rlike("^[-+]?nan$"), F.lit(float("nan")).cast("float")).otherwise(_series("float", one)(c))
 
 
 def _byte(c: Column, at: Column) -> Column:
