@@ -8,9 +8,11 @@ r is c q + s u with c = 1 - r^2 / 2, s^2 = 1 - c^2 and u a unit vector across
 q: its projection is normal around c times the query's with deviation s. The
 chance that it lies in a bucket is thus a product of k normal intervals, and so
 is the chance of any vector. A query visits buckets in the order of their
-ratio, those that favour a neighbour most first, until the chances of a
-neighbour add up to what the recall needs. Candidates of all tables are ranked
-by the exact inner product of the original vectors.
+estimated success for each row that a visit costs, the ratio of both chances,
+until the chances of a neighbour add up to what the recall needs. Buckets are
+enumerated down to a chance of LEAST, so at most 1 / LEAST of them; a query
+that needs more looks at every row. Candidates of all tables are ranked by the
+exact inner product of the original vectors.
 
 Equal vectors are one class, of which the least ids are kept as far as an
 answer can need them; every row is indexed. A shard holds buckets by hash;
@@ -38,7 +40,9 @@ from satchel.llm.common import stored, tidied
 RESULTS = 20
 EVERY = 20  # queries are the ids that it divides
 TABLES = 4
-TARGET = 0.97  # chance that one table or another finds a neighbour at the query's distance r
+TARGET = 0.94  # chance that one table or another finds a neighbour at the query's distance r
+LEAST = 1e-5  # chance of the last bucket that is enumerated
+EVERYTHING = np.iinfo(np.int64).min  # stands for all buckets of a table
 SAMPLE, PROBED = 20_000, 256
 SHARD = 32_768  # index rows
 SEED = 42
@@ -56,7 +60,7 @@ class Hashing:
 
     @classmethod
     def make(cls, rows: int, d: int, norm: float, r: float) -> Hashing:
-        k = max(4, round(0.64 * math.log2(max(rows, 2))))
+        k = max(4, round(0.8 * math.log2(max(rows, 2))))
         rng = np.random.default_rng(SEED)
         width = 2.5 * r
         return cls(norm, width, rng.normal(size=(TABLES, k, d + 1)), rng.uniform(0, width, (TABLES, k)), rng.integers(0, 1 << 63, k, dtype=np.uint64) | np.uint64(1))
@@ -73,7 +77,7 @@ class Hashing:
         return np.stack([self.fold(t, np.floor((v @ self.a[t].T + self.b[t]) / self.width)) for t in range(len(self.a))])
 
     def probes(self, q: np.ndarray, r: float) -> list[np.ndarray]:
-        """Buckets of one query, with neighbours at distance r, in each table, likeliest first."""
+        """Buckets of one query, with neighbours at distance r, in each table, the most rewarding first; EVERYTHING alone if they are too many."""
         v = np.append(q / np.linalg.norm(q), 0.0)
         cosine = 1 - r**2 / 2
         spread = math.sqrt(max(1 - cosine**2, 1e-6))
@@ -96,9 +100,11 @@ class Hashing:
                     rest = chance[j + 1 :].max(1).prod()
                     i, c = np.nonzero(total[:, None] * chance[j] * rest >= least)
                     total, won, cells = total[i] * chance[j, c], won[i] + gain[j, c], np.concatenate([cells[i], (base[j] + steps[c])[:, None]], 1)
-                if total.sum() >= (1 + each) / 2 or least < 1e-7:
+                if total.sum() >= (1 + each) / 2 or least <= LEAST:
                     break
-                least /= 4
+                least = max(least / 4, LEAST)
+            if total.sum() < each:
+                return [np.array([EVERYTHING], np.int64)]
             order = np.argsort(-won, kind="stable")
             stop = int(np.searchsorted(np.cumsum(total[order]), each)) + 1
             out.append(self.fold(t, cells[order[:stop]]))
@@ -171,7 +177,7 @@ def _routed(classes: DataFrame, hashing: Hashing, shards: int, hot: np.ndarray,
             for i, r in enumerate(distances(x).tolist()):
                 cell = np.concatenate(hashing.probes(x[i], r))
                 to = (cell.view(np.uint64) % np.uint64(shards)).astype(np.int64)
-                warm = np.isin(cell, hot)
+                warm = np.isin(cell, hot) | (cell == EVERYTHING)
                 where = np.arange(shards) if warm.any() else np.unique(to)
                 yield cells_of(where, np.full(len(where), ids[i]), np.repeat(x[i : i + 1], len(where), 0), [cell[(to == s) | warm] for s in where.tolist()])
 
@@ -184,7 +190,7 @@ def _routed(classes: DataFrame, hashing: Hashing, shards: int, hot: np.ndarray,
     return classes.select("id", "v").mapInArrow(tidied(run), ROUTED)
 
 
-def _search(routed: DataFrame, top: int) -> DataFrame:
+def _search(routed: DataFrame, top: int, norm: float) -> DataFrame:
     """(query, id, score): the best of the probed buckets in each shard."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,7 +221,7 @@ def _search(routed: DataFrame, top: int) -> DataFrame:
                 for q, v, cells in zip(part.column(2).to_pylist(), _matrix(part.column(3)), part.column(4), strict=True):
                     c = cells.values.to_numpy()
                     k = np.searchsorted(keys, c)
-                    k = k[(k < len(keys)) & (keys[np.minimum(k, len(keys) - 1)] == c)]
+                    k = np.arange(len(keys)) if c[0] == EVERYTHING else k[(k < len(keys)) & (keys[np.minimum(k, len(keys) - 1)] == c)]
                     n = last[k] - first[k]
                     if not n.sum():
                         continue
@@ -224,7 +230,7 @@ def _search(routed: DataFrame, top: int) -> DataFrame:
                     near = x[rows] @ v
                     if len(near) > TABLES * top:
                         floor = np.partition(near, len(near) - TABLES * top)[len(near) - TABLES * top]
-                        rows = rows[near >= floor - 1e-9]
+                        rows = rows[near >= floor - 1e-13 * len(v) * norm * np.linalg.norm(v)]  # sums in another order
                     rows = rows[np.unique(ids[rows], return_index=True)[1]]
                     exact = (x[rows] * v).sum(1)
                     best = np.lexsort((ids[rows], -exact))[:top]
@@ -262,7 +268,7 @@ def nearest(vectors: DataFrame, every: int = EVERY, results: int = RESULTS) -> D
     hot = np.array(sorted(r["cell"] for r in counts.collect()), np.int64) if shards > 1 else np.zeros(0, np.int64)
     index = _routed(classes, hashing, shards, hot, None)
     asked = _routed(classes.where("n_queries > 0"), hashing, shards, hot, lambda x: _distances(x, shared.value, norm, rank))
-    found = _search(index.unionByName(asked), results + 1).distinct()
+    found = _search(index.unionByName(asked), results + 1, norm).distinct()
     members = classes.select("id", F.explode("ids").alias("vec_id"))
     order = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
     best = found.join(members, "id").select("query", "vec_id", "score", F.row_number().over(order).alias("k")).where(F.col("k") <= results + 1)
