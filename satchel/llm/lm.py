@@ -1,24 +1,28 @@
-"""Bigram language model in Elias-Fano tries, built and queried in shards.
+"""Trigram language model in Elias-Fano tries, built and queried in shards.
 
-A trie has two levels, contexts and their successors. Both are increasing
-sequences kept by Elias-Fano (successors as context number and word key, so
-that a search is relative to the context), a third holds the pointers from
-contexts to successors, and each successor has a 16-bit code of its smoothed
-probability. The arrays are plain bytes, so a trie opens from a memory-mapped
-file without a copy; the job does not use this, nor the pointers.
+A trie has three levels, first words, second words below them and third words
+below these. A level is one increasing sequence kept by Elias-Fano: the words
+below a context stand as distances from the last value of the context before,
+so that a search is relative to its context, whose range a sequence of pointers
+gives. Second and third words have 16-bit codes of their n-gram's quantised
+probability. All arrays of a trie are one buffer of bytes, from which it is
+opened without a copy, be it a shard's own or a memory-mapped file.
 
 A corpus-sized trie fits no single machine, so no trie is broadcast. Documents
-are read in chunks of about CHUNK tokens; a chunk sends each shard the distinct
-keys it needs, with their counts from training documents, a shard sums the
-counts, builds its trie, looks all keys up and answers each chunk with codes in
-the order asked, and a chunk adds up its documents. Contexts of over a
-thousandth of the tokens (a bounded list) are spread over all shards by
-successor; other contexts stay whole.
-
-The probability of word w after u is (c(uw) + MU p(w)) / (c(u) + MU), with p the
-additive unigram estimate of the base score, so that it sums to one over the
-vocabulary and an unknown word; the start of a text is a context of its own.
-The trie holds c(uw) / (c(u) + MU), the rest follows from unigram counts.
+are read in chunks of about CHUNK tokens. A first exchange counts words and
+numbers them, frequent ones first. In a second one a chunk sends each shard its
+distinct pairs and triples with their counts from training documents; a shard
+sums them, builds its trie, looks everything asked up in it and answers with
+codes in the order asked. Pairs and triples go by their first word, so that a
+trie's levels are whole. First words of over a thousandth of the tokens (a
+bounded list) are spread by the second word, triples of two such words by the
+third.
+
+With the additive unigram estimate p1 of the base score, the probability of w
+after v is p2 = (c(vw) + MU p1(w)) / (c(v) + MU) and after uv it is
+(c(uvw) + MU p2(w | v)) / (c(uv) + MU), so that both sum to one over the
+vocabulary and an unknown word. The start of a text is a context of its own,
+its first word has that context only.
 """
 
 from __future__ import annotations
@@ -44,10 +48,7 @@ CHUNK = 600_000  # tokens; a chunk ends with the document that reaches it
 SHARD_CHARS = 8_000_000  # of the corpus for each shard
 HOT = 1000  # a context over 1/HOT of the tokens is spread
 CODE = 65534 / 14.0  # steps for each power of ten; code 0 is absent
-WORD_BITS = 40
-
-END = np.uint64(xxhash.xxh64_intdigest(b" end"))
-START = np.uint64(xxhash.xxh64_intdigest(b" start"))
+START = 0  # number of the start of a text; words have higher ones
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -60,6 +61,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 _ones = np.array([bin(i).count("1") for i in range(256)], np.int64)
 _zero_at = np.array([[z[k] if k < len(z) else 8 for k in range(8)] for i in range(256) for z in [[b for b in range(8) if not i >> b & 1]]], np.int64)
+_one_at = _zero_at[::-1]
 
 
 class EliasFano:
@@ -67,8 +69,8 @@ class EliasFano:
 
     def __init__(self, n: int, low_bits: int, low: np.ndarray, high: np.ndarray) -> None:
         self.n, self.low_bits, self.low, self.high = n, low_bits, low, high
-        zeros = 8 - _ones[high]
-        self.zeros = np.concatenate([[0], np.cumsum(zeros)])
+        self.ones = np.concatenate([[0], np.cumsum(_ones[high])])
+        self.zeros = 8 * np.arange(len(high) + 1) - self.ones
 
     @classmethod
     def build(cls, values: np.ndarray) -> EliasFano:
@@ -95,6 +97,12 @@ class EliasFano:
         byte = np.searchsorted(self.zeros, k, "right") - 1
         return 8 * byte + _zero_at[self.high[byte], k - self.zeros[byte]]
 
+    def get(self, i: np.ndarray) -> np.ndarray:
+        """The i-th elements."""
+        byte = np.searchsorted(self.ones, i, "right") - 1
+        place = 8 * byte + _one_at[self.high[byte], i - self.ones[byte]]
+        return ((place - i).astype(np.uint64) << np.uint64(self.low_bits)) | self._low(i)
+
     def successor(self, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Position of the first element not below each value within its high part, and whether it equals the value."""
         if not self.n:
@@ -129,86 +137,118 @@ def _unpack(buffer: np.ndarray, at: int) -> tuple[EliasFano, int]:
     return EliasFano(n, bits, buffer[at : at + a], buffer[at + a : at + a + b]), at + (a + b + 7) // 8 * 8
 
 
+class Level:
+    """Words below contexts, as distances from the last value of the context before."""
+
+    def __init__(self, pointers: EliasFano, words: EliasFano) -> None:
+        self.pointers, self.words = pointers, words
+
+    @classmethod
+    def build(cls, context: np.ndarray, word: np.ndarray, contexts: int) -> Level:
+        """From pairs sorted by context, a number below contexts, and word."""
+        first = np.searchsorted(context, np.arange(contexts + 1))
+        last = np.zeros(contexts, np.uint64)
+        full = first[1:] > first[:-1]
+        last[full] = word[first[1:][full] - 1] + np.uint64(1)
+        base = np.concatenate([np.zeros(1, np.uint64), np.cumsum(last, dtype=np.uint64)])
+        return cls(EliasFano.build(first), EliasFano.build(base[context] + word))
+
+    def find(self, context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Place of each word below its context, and whether it is there."""
+        lo, hi = self.pointers.get(context).astype(np.int64), self.pointers.get(context + 1).astype(np.int64)
+        base = np.zeros(len(lo), np.uint64)
+        base[lo > 0] = self.words.get(lo[lo > 0] - 1) + np.uint64(1)
+        at, hit = self.words.successor(base + word)
+        return at, hit & (at >= lo) & (at < hi)
+
+
 class Trie:
-    """Contexts, pointers, successors and codes."""
+    """First words, levels below them and codes."""
 
-    def __init__(self, contexts: EliasFano, pointers: EliasFano, successors: EliasFano, codes: np.ndarray) -> None:
-        self.contexts, self.pointers, self.successors, self.codes = contexts, pointers, successors, codes
+    def __init__(self, roots: EliasFano, levels: list[Level], codes: list[np.ndarray]) -> None:
+        self.roots, self.levels, self.codes = roots, levels, codes
 
     @classmethod
-    def build(cls, context: np.ndarray, word: np.ndarray, codes: np.ndarray) -> Trie:
-        """From keys sorted by (context, word); word keys have WORD_BITS bits."""
-        keys, first = np.unique(context, return_index=True)
-        number = np.searchsorted(keys, context).astype(np.uint64)
-        pointers = np.concatenate([first, [len(context)]])
-        return cls(EliasFano.build(keys), EliasFano.build(pointers), EliasFano.build((number << np.uint64(WORD_BITS)) | word), codes.astype(np.uint16))
-
-    def codes_of(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """Code of each pair, 0 if absent."""
-        i, known = self.contexts.successor(context)
-        out = np.zeros(len(context), np.uint16)
+    def build(cls, pairs: tuple[np.ndarray, np.ndarray, np.ndarray], triples: tuple[np.ndarray, np.ndarray, np.ndarray]) -> Trie:
+        """pairs: (u, v, code) sorted by u and v; triples: (number of the pair, w, code) sorted."""
+        u, v, code2 = pairs
+        parent, w, code3 = triples
+        roots, of = np.unique(u, return_inverse=True)
+        levels = [Level.build(of, v, len(roots)), Level.build(parent, w, len(u))]
+        return cls(EliasFano.build(roots), levels, [code2.astype(np.uint16), code3.astype(np.uint16)])
+
+    def pairs(self, u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Number of each pair, -1 if absent, and its code, 0 if absent."""
+        i, known = self.roots.successor(u)
+        number, codes = np.full(len(u), -1, np.int64), np.zeros(len(u), np.uint16)
         at = np.flatnonzero(known)
-        j, hit = self.successors.successor((i[at].astype(np.uint64) << np.uint64(WORD_BITS)) | word[at])
-        out[at[hit]] = self.codes[j[hit]]
-        return out
+        j, hit = self.levels[0].find(i[at], v[at])
+        number[at[hit]] = j[hit]
+        codes[at[hit]] = self.codes[0][j[hit]]
+        return number, codes
+
+    def triples(self, pair: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """Code of each word below a numbered pair, 0 if absent."""
+        codes = np.zeros(len(pair), np.uint16)
+        at = np.flatnonzero(pair >= 0)
+        k, hit = self.levels[1].find(pair[at], w[at])
+        codes[at[hit]] = self.codes[1][k[hit]]
+        return codes
 
     def tobytes(self) -> bytes:
         out = bytearray()
-        for level in (self.contexts, self.pointers, self.successors):
-            for x in level.parts():
+        for sequence in (self.roots, *(x for level in self.levels for x in (level.pointers, level.words))):
+            for x in sequence.parts():
                 out += x.tobytes()
             out += bytes(-len(out) % 8)
-        return bytes(out + self.codes.tobytes())
+        for codes in self.codes:
+            out += codes.tobytes() + bytes(-2 * len(codes) % 8)
+        return bytes(out)
 
     @classmethod
     def open(cls, buffer: bytes | np.ndarray) -> Trie:
         """A trie over a buffer, such as np.memmap(path, np.uint8, 'r')."""
         b = np.frombuffer(buffer, np.uint8) if isinstance(buffer, bytes) else buffer
-        at, levels = 0, []
-        for _ in range(3):
-            level, at = _unpack(b, at)
-            levels.append(level)
-        n = levels[2].n
-        return cls(*levels, b[at : at + 2 * n].view(np.uint16))
+        at, found, codes = 0, [], []
+        for _ in range(5):
+            one, at = _unpack(b, at)
+            found.append(one)
+        levels = [Level(found[1], found[2]), Level(found[3], found[4])]
+        for level in levels:
+            codes.append(b[at : at + 2 * level.words.n].view(np.uint16))
+            at += (2 * level.words.n + 7) // 8 * 8
+        return cls(found[0], levels, codes)
 
 
 # Compact cells
 
 
-def _pack(a: np.ndarray, width: int) -> bytes:
-    """The low width bytes of each value, byte by byte, compressed."""
-    planes = np.ascontiguousarray(a.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T)
-    return zstandard.compress(planes.tobytes(), 1)
-
-
-def _open(b: bytes, width: int) -> np.ndarray:
-    raw = np.frombuffer(zstandard.decompress(b), np.uint8).reshape(width, -1)
-    out = np.zeros((raw.shape[1], 8), np.uint8)
-    out[:, :width] = raw.T
-    return out.view("<u8").reshape(-1)
-
-
-def _pack_rising(a: np.ndarray) -> bytes:
-    d = np.diff(a.astype(np.uint64), prepend=np.uint64(0))
-    width = max(1, (int(d.max(initial=0)).bit_length() + 7) // 8)
-    return bytes([width]) + _pack(d, width)
-
-
-def _open_rising(b: bytes) -> np.ndarray:
-    return np.cumsum(_open(b[1:], b[0]), dtype=np.uint64)
-
-
-def _width(a: np.ndarray) -> int:
-    return max(1, (int(a.max(initial=0)).bit_length() + 7) // 8)
+def _pack(*arrays: np.ndarray) -> bytes:
+    """Arrays of whole numbers from 0, each in as many bytes as its largest needs, byte by byte, compressed."""
+    head, planes = [len(arrays)], []
+    for a in arrays:
+        width = max(1, (int(a.max(initial=0)).bit_length() + 7) // 8)
+        head += [len(a), width]
+        planes.append(np.ascontiguousarray(a.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes())
+    return zstandard.compress(np.array(head, "<u4").tobytes() + b"".join(planes), 1)
 
 
-def _pack_any(a: np.ndarray) -> bytes:
-    w = _width(a)
-    return bytes([w]) + _pack(a, w)
+def _open(b: bytes) -> list[np.ndarray]:
+    raw = zstandard.decompress(b)
+    n = int(np.frombuffer(raw, "<u4", 1)[0])
+    head = np.frombuffer(raw, "<u4", 2 * n, 4).reshape(n, 2).tolist()
+    out, at = [], 4 + 8 * n
+    for size, width in head:
+        a = np.zeros((size, 8), np.uint8)
+        a[:, :width] = np.frombuffer(raw, np.uint8, size * width, at).reshape(width, size).T
+        out.append(a.view("<u8").reshape(-1))
+        at += size * width
+    return out
 
 
-def _open_any(b: bytes) -> np.ndarray:
-    return _open(b[1:], b[0])
+def _steps(a: np.ndarray) -> np.ndarray:
+    """Differences of an increasing sequence, which np.cumsum() takes back."""
+    return np.diff(a.astype(np.uint64), prepend=np.uint64(0))
 
 
 # Chunks
@@ -223,6 +263,10 @@ class Chunk:
     tokens: np.ndarray  # index into words, each document ending with END
     ends: np.ndarray  # of documents in tokens
 
+    def training(self) -> np.ndarray:
+        """Whether each token is of a training document."""
+        return np.repeat(~np.array(self.held, bool), np.diff(self.ends, prepend=0))
+
 
 class _Codes(dict):
     """0, 1, ... by first appearance."""
@@ -259,204 +303,256 @@ def _chunks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[Chunk]:
         yield made()
 
 
-def _training(c: Chunk) -> np.ndarray:
-    return np.repeat(~np.array(c.held, bool), np.diff(c.ends, prepend=0))
-
-
 def _shard(x: np.ndarray, shards: int) -> np.ndarray:
     return ((_mix(x) >> np.uint64(20)) % np.uint64(shards)).astype(np.int64)
 
 
-def _pairs(c: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (context, word) of a chunk as indices (context len(words) is the start), and of each token its pair."""
-    context = np.empty(len(c.tokens), np.int64)
-    context[1:] = c.tokens[:-1]
-    context[np.concatenate([[0], c.ends[:-1]])] = len(c.words)
-    keys, pair = np.unique(context * len(c.words) + c.tokens, return_inverse=True)
-    return keys // len(c.words), keys % len(c.words), pair
-
-
-def _pair_shard(context: np.ndarray, word: np.ndarray, hot: np.ndarray, shards: int) -> np.ndarray:
-    spread = np.isin(context, hot)
-    return _shard(np.where(spread, context ^ (word << np.uint64(1)), context), shards)
-
-
 def _by_shard(shard: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     order = np.argsort(shard, kind="stable")
-    cut = np.flatnonzero(np.diff(shard[order])) + 1
-    for at in np.split(order, cut):
+    for at in np.split(order, np.flatnonzero(np.diff(shard[order])) + 1):
         if len(at):
             yield int(shard[at[0]]), at
 
 
-def _keys_of(c: Chunk) -> tuple[np.ndarray, np.ndarray]:
-    """Context and word keys are the top 48 and WORD_BITS bits of hashes."""
-    all_words = np.append(c.words, START)
-    return all_words >> np.uint64(16), c.words >> np.uint64(64 - WORD_BITS)
-
-
-CELLS = "shard int, chunk long, a binary, b binary, c binary"
+#: shard: of words or n-grams, or -1 - chunk for what a chunk keeps; a row with a null chunk holds a shard's sums.
+CELLS = "shard long, chunk long, a binary, b binary"
 
 
 def _cells(rows: list[tuple]) -> pa.RecordBatch:
-    s, k, a, b, c = zip(*rows, strict=True)
-    return pa.record_batch([pa.array(s, pa.int32()), pa.array(k, pa.int64()), pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(c, pa.binary())], ["shard", "chunk", "a", "b", "c"])
+    s, k, a, b = zip(*rows, strict=True)
+    return pa.record_batch([pa.array(s, pa.int64()), pa.array(k, pa.int64()), pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["shard", "chunk", "a", "b"])
 
 
-def _chunk_cells(most: int):
-    """Chunks as cells: shard -1, word hashes, token indices, ids and lengths."""
+def _word_cells(shards: int, most: int):
+    """Each chunk's distinct words with their training counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for c in _chunks(batches, most):
-            info = pa.table({"id": pa.array(c.ids, pa.int64()), "held": pa.array(c.held, pa.bool_()), "end": pa.array(c.ends, pa.int64())})
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, info.schema) as f:
-                f.write_table(info)
-            yield _cells([(-1, c.name, _pack_rising(c.words), _pack_any(c.tokens), sink.getvalue().to_pybytes())])
+            n = np.bincount(c.tokens[c.training()], minlength=len(c.words))
+            yield _cells([(s, c.name, _pack(_steps(c.words[at]), n[at]), None) for s, at in _by_shard(_shard(c.words, shards))])
 
     return run
 
 
-def _load(name: int, a: bytes, b: bytes, c: bytes) -> Chunk:
-    info = pa.ipc.open_stream(c).read_all()
-    return Chunk(name, info["id"].to_pylist(), info["held"].to_pylist(), _open_rising(a), _open_any(b).astype(np.int64), info["end"].to_numpy())
-
+def _number_words(shards: int, least_hot: float):
+    """Counts and numbers of each chunk's words, and of a shard the number of known words, their sum and the hot numbers.
 
-def _unigram_cells(shards: int, most: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for c in _chunks(batches, most):
-            n = np.bincount(c.tokens[_training(c)], minlength=len(c.words))
-            yield _cells([(s, c.name, _pack_rising(c.words[at]), _pack_any(n[at]), None) for s, at in _by_shard(_shard(c.words, shards))])
-
-    return run
-
-
-def _count_shard(least_hot: float):
-    """Counts of each chunk's words; a row with a null chunk holds the number of known words, their sum and the hot ones."""
+    Numbers differ between shards and rise from 1 as counts fall.
+    """
 
     def run(group: pa.Table) -> pa.Table:
-        keys = [_open_rising(x.as_py()) for x in group["a"]]
-        counts = [_open_any(x.as_py()) for x in group["b"]]
+        shard = group["shard"][0].as_py()
+        cells = [_open(x.as_py()) for x in group["a"]]
+        keys = [np.cumsum(x[0], dtype=np.uint64) for x in cells]
         words, place = np.unique(np.concatenate(keys), return_inverse=True)
         total = np.zeros(len(words), np.int64)
-        np.add.at(total, place, np.concatenate(counts).astype(np.int64))
-        hot = total >= least_hot
-        shard = group["shard"][0].as_py()
-        known = total > 0
-        rows = [(shard, None, words[hot].tobytes(), total[hot].tobytes(), np.array([known.sum(), total.sum()], np.int64).tobytes())]
+        np.add.at(total, place, np.concatenate([x[1] for x in cells]).astype(np.int64))
+        number = np.empty(len(words), np.int64)
+        number[np.lexsort((words, -total))] = 1 + np.arange(len(words)) * shards + shard
+        rows = [(shard, None, np.array([(total > 0).sum(), total.sum()], np.int64).tobytes(), number[total >= least_hot].tobytes())]
         at = 0
         for name, k in zip(group["chunk"].to_pylist(), keys, strict=True):
-            rows.append((shard, name, _pack_any(total[place[at : at + len(k)]]), None, None))
+            mine = place[at : at + len(k)]
+            # The hash tells whether a chunk asks again for the same words.
+            rows.append((shard, name, _pack(total[mine], number[mine]), xxhash.xxh64_digest(k.tobytes())))
             at += len(k)
         return pa.Table.from_batches([_cells(rows)])
 
     return run
 
 
-def _runs(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Values of a sorted array and how often each stands there."""
-    return np.unique(a, return_counts=True)
+def _kept_cells(most: int):
+    """Chunks themselves: words and token indices, and ids, held and ends."""
 
-
-def _bigram_cells(shards: int, hot: np.ndarray, most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for c in _chunks(batches, most):
-            u, w, pair = _pairs(c)
-            n = np.bincount(pair[_training(c)], minlength=len(u))
-            context, word = _keys_of(c)
-            rows = []
-            for s, at in _bigram_order(c, u, w, hot, shards):
-                own, many = _runs(context[u[at]])
-                words = _pack(word[w[at]], WORD_BITS // 8)
-                rows.append((s, c.name, _pack_rising(own), _pack_any(many), len(words).to_bytes(4, "little") + words + _pack_any(n[at])))
-            yield _cells(rows)
+            info = pa.table({"id": pa.array(c.ids, pa.int64()), "held": pa.array(c.held, pa.bool_()), "end": pa.array(c.ends, pa.int64())})
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, info.schema) as f:
+                f.write_table(info)
+            yield _cells([(-1 - c.name, c.name, _pack(_steps(c.words), c.tokens), sink.getvalue().to_pybytes())])
 
     return run
 
 
-def _bigram_order(c: Chunk, u: np.ndarray, w: np.ndarray, hot: np.ndarray, shards: int) -> Iterator[tuple[int, np.ndarray]]:
-    """The pairs of each shard in the order that _bigram_cells sends them."""
-    context, _ = _keys_of(c)
-    for s, at in _by_shard(_pair_shard(np.append(c.words, START)[u], c.words[w], hot, shards)):
-        yield s, at[np.argsort(context[u[at]], kind="stable")]
+def _load(name: int, words: np.ndarray, tokens: np.ndarray, info: bytes) -> Chunk:
+    t = pa.ipc.open_stream(info).read_all()
+    return Chunk(name, t["id"].to_pylist(), t["held"].to_pylist(), words, tokens.astype(np.int64), t["end"].to_numpy())
+
+
+class Layout:
+    """The distinct pairs and triples of a chunk, and those that each shard gets, in the order of numbers."""
+
+    def __init__(self, c: Chunk, number: np.ndarray, hot: np.ndarray, shards: int) -> None:
+        m = len(c.words)
+        self.first = np.concatenate([[0], c.ends[:-1]])
+        before = np.empty(len(c.tokens), np.int64)
+        before[1:] = c.tokens[:-1]
+        before[self.first] = m  # the start
+        keys, self.pair_at = np.unique(before * m + c.tokens, return_inverse=True)
+        self.u, self.v = keys // m, keys % m
+        # The context of a triple is the pair that ends before its last word.
+        self.inner = np.ones(len(c.tokens), bool)
+        self.inner[self.first] = False
+        at = np.flatnonzero(self.inner)
+        keys, self.triple_at = np.unique(self.pair_at[at - 1] * m + c.tokens[at], return_inverse=True)
+        self.parent, self.w = keys // m, keys % m
+        number = np.append(number, START)
+        warm = np.append(np.isin(number[:m], hot), True)
+        rank = np.empty(m + 1, np.int64)
+        rank[np.argsort(number)] = np.arange(m + 1)
+        salt = np.uint64(0x9E3779B97F4A7C15)
+        big = number.astype(np.uint64)
+        one = _mix(big * salt)
+        two = one[self.u] + big[self.v] * salt
+        home = _shard(np.where(warm[self.u], two, one[self.u]), shards)
+        spread = warm[self.u] & warm[self.v]
+        there = np.where(spread[self.parent], _shard(_mix(two[self.parent]) + big[self.w] * salt, shards), home[self.parent])
+        # Contexts go along with triples that have another shard than their pair.
+        guests = np.unique(there[home[self.parent] != there] * len(self.u) + self.parent[home[self.parent] != there])
+        shard = np.concatenate([home, guests // len(self.u)])
+        pair = np.concatenate([np.arange(len(self.u)), guests % len(self.u)])
+        own = np.arange(len(pair)) < len(self.u)
+        order = np.argsort((shard * (m + 1) + rank[self.u[pair]]) * (m + 1) + rank[self.v[pair]], kind="stable")
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        entry = self.parent.copy()  # where the context of a triple stands in (shard, pair)
+        away = home[self.parent] != there
+        entry[away] = len(self.u) + np.searchsorted(guests, there[away] * len(self.u) + self.parent[away])
+        # Triples in the order of their contexts, which are in the order of shards.
+        below = np.argsort(place[entry] * (m + 1) + rank[self.w], kind="stable")
+        self.number, self.pair, self.own, self.triple = number, pair[order], own[order], below
+        shard, context = shard[order], place[entry][below]
+        self.shards, lo = np.unique(shard, return_index=True)
+        self.pair_cuts = np.append(lo, len(shard))
+        self.triple_cuts = np.searchsorted(context, self.pair_cuts)
+        self.children = np.bincount(context, minlength=len(shard))
+
+    def parts(self) -> Iterator[tuple[int, slice, slice]]:
+        """Shards and their stretches of pair and triple."""
+        for i, s in enumerate(self.shards.tolist()):
+            yield s, slice(self.pair_cuts[i], self.pair_cuts[i + 1]), slice(self.triple_cuts[i], self.triple_cuts[i + 1])
+
+
+def _ask(shards: int, hot: np.ndarray):
+    """Of a chunk and the answers for its words: what it asks shards for, and what it keeps."""
+
+    def run(group: pa.Table) -> pa.Table:
+        name = group["chunk"][0].as_py()
+        answers, kept = {}, None
+        for s, a, b in zip(group["shard"].to_pylist(), group["a"], group["b"], strict=True):
+            if s < 0:
+                kept = (*_open(a.as_py()), b.as_py())
+            else:
+                answers[s] = (*_open(a.as_py()), b.as_py())
+        c = _load(name, np.cumsum(kept[0], dtype=np.uint64), kept[1], kept[2])
+        count, number = np.zeros(len(c.words), np.int64), np.zeros(len(c.words), np.int64)
+        for s, at in _by_shard(_shard(c.words, shards)):
+            n, k, same = answers.pop(s, (None, None, None))
+            if same != xxhash.xxh64_digest(c.words[at].tobytes()):
+                raise RuntimeError("answers for other words than are asked for")
+            count[at], number[at] = n, k
+        x = Layout(c, number, hot, shards)
+        training = c.training()
+        pairs = np.bincount(x.pair_at[training], minlength=len(x.u))
+        triples = np.bincount(x.triple_at[training[x.inner]], minlength=len(x.w))
+        rows = [(-1 - name, name, _pack(c.tokens, count, number), kept[2])]
+        for s, p, t in x.parts():
+            mine, third = x.pair[p], x.triple[t]
+            u, many = np.unique(x.number[x.u[mine]], return_counts=True)
+            rows.append((s, name, _pack(_steps(u), many, x.number[x.v[mine]], np.where(x.own[p], pairs[mine], 0), x.children[p], x.number[x.w[third]], triples[third]), None))
+        return pa.Table.from_batches([_cells(rows)])
+
+    return run
 
 
-def _answer_shard(hot: dict[int, int]):
-    """Codes of each chunk's pairs from the trie of this shard."""
+def quantised(counts: np.ndarray, n: int) -> np.ndarray:
+    """16-bit codes of probabilities counts / n; 0 for none."""
+    codes = np.clip(np.round(65535 + CODE * np.log10(np.maximum(counts, 1) / max(n, 1))), 1, 65535)
+    return np.where(counts > 0, codes, 0)
+
+
+def frequency(codes: np.ndarray, n: int) -> np.ndarray:
+    """The counts that codes stand for."""
+    return np.where(codes > 0, n * 10.0 ** ((codes.astype(np.float64) - 65535) / CODE), 0.0)
+
+
+def _answer(n_train: int):
+    """Codes of what each chunk asks for, from the trie of this shard. What chunks keep passes through."""
 
     def run(group: pa.Table) -> pa.Table:
-        contexts, words, counts, sizes = [], [], [], []
-        for a, b, c in zip(group["a"], group["b"], group["c"], strict=True):
-            c = c.as_py()
-            cut = 4 + int.from_bytes(c[:4], "little")
-            contexts.append(np.repeat(_open_rising(a.as_py()), _open_any(b.as_py()).astype(np.int64)))
-            words.append(_open(c[4:cut], WORD_BITS // 8))
-            counts.append(_open_any(c[cut:]).astype(np.int64))
-            sizes.append(len(words[-1]))
-        u, w, n = np.concatenate(contexts), np.concatenate(words), np.concatenate(counts)
-        trie = build(u[n > 0], w[n > 0], n[n > 0], hot)
-        codes = trie.codes_of(u, w)
-        shard, rows, at = group["shard"][0].as_py(), [], 0
-        for name, k in zip(group["chunk"].to_pylist(), sizes, strict=True):
-            rows.append((shard, name, None, _pack_any(codes[at : at + k]), None))
-            at += k
+        shard = group["shard"][0].as_py()
+        if shard < 0:
+            return group
+        cells = [_open(x.as_py()) for x in group["a"]]
+        u = np.concatenate([np.repeat(np.cumsum(x[0], dtype=np.uint64), x[1].astype(np.int64)) for x in cells])
+        v = np.concatenate([x[2] for x in cells])
+        first = np.cumsum([0, *(len(x[2]) for x in cells)])
+        parent = np.concatenate([at + np.repeat(np.arange(len(x[4])), x[4].astype(np.int64)) for at, x in zip(first, cells, strict=False)])
+        w = np.concatenate([x[5] for x in cells])
+        # Equal pairs and triples of all chunks, by numbers that rise in the same order.
+        us, iu = np.unique(u, return_inverse=True)
+        vs, iv = np.unique(v, return_inverse=True)
+        ws, iw = np.unique(w, return_inverse=True)
+        keys, pair = np.unique(iu * len(vs) + iv, return_inverse=True)
+        pu, pv = us[keys // len(vs)], vs[keys % len(vs)]
+        keys, triple = np.unique(pair[parent] * max(1, len(ws)) + iw, return_inverse=True)
+        tp, tw = keys // max(1, len(ws)), ws[keys % max(1, len(ws))]
+        n2 = np.bincount(pair, np.concatenate([x[3] for x in cells]).astype(np.float64), len(pu))
+        n3 = np.bincount(triple, np.concatenate([x[6] for x in cells]).astype(np.float64), len(tp))
+        trie = Trie.open(build(pu, pv, n2, tp, tw, n3, n_train).tobytes())
+        number, code2 = trie.pairs(pu, pv)
+        code3 = trie.triples(number[tp], tw)
+        rows, last = [], np.cumsum([0, *(len(x[5]) for x in cells)])
+        for k, name in enumerate(group["chunk"].to_pylist()):
+            rows.append((shard, name, _pack(code2[pair[first[k] : first[k + 1]]], code3[triple[last[k] : last[k + 1]]]), None))
         return pa.Table.from_batches([_cells(rows)])
 
     return run
 
 
-def build(context: np.ndarray, word: np.ndarray, count: np.ndarray, totals: dict[int, int]) -> Trie:
-    """Trie of pairs with their counts, repeats summed; totals: of contexts (by key) whose pairs are not all here."""
-    order = np.lexsort((word, context))
-    u, w, n = context[order], word[order], count[order]
-    new = np.flatnonzero(np.concatenate([[True], (u[1:] != u[:-1]) | (w[1:] != w[:-1])])) if len(u) else np.zeros(0, np.int64)
-    n = np.add.reduceat(n, new) if len(u) else n
-    u, w = u[new], w[new]
-    keys, place = np.unique(u, return_inverse=True)
-    total = np.bincount(place, n, len(keys)) if len(u) else np.zeros(0)
-    for k, t in totals.items():
-        i = np.searchsorted(keys, np.uint64(k))
-        if i < len(keys) and keys[i] == k:
-            total[i] = t
-    p = n / (total[place] + MU) if len(u) else np.zeros(0)
-    codes = np.clip(np.round(65535 + CODE * np.log10(np.maximum(p, 1e-14))), 1, 65535)
-    return Trie.build(u, w, codes)
-
+def build(u: np.ndarray, v: np.ndarray, n2: np.ndarray, parent: np.ndarray, w: np.ndarray, n3: np.ndarray, n: int) -> Trie:
+    """Trie of the pairs (distinct and sorted) and triples (parent is the number of a pair) that were counted.
 
-def _probability(codes: np.ndarray) -> np.ndarray:
-    return np.where(codes > 0, 10.0 ** ((codes.astype(np.float64) - 65535) / CODE), 0.0)
+    A pair without a count stays if triples below it have one.
+    """
+    there = n3 > 0
+    keep = n2 > 0
+    keep[parent[there]] = True
+    new = np.cumsum(keep) - 1
+    return Trie.build((u[keep], v[keep], quantised(n2[keep], n)), (new[parent[there]], w[there], quantised(n3[there], n)))
 
 
-def _score_chunk(shards: int, hot_words: np.ndarray, starts: int, n_train: int, v_train: int):
+def _score_chunk(shards: int, hot: np.ndarray, starts: int, n_train: int, v_train: int):
     def run(group: pa.Table) -> pa.Table:
-        own, counts, codes = None, {}, {}
-        for s, a, b, c in zip(group["shard"].to_pylist(), group["a"], group["b"], group["c"], strict=True):
+        kept, codes = None, {}
+        for s, a, b in zip(group["shard"].to_pylist(), group["a"], group["b"], strict=True):
             if s < 0:
-                own = (a.as_py(), b.as_py(), c.as_py())
-            elif a.as_py() is not None:
-                counts[s] = _open_any(a.as_py())
+                kept = (*_open(a.as_py()), b.as_py())
             else:
-                codes[s] = _open_any(b.as_py())
-        chunk = _load(group["chunk"][0].as_py(), *own)
-        c = np.zeros(len(chunk.words) + 1)
-        for s, at in _by_shard(_shard(chunk.words, shards)):
-            c[at] = counts.pop(s)
-        c[-1] = starts
-        u, w, pair = _pairs(chunk)
-        code = np.zeros(len(u), np.int64)
-        for s, at in _bigram_order(chunk, u, w, hot_words, shards):
-            code[at] = codes.pop(s)
-        if counts or codes:
-            raise RuntimeError("answers for other keys than were asked")
-        p = (c[:-1] + ALPHA) / (n_train + ALPHA * (v_train + 1))
-        base = np.log10(p)[chunk.tokens]
-        smooth = np.log10(_probability(code) + MU / (c[u] + MU) * p[w])[pair]
-        first = np.concatenate([[0], chunk.ends[:-1]])
-        total = lambda x: np.add.reduceat(x, first)
+                codes[s] = _open(a.as_py())
+        tokens, count, number, info = kept
+        chunk = _load(group["chunk"][0].as_py(), count, tokens, info)
+        x = Layout(chunk, number.astype(np.int64), hot, shards)
+        two, three = np.zeros(len(x.u)), np.zeros(len(x.w))
+        for s, p, t in x.parts():
+            code2, code3 = codes.pop(s)
+            own = x.own[p]
+            two[x.pair[p][own]] = frequency(code2[own], n_train)
+            three[x.triple[t]] = frequency(code3, n_train)
+        if codes:
+            raise RuntimeError("answers for other n-grams than were asked for")
+        c = np.append(count.astype(np.float64), starts)
+        p1 = (c[:-1] + ALPHA) / (n_train + ALPHA * (v_train + 1))
+        p2 = (two + MU * p1[x.v]) / (c[x.u] + MU)
+        p = p2[x.pair_at]
+        at = np.flatnonzero(x.inner)
+        p[at] = (three[x.triple_at] + MU * p[at]) / (two[x.pair_at[at - 1]] + MU)
+        total = lambda y: np.add.reduceat(y, x.first)
         known = total((c[:-1] > 0)[chunk.tokens].astype(np.int64))
         return pa.table({
             "doc_id": pa.array(chunk.ids, pa.int64()), "held_out": pa.array(chunk.held, pa.bool_()), "n_tokens": pa.array(np.diff(chunk.ends, prepend=0), pa.int64()), "n_known": pa.array(known, pa.int64()),
-            "train_tokens": pa.array([n_train] * len(first), pa.int64()), "base_score": pa.array(total(base)), "score": pa.array(total(smooth)),
+            "train_tokens": pa.array([n_train] * len(x.first), pa.int64()), "base_score": pa.array(total(np.log10(p1)[chunk.tokens])), "score": pa.array(total(np.log10(p))),
         })
 
     return run
@@ -477,18 +573,16 @@ def score(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
     shards = 1 + int(size.chars // SHARD_CHARS)
     # The hot list holds at most (chars / 2 + documents) / least_hot words.
     least_hot = max(2.0, size.chars / 8 / HOT)
-    asked = src.mapInArrow(tidied(_unigram_cells(shards, chunk)), CELLS)
-    counts = stored(asked.groupBy("shard").applyInArrow(_count_shard(least_hot), CELLS))
+    words = stored(src.mapInArrow(tidied(_word_cells(shards, chunk)), CELLS).groupBy("shard").applyInArrow(_number_words(shards, least_hot), CELLS))
     known = n = 0
-    hot = {}
-    for r in counts.where("chunk is null").select("a", "b", "c").toLocalIterator():
-        x = np.frombuffer(r.c, np.int64)
+    warm = []
+    for r in words.where("chunk is null").select("a", "b").toLocalIterator():
+        x = np.frombuffer(r.a, np.int64)
         known, n = known + int(x[0]), n + int(x[1])
-        hot |= dict(zip(np.frombuffer(r.a, np.uint64).tolist(), np.frombuffer(r.b, np.int64).tolist(), strict=True))
-    hot.pop(int(END), None)  # never a context
-    hot[int(START)] = size.starts
-    hot_words = np.array(sorted(hot), np.uint64)
-    answers = src.mapInArrow(tidied(_bigram_cells(shards, hot_words, chunk)), CELLS).groupBy("shard").applyInArrow(_answer_shard({k >> 16: v for k, v in hot.items()}), CELLS)
+        warm.append(np.frombuffer(r.b, np.int64))
+    hot = np.unique(np.concatenate(warm)) if warm else np.zeros(0, np.int64)
     # The texts come first, so that their partitions have the same numbers as before.
-    everything = src.mapInArrow(tidied(_chunk_cells(chunk)), CELLS).unionByName(counts.where("chunk is not null")).unionByName(answers)
-    return everything.groupBy("chunk").applyInArrow(_score_chunk(shards, hot_words, size.starts, n, known), SCHEMA)
+    kept = src.mapInArrow(tidied(_kept_cells(chunk)), CELLS).unionByName(words.where("chunk is not null"))
+    asked = kept.groupBy("chunk").applyInArrow(_ask(shards, hot), CELLS)
+    answers = asked.groupBy("shard").applyInArrow(_answer(n), CELLS)
+    return answers.groupBy("chunk").applyInArrow(_score_chunk(shards, hot, size.starts, n, known), SCHEMA)

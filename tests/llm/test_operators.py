@@ -692,28 +692,53 @@ def test_elias_fano():
 
 def test_trie_from_memory_map(tmp_path):
     r = np.random.default_rng(1)
-    u, w = r.integers(0, 40, 500).astype(np.uint64) << np.uint64(30), r.integers(0, 1 << 40, 500).astype(np.uint64)
-    t = lm.build(u, w, np.ones(500, np.int64), {})
-    (tmp_path / "t").write_bytes(t.tobytes())
-    again = lm.Trie.open(np.memmap(tmp_path / "t", np.uint8, "r"))
-    assert (again.codes_of(u, w) == t.codes_of(u, w)).all() and (t.codes_of(u, w) > 0).all()
-    assert not again.codes_of(u, w ^ np.uint64(1)).any() and not again.codes_of(u + np.uint64(1), w).any()
-    assert not lm.Trie.open(lm.build(u[:0], w[:0], np.zeros(0, np.int64), {}).tobytes()).codes_of(u, w).any()
+    for words in (5, 60, 1 << 40):
+        keys = np.unique(r.integers(0, words, (3000, 3)).astype(np.uint64), axis=0)
+        pairs, parent = np.unique(keys[:, :2], axis=0, return_inverse=True)
+        n2, n3 = r.integers(0, 3, len(pairs)).astype(float), r.integers(0, 3, len(keys)).astype(float)
+        t = lm.build(pairs[:, 0], pairs[:, 1], n2, parent.reshape(-1), keys[:, 2], n3, 10_000)
+        (tmp_path / "t").write_bytes(t.tobytes())
+        for trie in (t, lm.Trie.open(np.memmap(tmp_path / "t", np.uint8, "r"))):
+            number, code = trie.pairs(pairs[:, 0], pairs[:, 1])
+            assert np.allclose(lm.frequency(code, 10_000), n2, rtol=1e-3)
+            third = trie.triples(number[parent.reshape(-1)], keys[:, 2])
+            assert np.allclose(lm.frequency(third, 10_000), n3, rtol=1e-3)
+            known = {tuple(k) for k, n in zip(keys.tolist(), n3, strict=True) if n}
+            other = r.integers(0, words, (2000, 3)).astype(np.uint64)
+            number, _ = trie.pairs(other[:, 0], other[:, 1])
+            assert ((trie.triples(number, other[:, 2]) > 0) == [tuple(k) in known for k in other.tolist()]).all()
+    none = np.zeros(0, np.uint64)
+    nothing = lm.Trie.open(lm.build(none, none, np.zeros(0), none.astype(np.int64), none, np.zeros(0), 0).tobytes())
+    assert (nothing.pairs(np.arange(3, dtype=np.uint64), np.arange(3, dtype=np.uint64))[0] == -1).all()
+
+
+def test_elias_fano_elements():
+    r = np.random.default_rng(5)
+    for n, top in ((1, 9), (1000, 1 << 50), (1000, 1500), (3000, 40)):
+        v = np.sort(r.integers(0, top, n).astype(np.uint64))
+        assert (lm.EliasFano.build(v).get(np.arange(n)) == v).all()
 
 
 def plain_lm(rows):
     toks = [WORD.findall(lower(t or "")) + [None] for _, t in rows]
     held = [i is not None and zlib.crc32(str(i).encode()) % 10 == 0 for i, _ in rows]
-    one, two = collections.Counter(), collections.Counter()
+    one, two, three = collections.Counter(), collections.Counter(), collections.Counter()
     for w, h in zip(toks, held, strict=True):
         if not h:
             one.update(w)
             two.update(zip([0, *w], w, strict=False))
+            three.update(zip([0, *w], w, w[1:], strict=False))
     n, v, starts = sum(one.values()), len(one), held.count(False)
     for (i, _), w, h in zip(rows, toks, held, strict=True):
         p = [(one[x] + 0.1) / (n + 0.1 * (v + 1)) for x in w]
-        c = [starts] + [one[x] for x in w[:-1]]
-        s = sum(math.log10((two[k] + lm.MU * q) / (m + lm.MU)) for k, q, m in zip(zip([0, *w], w, strict=False), p, c, strict=True))
+        s = 0.0
+        for k, x in enumerate(w):
+            u = w[k - 1] if k else 0
+            q = (two[u, x] + lm.MU * p[k]) / ((one[u] if k else starts) + lm.MU)
+            if k:
+                t = w[k - 2] if k > 1 else 0
+                q = (three[t, u, x] + lm.MU * q) / (two[t, u] + lm.MU)
+            s += math.log10(q)
         yield i, h, len(w), sum(one[x] > 0 for x in w), n, sum(map(math.log10, p)), s
 
 
