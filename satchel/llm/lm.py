@@ -44,7 +44,7 @@ from satchel.llm.common import held_out, stored, text_bytes, tidied
 MU = 8.0
 ALPHA = 0.1
 FOLDS = 10
-CHUNK = 600_000  # tokens; a chunk ends with the document that reaches it
+CHUNK = 1_000_000  # tokens; a chunk ends with the document that reaches it
 SHARD_CHARS = 8_000_000  # of the corpus for each shard
 HOT = 1000  # a context over 1/HOT of the tokens is spread
 CODE = 65534 / 14.0  # steps for each power of ten; code 0 is absent
@@ -86,11 +86,9 @@ class EliasFano:
 
     def _low(self, i: np.ndarray) -> np.ndarray:
         bit = i * self.low_bits
-        at = bit >> 3
-        out = np.zeros(len(i), np.uint64)
-        for k in range(8):
-            out |= self.low[at + k].astype(np.uint64) << np.uint64(8 * k)
-        return (out >> (bit & 7).astype(np.uint64)) & np.uint64((1 << self.low_bits) - 1)
+        # Eight bytes from any byte on; low ends with eight that are not used.
+        words = np.ndarray((len(self.low) - 7,), "<u8", self.low, strides=(1,))
+        return (words[bit >> 3] >> (bit & 7).astype(np.uint64)) & np.uint64((1 << self.low_bits) - 1)
 
     def _zero(self, k: np.ndarray) -> np.ndarray:
         """Bit position of the k-th zero of the high part."""
@@ -155,11 +153,14 @@ class Level:
 
     def find(self, context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Place of each word below its context, and whether it is there."""
-        lo, hi = self.pointers.get(context).astype(np.int64), self.pointers.get(context + 1).astype(np.int64)
+        # Neighbouring questions mostly have one context.
+        new = np.flatnonzero(np.diff(context, prepend=-1))
+        some, times = context[new], np.diff(np.append(new, len(context)))
+        lo, hi = self.pointers.get(some).astype(np.int64), self.pointers.get(some + 1).astype(np.int64)
         base = np.zeros(len(lo), np.uint64)
         base[lo > 0] = self.words.get(lo[lo > 0] - 1) + np.uint64(1)
-        at, hit = self.words.successor(base + word)
-        return at, hit & (at >= lo) & (at < hi)
+        at, hit = self.words.successor(np.repeat(base, times) + word)
+        return at, hit & (at >= np.repeat(lo, times)) & (at < np.repeat(hi, times))
 
 
 class Trie:
@@ -259,7 +260,8 @@ class Chunk:
     name: int
     ids: list
     held: list[bool]
-    words: np.ndarray  # distinct hashes, sorted
+    words: np.ndarray  # distinct hashes, sorted by shard and hash
+    cuts: np.ndarray  # where the words of each shard begin, and their number
     tokens: np.ndarray  # index into words, each document ending with END
     ends: np.ndarray  # of documents in tokens
 
@@ -276,15 +278,19 @@ class _Codes(dict):
         return n
 
 
-def _chunks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[Chunk]:
+def _chunks(batches: Iterator[pa.RecordBatch], shards: int, most: int) -> Iterator[Chunk]:
     """Of (doc_id, held_out, text). Chunks of one partition are the same in every pass; answers are checked against what was asked."""
     part, count = TaskContext.get().partitionId(), 0
     end = b" end"  # no word has a space
 
     def made() -> Chunk:
         hashes = np.fromiter(map(xxhash.xxh64_intdigest, codes), np.uint64, len(codes))
-        words, place = np.unique(hashes, return_inverse=True)
-        return Chunk((part << 32) | count, ids, held, words, place[np.concatenate(rows)], np.cumsum([len(r) for r in rows]))
+        shard = _shard(hashes, shards)
+        order = np.lexsort((hashes, shard))
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        cuts = np.searchsorted(shard[order], np.arange(shards + 1))
+        return Chunk((part << 32) | count, ids, held, hashes[order], cuts, place[np.concatenate(rows)], np.cumsum([len(r) for r in rows]))
 
     codes, ids, held, rows, total = _Codes(), [], [], [], 0
     for b in batches:
@@ -307,13 +313,6 @@ def _shard(x: np.ndarray, shards: int) -> np.ndarray:
     return ((_mix(x) >> np.uint64(20)) % np.uint64(shards)).astype(np.int64)
 
 
-def _by_shard(shard: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    order = np.argsort(shard, kind="stable")
-    for at in np.split(order, np.flatnonzero(np.diff(shard[order])) + 1):
-        if len(at):
-            yield int(shard[at[0]]), at
-
-
 #: shard: of words or n-grams, or -1 - chunk for what a chunk keeps; a row with a null chunk holds a shard's sums.
 CELLS = "shard long, chunk long, a binary, b binary"
 
@@ -327,9 +326,10 @@ def _word_cells(shards: int, most: int):
     """Each chunk's distinct words with their training counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for c in _chunks(batches, most):
+        for c in _chunks(batches, shards, most):
             n = np.bincount(c.tokens[c.training()], minlength=len(c.words))
-            yield _cells([(s, c.name, _pack(_steps(c.words[at]), n[at]), None) for s, at in _by_shard(_shard(c.words, shards))])
+            some = np.flatnonzero(np.diff(c.cuts)).tolist()
+            yield _cells([(s, c.name, _pack(_steps(c.words[i:j]), n[i:j]), None) for s, i, j in zip(some, c.cuts[:-1][some].tolist(), c.cuts[1:][some].tolist(), strict=True)])
 
     return run
 
@@ -361,29 +361,37 @@ def _number_words(shards: int, least_hot: float):
     return run
 
 
-def _kept_cells(most: int):
-    """Chunks themselves: words and token indices, and ids, held and ends."""
+def _kept_cells(shards: int, most: int):
+    """Chunks themselves: token indices, and ids, held, ends and hashes of the words that each shard was given."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for c in _chunks(batches, most):
+        for c in _chunks(batches, shards, most):
+            given = [xxhash.xxh64_digest(c.words[i:j].tobytes()) for i, j in zip(c.cuts, c.cuts[1:], strict=False)]
             info = pa.table({"id": pa.array(c.ids, pa.int64()), "held": pa.array(c.held, pa.bool_()), "end": pa.array(c.ends, pa.int64())})
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, info.schema) as f:
-                f.write_table(info)
-            yield _cells([(-1 - c.name, c.name, _pack(_steps(c.words), c.tokens), sink.getvalue().to_pybytes())])
+            yield _cells([(-1 - c.name, c.name, _pack(c.tokens, c.cuts), _stream(info) + _stream(pa.table({"given": given})))])
 
     return run
 
 
-def _load(name: int, words: np.ndarray, tokens: np.ndarray, info: bytes) -> Chunk:
-    t = pa.ipc.open_stream(info).read_all()
-    return Chunk(name, t["id"].to_pylist(), t["held"].to_pylist(), words, tokens.astype(np.int64), t["end"].to_numpy())
+def _stream(t: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, t.schema) as f:
+        f.write_table(t)
+    out = sink.getvalue().to_pybytes()
+    return len(out).to_bytes(8, "little") + out
+
+
+def _load(name: int, tokens: np.ndarray, cuts: np.ndarray, info: bytes) -> tuple[Chunk, list[bytes]]:
+    n = 8 + int.from_bytes(info[:8], "little")
+    t, given = (pa.ipc.open_stream(x).read_all() for x in (info[8:n], info[n + 8 :]))
+    cuts = cuts.astype(np.int64)
+    return Chunk(name, t["id"].to_pylist(), t["held"].to_pylist(), np.arange(cuts[-1]), cuts, tokens.astype(np.int64), t["end"].to_numpy()), given["given"].to_pylist()
 
 
 class Layout:
     """The distinct pairs and triples of a chunk, and those that each shard gets, in the order of numbers."""
 
-    def __init__(self, c: Chunk, number: np.ndarray, hot: np.ndarray, shards: int) -> None:
+    def __init__(self, c: Chunk, hot: np.ndarray, shards: int) -> None:
         m = len(c.words)
         self.first = np.concatenate([[0], c.ends[:-1]])
         before = np.empty(len(c.tokens), np.int64)
@@ -397,31 +405,25 @@ class Layout:
         at = np.flatnonzero(self.inner)
         keys, self.triple_at = np.unique(self.pair_at[at - 1] * m + c.tokens[at], return_inverse=True)
         self.parent, self.w = keys // m, keys % m
-        number = np.append(number, START)
-        warm = np.append(np.isin(number[:m], hot), True)
-        rank = np.empty(m + 1, np.int64)
-        rank[np.argsort(number)] = np.arange(m + 1)
-        salt = np.uint64(0x9E3779B97F4A7C15)
-        big = number.astype(np.uint64)
-        one = _mix(big * salt)
-        two = one[self.u] + big[self.v] * salt
-        home = _shard(np.where(warm[self.u], two, one[self.u]), shards)
+        warm = np.append(hot, True)
+        of = np.append(np.repeat(np.arange(shards), np.diff(c.cuts)), 0)  # shard of each word
+        home = np.where(warm[self.u], of[self.u] + of[self.v], of[self.u]) % shards
         spread = warm[self.u] & warm[self.v]
-        there = np.where(spread[self.parent], _shard(_mix(two[self.parent]) + big[self.w] * salt, shards), home[self.parent])
+        there = np.where(spread[self.parent], of[self.u[self.parent]] + of[self.v[self.parent]] + of[self.w], home[self.parent]) % shards
         # Contexts go along with triples that have another shard than their pair.
         guests = np.unique(there[home[self.parent] != there] * len(self.u) + self.parent[home[self.parent] != there])
         shard = np.concatenate([home, guests // len(self.u)])
         pair = np.concatenate([np.arange(len(self.u)), guests % len(self.u)])
         own = np.arange(len(pair)) < len(self.u)
-        order = np.argsort((shard * (m + 1) + rank[self.u[pair]]) * (m + 1) + rank[self.v[pair]], kind="stable")
+        order = np.argsort((shard * (m + 1) + self.u[pair]) * (m + 1) + self.v[pair])
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
         entry = self.parent.copy()  # where the context of a triple stands in (shard, pair)
         away = home[self.parent] != there
         entry[away] = len(self.u) + np.searchsorted(guests, there[away] * len(self.u) + self.parent[away])
         # Triples in the order of their contexts, which are in the order of shards.
-        below = np.argsort(place[entry] * (m + 1) + rank[self.w], kind="stable")
-        self.number, self.pair, self.own, self.triple = number, pair[order], own[order], below
+        below = np.argsort(place[entry] * (m + 1) + self.w)
+        self.pair, self.own, self.triple = pair[order], own[order], below
         shard, context = shard[order], place[entry][below]
         self.shards, lo = np.unique(shard, return_index=True)
         self.pair_cuts = np.append(lo, len(shard))
@@ -445,22 +447,28 @@ def _ask(shards: int, hot: np.ndarray):
                 kept = (*_open(a.as_py()), b.as_py())
             else:
                 answers[s] = (*_open(a.as_py()), b.as_py())
-        c = _load(name, np.cumsum(kept[0], dtype=np.uint64), kept[1], kept[2])
-        count, number = np.zeros(len(c.words), np.int64), np.zeros(len(c.words), np.int64)
-        for s, at in _by_shard(_shard(c.words, shards)):
-            n, k, same = answers.pop(s, (None, None, None))
-            if same != xxhash.xxh64_digest(c.words[at].tobytes()):
-                raise RuntimeError("answers for other words than are asked for")
-            count[at], number[at] = n, k
-        x = Layout(c, number, hot, shards)
+        c, given = _load(name, *kept)
+        count, number = np.zeros(len(c.words), np.int64), np.zeros(len(c.words) + 1, np.int64)
+        number[-1] = START
+        for s, (i, j) in enumerate(zip(c.cuts, c.cuts[1:], strict=False)):
+            if i < j:
+                n, k, same = answers.pop(s, (None, None, None))
+                if same != given[s]:
+                    raise RuntimeError("answers for other words than are asked for")
+                count[i:j], number[i:j] = n, k
+        warm = np.isin(number[:-1], hot)
+        x = Layout(c, warm, shards)
         training = c.training()
         pairs = np.bincount(x.pair_at[training], minlength=len(x.u))
         triples = np.bincount(x.triple_at[training[x.inner]], minlength=len(x.w))
-        rows = [(-1 - name, name, _pack(c.tokens, count, number), kept[2])]
+        rows = [(-1 - name, name, _pack(c.tokens, c.cuts, count, np.flatnonzero(warm)), kept[2])]
         for s, p, t in x.parts():
             mine, third = x.pair[p], x.triple[t]
-            u, many = np.unique(x.number[x.u[mine]], return_counts=True)
-            rows.append((s, name, _pack(_steps(u), many, x.number[x.v[mine]], np.where(x.own[p], pairs[mine], 0), x.children[p], x.number[x.w[third]], triples[third]), None))
+            # Pairs stand in the order of their first words.
+            u = x.u[mine]
+            new = np.flatnonzero(np.diff(u, prepend=-1))
+            many = np.diff(np.append(new, len(u)))
+            rows.append((s, name, _pack(number[u[new]], many, number[x.v[mine]], np.where(x.own[p], pairs[mine], 0), x.children[p], number[x.w[third]], triples[third]), None))
         return pa.Table.from_batches([_cells(rows)])
 
     return run
@@ -477,6 +485,17 @@ def frequency(codes: np.ndarray, n: int) -> np.ndarray:
     return np.where(codes > 0, n * 10.0 ** ((codes.astype(np.float64) - 65535) / CODE), 0.0)
 
 
+def _distinct(context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (context, word) in order, and the place of each there."""
+    wide = int(word.max(initial=0)) + 1
+    if int(context.max(initial=0) + 1) * wide < 1 << 63:
+        keys, place = np.unique(context * wide + word.astype(np.int64), return_inverse=True)
+        return keys // wide, (keys % wide).astype(np.uint64), place
+    words, rank = np.unique(word, return_inverse=True)
+    keys, place = np.unique(context * len(words) + rank, return_inverse=True)
+    return keys // len(words), words[keys % len(words)], place
+
+
 def _answer(n_train: int):
     """Codes of what each chunk asks for, from the trie of this shard. What chunks keep passes through."""
 
@@ -485,19 +504,16 @@ def _answer(n_train: int):
         if shard < 0:
             return group
         cells = [_open(x.as_py()) for x in group["a"]]
-        u = np.concatenate([np.repeat(np.cumsum(x[0], dtype=np.uint64), x[1].astype(np.int64)) for x in cells])
+        us, iu = np.unique(np.concatenate([x[0] for x in cells]), return_inverse=True)
+        iu = np.repeat(iu, np.concatenate([x[1] for x in cells]).astype(np.int64))
         v = np.concatenate([x[2] for x in cells])
         first = np.cumsum([0, *(len(x[2]) for x in cells)])
         parent = np.concatenate([at + np.repeat(np.arange(len(x[4])), x[4].astype(np.int64)) for at, x in zip(first, cells, strict=False)])
         w = np.concatenate([x[5] for x in cells])
-        # Equal pairs and triples of all chunks, by numbers that rise in the same order.
-        us, iu = np.unique(u, return_inverse=True)
-        vs, iv = np.unique(v, return_inverse=True)
-        ws, iw = np.unique(w, return_inverse=True)
-        keys, pair = np.unique(iu * len(vs) + iv, return_inverse=True)
-        pu, pv = us[keys // len(vs)], vs[keys % len(vs)]
-        keys, triple = np.unique(pair[parent] * max(1, len(ws)) + iw, return_inverse=True)
-        tp, tw = keys // max(1, len(ws)), ws[keys % max(1, len(ws))]
+        # Equal pairs and triples of all chunks, in order.
+        pu, pv, pair = _distinct(iu, v)
+        tp, tw, triple = _distinct(pair[parent], w)
+        pu = us[pu]
         n2 = np.bincount(pair, np.concatenate([x[3] for x in cells]).astype(np.float64), len(pu))
         n3 = np.bincount(triple, np.concatenate([x[6] for x in cells]).astype(np.float64), len(tp))
         trie = Trie.open(build(pu, pv, n2, tp, tw, n3, n_train).tobytes())
@@ -523,7 +539,7 @@ def build(u: np.ndarray, v: np.ndarray, n2: np.ndarray, parent: np.ndarray, w: n
     return Trie.build((u[keep], v[keep], quantised(n2[keep], n)), (new[parent[there]], w[there], quantised(n3[there], n)))
 
 
-def _score_chunk(shards: int, hot: np.ndarray, starts: int, n_train: int, v_train: int):
+def _score_chunk(shards: int, starts: int, n_train: int, v_train: int):
     def run(group: pa.Table) -> pa.Table:
         kept, codes = None, {}
         for s, a, b in zip(group["shard"].to_pylist(), group["a"], group["b"], strict=True):
@@ -531,9 +547,11 @@ def _score_chunk(shards: int, hot: np.ndarray, starts: int, n_train: int, v_trai
                 kept = (*_open(a.as_py()), b.as_py())
             else:
                 codes[s] = _open(a.as_py())
-        tokens, count, number, info = kept
-        chunk = _load(group["chunk"][0].as_py(), count, tokens, info)
-        x = Layout(chunk, number.astype(np.int64), hot, shards)
+        tokens, cuts, count, hot, info = kept
+        chunk, _ = _load(group["chunk"][0].as_py(), tokens, cuts, info)
+        warm = np.zeros(len(count), bool)
+        warm[hot.astype(np.int64)] = True
+        x = Layout(chunk, warm, shards)
         two, three = np.zeros(len(x.u)), np.zeros(len(x.w))
         for s, p, t in x.parts():
             code2, code3 = codes.pop(s)
@@ -582,7 +600,7 @@ def score(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
         warm.append(np.frombuffer(r.b, np.int64))
     hot = np.unique(np.concatenate(warm)) if warm else np.zeros(0, np.int64)
     # The texts come first, so that their partitions have the same numbers as before.
-    kept = src.mapInArrow(tidied(_kept_cells(chunk)), CELLS).unionByName(words.where("chunk is not null"))
+    kept = src.mapInArrow(tidied(_kept_cells(shards, chunk)), CELLS).unionByName(words.where("chunk is not null"))
     asked = kept.groupBy("chunk").applyInArrow(_ask(shards, hot), CELLS)
     answers = asked.groupBy("shard").applyInArrow(_answer(n), CELLS)
-    return answers.groupBy("chunk").applyInArrow(_score_chunk(shards, hot, size.starts, n, known), SCHEMA)
+    return answers.groupBy("chunk").applyInArrow(_score_chunk(shards, size.starts, n, known), SCHEMA)
