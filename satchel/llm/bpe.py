@@ -152,7 +152,13 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
 
 
 def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of the same ids and bytes, hashed where they are made."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of the same ids and bytes, hashed where they are made.
+
+    A row for each row of docs, repeated ones too; a null text counts as empty, a
+    null id stays null, an empty table gives none. Of equal ranks the leftmost
+    merges first. A text is encoded whole in one task, whatever its length.
+    Other columns are not read.
+    """
 
     def each(b: pa.RecordBatch) -> pa.RecordBatch:
         t = tokenizer(path, pattern)
@@ -169,7 +175,8 @@ def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
 
 def tokens(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """doc_id, n_tokens, ids (binary, little-endian uint32), exact (whether decoding gives the text's bytes back)."""
+    """doc_id, n_tokens, ids (binary, little-endian uint32), exact (whether decoding gives the text's bytes back);
+    nulls, empty, long and repeated texts as in digests()."""
 
     def each(b: pa.RecordBatch) -> pa.RecordBatch:
         t = tokenizer(path, pattern)

@@ -130,7 +130,8 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         hook = stored(both.groupBy("a").agg(F.min(rank("b")).alias("m")).select(F.col("a").alias("node"), F.least("m", rank("a"))["to"].alias("root")))
         hooks.append(hook)
         left = live.join(hook.withColumnsRenamed({"node": "a", "root": "x"}), "a").join(hook.withColumnsRenamed({"node": "b", "root": "y"}), "b")
-        live = stored(left.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+        before, live = live, stored(left.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+        discard(before)
     else:
         if not live.isEmpty():
             raise RuntimeError("components: rounds exhausted")

@@ -102,7 +102,9 @@ def clean(docs: DataFrame, with_text: bool = True) -> DataFrame:
     """One row for each document: its counts, verdict and (with_text) cleaned text.
 
     A null or empty text has no words and fails the base rules. Null ids and
-    repeated rows are judged row by row; other columns are not read. No shuffle.
+    repeated rows are judged row by row; the first of equal lines is no repeat.
+    An empty table gives none. A text is judged whole in one task, whatever its
+    length. Other columns are not read. No shuffle.
     """
     names = [x.split()[0] for x in SCHEMA.split(", ")][1:] + ["cleaned"] * with_text
     schema = SCHEMA + ", cleaned string" * with_text

@@ -212,7 +212,10 @@ def near_duplicates(docs: DataFrame, most: int = NODE) -> DataFrame:
 
 def keep_one(docs: DataFrame, most: int = NODE) -> DataFrame:
     """The rows of docs without near-duplicates: of each component the document
-    with the least doc_id stays, once if its row is repeated; null ids come last."""
+    with the least doc_id stays, once if its row is repeated; null ids come last.
+    Of rows with one id and several texts in a component the least hash of the
+    text stays. Columns may have any names; null, empty and long texts and empty
+    tables as in near_duplicates()."""
     prints = stored(fingerprints(docs))
     order = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "copy")
     best = prints.groupBy("fp").agg(F.min(order).alias("best"))

@@ -258,10 +258,13 @@ def reject(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of docs that are not predicted toxic, unchanged; nulls, empty, long and repeated texts as in score()."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
+    at = docs.columns.index("text")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for b in batches:
-            texts = text_bytes(b.column(b.schema.get_field_index("text")))
-            yield b.filter(pa.array([m.probability(m.passages(t)[1]) < 0.5 for t in texts], pa.bool_()))
+            yield b.filter(pa.array([m.probability(m.passages(t)[1]) < 0.5 for t in text_bytes(b.column(at))], pa.bool_()))
 
-    return docs.mapInArrow(tidied(run), docs.schema)
+    # Columns by position, whatever their names.
+    plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
+    return plain.mapInArrow(tidied(run), plain.schema).toDF(*docs.columns)
