@@ -313,7 +313,7 @@ def _shard(x: np.ndarray, shards: int) -> np.ndarray:
     return ((_mix(x) >> np.uint64(20)) % np.uint64(shards)).astype(np.int64)
 
 
-#: shard: of words or n-grams, or -1 - chunk for what a chunk keeps; a row with a null chunk holds a shard's sums.
+#: shard: of words or n-grams, or below 0 for what a chunk keeps; a row with a null chunk holds a shard's sums.
 CELLS = "shard long, chunk long, a binary, b binary"
 
 
@@ -436,32 +436,46 @@ class Layout:
             yield s, slice(self.pair_cuts[i], self.pair_cuts[i + 1]), slice(self.triple_cuts[i], self.triple_cuts[i + 1])
 
 
+def _answered(group: pa.Table, hot: np.ndarray) -> tuple[Chunk, np.ndarray, np.ndarray, np.ndarray, bytes]:
+    """A chunk with its words' counts and numbers (the start's is last), which of them are hot, and its ids and ends as bytes."""
+    answers, kept = {}, None
+    for s, a, b in zip(group["shard"].to_pylist(), group["a"], group["b"], strict=True):
+        if s < 0:
+            kept = (*_open(a.as_py()), b.as_py())
+        else:
+            answers[s] = (*_open(a.as_py()), b.as_py())
+    c, given = _load(group["chunk"][0].as_py(), *kept)
+    count, number = np.zeros(len(c.words), np.int64), np.zeros(len(c.words) + 1, np.int64)
+    number[-1] = START
+    for s, (i, j) in enumerate(zip(c.cuts, c.cuts[1:], strict=False)):
+        if i < j:
+            n, k, same = answers.pop(s, (None, None, None))
+            if same != given[s]:
+                raise RuntimeError("answers for other words than are asked for")
+            count[i:j], number[i:j] = n, k
+    return c, count, number, np.isin(number[:-1], hot), kept[2]
+
+
+def _keep(hot: np.ndarray):
+    """Of a chunk and the answers for its words: what it keeps until its n-grams are answered."""
+
+    def run(group: pa.Table) -> pa.Table:
+        c, count, _, warm, info = _answered(group, hot)
+        return pa.Table.from_batches([_cells([(-1 - c.name, c.name, _pack(c.tokens, c.cuts, count, np.flatnonzero(warm)), info)])])
+
+    return run
+
+
 def _ask(shards: int, hot: np.ndarray):
-    """Of a chunk and the answers for its words: what it asks shards for, and what it keeps."""
+    """Of a chunk and the answers for its words: what it asks shards for."""
 
     def run(group: pa.Table) -> pa.Table:
-        name = group["chunk"][0].as_py()
-        answers, kept = {}, None
-        for s, a, b in zip(group["shard"].to_pylist(), group["a"], group["b"], strict=True):
-            if s < 0:
-                kept = (*_open(a.as_py()), b.as_py())
-            else:
-                answers[s] = (*_open(a.as_py()), b.as_py())
-        c, given = _load(name, *kept)
-        count, number = np.zeros(len(c.words), np.int64), np.zeros(len(c.words) + 1, np.int64)
-        number[-1] = START
-        for s, (i, j) in enumerate(zip(c.cuts, c.cuts[1:], strict=False)):
-            if i < j:
-                n, k, same = answers.pop(s, (None, None, None))
-                if same != given[s]:
-                    raise RuntimeError("answers for other words than are asked for")
-                count[i:j], number[i:j] = n, k
-        warm = np.isin(number[:-1], hot)
-        x = Layout(c, warm, shards)
+        c, _, number, warm, _ = _answered(group, hot)
+        name, x = c.name, Layout(c, warm, shards)
         training = c.training()
         pairs = np.bincount(x.pair_at[training], minlength=len(x.u))
         triples = np.bincount(x.triple_at[training[x.inner]], minlength=len(x.w))
-        rows = [(-1 - name, name, _pack(c.tokens, c.cuts, count, np.flatnonzero(warm)), kept[2])]
+        rows = []
         for s, p, t in x.parts():
             mine, third = x.pair[p], x.triple[t]
             # Pairs stand in the order of their first words.
@@ -497,12 +511,10 @@ def _distinct(context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 def _answer(n_train: int):
-    """Codes of what each chunk asks for, from the trie of this shard. What chunks keep passes through."""
+    """Codes of what each chunk asks for, from the trie of this shard."""
 
     def run(group: pa.Table) -> pa.Table:
         shard = group["shard"][0].as_py()
-        if shard < 0:
-            return group
         cells = [_open(x.as_py()) for x in group["a"]]
         us, iu = np.unique(np.concatenate([x[0] for x in cells]), return_inverse=True)
         iu = np.repeat(iu, np.concatenate([x[1] for x in cells]).astype(np.int64))
@@ -584,7 +596,8 @@ def score(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
 
     Null and empty texts have the end token only. A null id counts as training.
     Repeated rows count and are scored each time. An empty table gives none; with
-    no training documents every count is 0. Other columns are not read.
+    no training documents every count is 0. A text is one chunk at least, so a
+    very long one makes a longer chunk. Other columns are not read.
     """
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id"), FOLDS).alias("held_out"), "text")
     size = src.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars"), F.count_if(~F.col("held_out")).alias("starts")).first()
@@ -601,6 +614,7 @@ def score(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
     hot = np.unique(np.concatenate(warm)) if warm else np.zeros(0, np.int64)
     # The texts come first, so that their partitions have the same numbers as before.
     kept = src.mapInArrow(tidied(_kept_cells(shards, chunk)), CELLS).unionByName(words.where("chunk is not null"))
-    asked = kept.groupBy("chunk").applyInArrow(_ask(shards, hot), CELLS)
-    answers = asked.groupBy("shard").applyInArrow(_answer(n), CELLS)
-    return answers.groupBy("chunk").applyInArrow(_score_chunk(shards, size.starts, n, known), SCHEMA)
+    # Both read one exchange by chunk.
+    answers = kept.groupBy("chunk").applyInArrow(_ask(shards, hot), CELLS).groupBy("shard").applyInArrow(_answer(n), CELLS)
+    waiting = kept.groupBy("chunk").applyInArrow(_keep(hot), CELLS)
+    return answers.unionByName(waiting).groupBy("chunk").applyInArrow(_score_chunk(shards, size.starts, n, known), SCHEMA)
