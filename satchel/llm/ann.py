@@ -60,7 +60,7 @@ class Hashing:
 
     @classmethod
     def make(cls, rows: int, d: int, norm: float, r: float) -> Hashing:
-        k = max(4, round(0.8 * math.log2(max(rows, 2))))
+        k = max(4, round(0.64 * math.log2(max(rows, 2))))
         rng = np.random.default_rng(SEED)
         width = 2.5 * r
         return cls(norm, width, rng.normal(size=(TABLES, k, d + 1)), rng.uniform(0, width, (TABLES, k)), rng.integers(0, 1 << 63, k, dtype=np.uint64) | np.uint64(1))
@@ -212,11 +212,12 @@ def _search(routed: DataFrame, top: int, norm: float) -> DataFrame:
                         continue
                     cell = np.concatenate([p.column(4).flatten().to_numpy() for p in parts])
                     order = np.argsort(cell, kind="stable")
-                    x = np.concatenate([_matrix(p.column(3)) for p in parts])[order]
-                    ids = np.concatenate([p.column(2).to_numpy() for p in parts])[order]
+                    # A vector is here once a table at most; of its places one holds it.
+                    ids, some, of = np.unique(np.concatenate([p.column(2).to_numpy() for p in parts]), return_index=True, return_inverse=True)
+                    x = np.concatenate([_matrix(p.column(3)) for p in parts])[some]
                     keys, first = np.unique(cell[order], return_index=True)
-                    index, parts = (x, ids, keys, first, np.append(first[1:], len(ids))), [None]
-                x, ids, keys, first, last = index
+                    index, parts = (x, ids, of[order], keys, first, np.append(first[1:], len(order))), [None]
+                x, ids, of, keys, first, last = index
                 got = ([], [], [])
                 for q, v, cells in zip(part.column(2).to_pylist(), _matrix(part.column(3)), part.column(4), strict=True):
                     c = cells.values.to_numpy()
@@ -225,13 +226,13 @@ def _search(routed: DataFrame, top: int, norm: float) -> DataFrame:
                     n = last[k] - first[k]
                     if not n.sum():
                         continue
-                    rows = np.repeat(first[k] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-                    # A vector is here once a table at most; equal scores keep the smaller id.
+                    there = np.zeros(len(ids), bool)
+                    there[of[np.repeat(first[k] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())]] = True
+                    rows = np.flatnonzero(there)
                     near = x[rows] @ v
-                    if len(near) > TABLES * top:
-                        floor = np.partition(near, len(near) - TABLES * top)[len(near) - TABLES * top]
+                    if len(near) > top:
+                        floor = np.partition(near, len(near) - top)[len(near) - top]
                         rows = rows[near >= floor - 1e-13 * len(v) * norm * np.linalg.norm(v)]  # sums in another order
-                    rows = rows[np.unique(ids[rows], return_index=True)[1]]
                     exact = (x[rows] * v).sum(1)
                     best = np.lexsort((ids[rows], -exact))[:top]
                     got[0].extend([q] * len(best))
@@ -248,7 +249,8 @@ def nearest(vectors: DataFrame, every: int = EVERY, results: int = RESULTS) -> D
     Queries are rows whose vec_id `every` divides. Null, zero and non-finite
     vectors, null ids and vectors of another than the commonest length take no
     part. Rows repeated whole count once; a query never meets its own id. Equal
-    scores go to the smaller id. An empty table gives none.
+    scores go to the smaller id. An empty table gives none. Other columns are not
+    read; lengths may be of any size.
     """
     spark = vectors.sparkSession
     classes = stored(classes_of(vectors, every, results))
