@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from satchel.llm.common import WordHash, stored, text_bytes, tidied
+from satchel.llm.common import WordHash, discard, stored, text_bytes, tidied
 
 LENGTH = 50
 GRAM = 8
@@ -304,10 +304,12 @@ def references(src: DataFrame, length: int) -> DataFrame:
     every = stored(_segments(docs, length))
     shared = every.groupBy("gram").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("gram")
     held = stored(every.join(shared, "gram", "left_semi").distinct())
+    discard(every)
     variants = stored(held.groupBy("gram", "seg").agg(F.min("doc_id").alias("a")))
     several = variants.groupBy("gram").count().where("count > 1").select("gram", F.lit(True).alias("several"))
     both = stored(held.join(variants, ["gram", "seg"]).select("doc_id", "gram", "seg", "a", "start", "n", F.xxhash64("gram", "seg").alias("vid")))
     owners = stored(both.where("doc_id = a").join(several, "gram", "left").select("doc_id", "vid", "seg", "start", "n", F.coalesce("several", F.lit(False)).alias("several")))
+    discard(held, variants)
     # A document has at most as many stretches as windows.
     own = owners.groupBy("doc_id").agg(F.collect_list(F.struct("vid", "seg", "start", "n", "several")).alias("own"))
     some, _ = _split_off(src.select("_id", "text"), owners.select("doc_id").distinct())
@@ -318,7 +320,9 @@ def references(src: DataFrame, length: int) -> DataFrame:
     routed = needs.join(owners.select("doc_id", "vid", "start", "n"), ["doc_id", "vid"]).select("doc_id", "start", "n", F.col("to.vid").alias("vid"), F.col("to.a").alias("a"))
     asked = both.where("doc_id > a").select("doc_id", "start", "n", "vid", "a").unionByName(routed)
     sent = asked.join(texts.select("vid", "a", "text"), ["vid", "a"]).select("doc_id", F.struct("start", "n", "text").alias("ref"))
-    return stored(sent.groupBy("doc_id").agg(F.collect_list("ref").alias("refs")))
+    refs = stored(sent.groupBy("doc_id").agg(F.collect_list("ref").alias("refs")))
+    discard(both, owners, texts)
+    return refs
 
 
 def _kept(words: list[bytes], spans: list[tuple[int, int]]) -> tuple[list[bytes], int]:
