@@ -28,8 +28,15 @@ def session(master: str | None = None, name: str = "satchel", **conf: str) -> Sp
     return b.getOrCreate()
 
 
+#: Rows of an Arrow batch; texts are long, and a batch is held by the JVM and the Python worker of each task.
+BATCH_ROWS = 1000
+
+
 def ship(spark: SparkSession) -> None:
-    """Gives this package to the executors' Python workers, once for each application."""
+    """Gives this package to the executors' Python workers, once for each application, and bounds the session's batches."""
+    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(batch)) <= BATCH_ROWS:
+        spark.conf.set(batch, str(BATCH_ROWS))
     sc = spark.sparkContext
     if getattr(sc, "_satchel_shipped", False):
         return
