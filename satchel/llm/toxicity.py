@@ -218,7 +218,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = SAMPLE) ->
             yield pa.record_batch([b.column(0), b.column(1), pa.array([x[0] for x in out], pa.list_(pa.float64())), pa.array([x[1] for x in out], pa.int64())], ["doc_id", "toxic", "sums", "n"])
 
     # At most sum(sample) ids.
-    m = rows.where("calibrates").select("doc_id", "toxic", "text").distinct().mapInArrow(tidied(measure), "doc_id long, toxic int, sums array<double>, n long").orderBy("doc_id", "n", "sums").toPandas()
+    m = rows.where("calibrates").select("doc_id", "toxic", "text").mapInArrow(tidied(measure), "doc_id long, toxic int, sums array<double>, n long").distinct().orderBy("doc_id", "n", "sums").toPandas()
     if m.toxic.nunique() < 2:
         return nothing
     other = m[m.toxic == 0]
