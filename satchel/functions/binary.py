@@ -227,9 +227,10 @@ def is_wide(byte: Column) -> Column:
 
 def byte_counts(c: Column) -> Column:
     """lead, tail and plain: how many bytes of each class a binary holds."""
-    pairs = F.regexp_extract_all(F.hex(c), F.lit("(..)"), F.lit(1))
-    count = lambda digits: F.size(F.filter(pairs, lambda x: F.substring(x, 1, 1).isin(*digits))).cast("long")
-    return F.struct(count("CDEF").alias("lead"), count("89AB").alias("tail"), count("01234567").alias("plain"))
+    chars = F.decode(c, "ISO-8859-1")  # a character a byte
+    count = lambda a, b: F.regexp_count(chars, F.lit(f"[\\x{{{a:02X}}}-\\x{{{b:02X}}}]")).cast("long")
+    lead, tail = count(0xC0, 0xFF), count(0x80, 0xBF)
+    return F.struct(lead.alias("lead"), tail.alias("tail"), (F.octet_length(c) - lead - tail).alias("plain"))
 
 
 def first_code_point(c: Column, at: Column | None = None) -> Column:

@@ -49,6 +49,11 @@ def member_json() -> Column:
     )
 
 
+def valid(c: Column) -> Column:
+    """Whether a string is one JSON value; null for null. The other functions give null for what is not."""
+    return F.when(c.isNotNull(), F.try_parse_json(c).isNotNull())
+
+
 def elements(c: Column, path: str = "$", kind: str = "string") -> Column:
     """Elements of the array at a path; null if there is none or an element is of another kind."""
     return F.try_variant_get(F.try_parse_json(c), path, f"array<{kind}>")

@@ -741,6 +741,18 @@ def shell_quote(spark, d):
     return read(spark, d, "benchmark").select("item_id", binary.shell_quote(F.col("text")).alias("quoted"))
 
 
+@query("""WITH x AS (SELECT event_id, CASE event_id % 3 WHEN 0 THEN props WHEN 1 THEN props[:-2] ELSE '[' || props || ']' END AS j FROM events) SELECT event_id, json_valid(j) AS valid FROM x""")
+def json_valid(spark, d):
+    p = F.col("props")
+    broken = F.when(F.col("event_id") % 3 == 0, p).when(F.col("event_id") % 3 == 1, F.expr("substring(props, 1, length(props) - 1)")).otherwise(F.concat(F.lit("["), p, F.lit("]")))
+    return read(spark, d, "events").select("event_id", js.valid(broken).alias("valid"))
+
+
+@query("SELECT o_orderkey, row_number() OVER (ORDER BY o_custkey, o_orderkey) - 1 AS place FROM orders")
+def int_order(spark, d):
+    return manifest.numbered(read(spark, d, "orders"), F.col("o_custkey"), F.col("o_orderkey"), name="place").select("o_orderkey", "place")
+
+
 # Members, continued
 
 
@@ -764,7 +776,7 @@ def pipe_through(spark, d):
     return pipes.through(rows, ["tr", "a-z", "A-Z"]).select("item_id", F.decode("content", "UTF-8").alias("t"))
 
 
-@query("SELECT CAST(0 AS BIGINT) AS command, unnest([0, 1]) AS line, unnest(['a', 'b c']) AS text UNION ALL SELECT 1, 0, 'x'")
+@query("SELECT CAST(0 AS BIGINT) AS command, CAST(unnest([0, 1]) AS BIGINT) AS line, unnest(['a', 'b c']) AS text UNION ALL SELECT 1, 0, 'x'")
 def pipe_source(spark, d):
     return pipes.output_lines(spark, [["printf", "a\\nb c\\n"], ["printf", "x"]])
 
@@ -832,3 +844,11 @@ def scan_files(spark, d):
     root = f"{shared_dir(spark).removeprefix('file://')}/satchel-{uuid.uuid4().hex}/root"
     extract(read_archive(spark, _written(spark, d, "asar"), content=True), root)
     return read_files(spark, root, exclude=["*5.txt"]).where(~F.col("is_dir")).select("path", "size")
+
+
+@query(f"""WITH {M} SELECT path, size AS bytes, 'written' AS action, '-i' || CASE WHEN executable THEN 'x' ELSE '-' END || '- ' || repeat(' ', 14)
+  || lpad(CAST(size AS VARCHAR), CAST(greatest(12, length(CAST(size AS VARCHAR))) AS INTEGER), ' ') || ' ' || path AS line FROM m WHERE NOT unpacked""")
+def extract_report(spark, d):
+    """What extraction with a check says of each member."""
+    root = f"{shared_dir(spark).removeprefix('file://')}/satchel-{uuid.uuid4().hex}/root"
+    return extract(read_archive(spark, _written(spark, d, "asar", integrity="true"), content=True), root, check=True)

@@ -125,7 +125,8 @@ class ArchiveWriter(DataSourceWriter):
         self.bson = kind != "asar"
         self.compress = str(options.get("compress", "false")).lower() in ("true", "deflate")
         self.integrity = str(options.get("integrity", "false")).lower() in ("true", "sha256")
-        self.spools = f"{self.path}.spool-{uuid.uuid4().hex}"
+        folder, slash, name = self.path.rpartition("/")
+        self.spools = f"{folder}{slash}_{name}.spool-{uuid.uuid4().hex}"  # readers of the folder skip such names
 
     def write(self, rows: Iterator) -> Spool:
         fs, top = file_system(self.spools)
