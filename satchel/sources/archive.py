@@ -11,9 +11,10 @@ are taken by the reader, so that bytes of other members are not read.
 Writing: rows (path, content, and optionally is_dir, executable, unpacked,
 size) become one archive. Options: kind (asar, bsar or baz, by suffix
 otherwise), compress, integrity. Tasks hash, compress and spool their members
-side by side; the commit orders them by path segments, lays out offsets and
-joins the spools. An archive is one file by its format, so the last step has
-one writer.
+side by side, with sorted runs of encoded entries beside them; the commit
+merges the runs by path segments, lays out offsets and joins the spools. An
+archive is one file by its format, so the last step has one writer; it holds a
+batch of each run, never the directory.
 
 Paths are of any file system that pyarrow opens.
 """
@@ -21,13 +22,19 @@ Paths are of any file system that pyarrow opens.
 from __future__ import annotations
 
 import hashlib
+import heapq
 import io
 import os
 import pickle
+import struct
+import tempfile
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
+from typing import BinaryIO
 
+import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, Filter, InputPartition, WriterCommitMessage
@@ -35,8 +42,10 @@ from pyspark.sql.types import StructType
 
 from satchel import schema as S
 from satchel.operators.codec import deflate_bytes, inflate_bytes
-from satchel.sources.directory import ArchiveError, Entry, header, read_directory
+from satchel.sources.directory import ArchiveError, Entry, words
+from satchel.sources.scan import DirectoryWriter, encoded, open_directory, rank, read_directory
 
+STRETCH = struct.Struct("<IQQ")
 SUFFIXES = {".asar": "asar", ".bsar": "bsar", ".baz": "bsar"}
 
 
@@ -78,8 +87,12 @@ class ArchiveReader(DataSourceReader):
     def read(self, part: Part) -> Iterator[tuple]:
         fs, p = file_system(part.archive)
         with fs.open_input_file(p) as f:
-            entries, base = read_directory(f, self.base)
-            total = sum(e.size or 0 for e in entries if not e.is_dir and not e.unpacked)
+            if part.count > 1:
+                total = sum(e.size or 0 for e in open_directory(f, self.base)[0] if not e.is_dir and not e.unpacked)
+                f.seek(0)
+            else:
+                total = 0
+            entries, base = open_directory(f, self.base)
             share, seen = -(-total // part.count) or 1, 0
             for e in entries:
                 holds = not e.is_dir and not e.unpacked
@@ -110,10 +123,42 @@ class FilteringReader(ArchiveReader):
                 yield f
 
 
+#: Entries and bytes of a sorted run at most, entries that are read of a run at once, runs that are merged and spools that are open at once.
+RUN, RUN_BYTES, BATCH, FAN = 1 << 16, 32 << 20, 256, 128
+
+
 @dataclass
 class Spool(WriterCommitMessage):
-    path: str
-    entries: bytes
+    runs: list[str]
+
+
+#: path segments, rank, spool, start and size of its data there (start None: no data), encoded attributes before and after the offset
+Record = tuple[list[str], int, str, int | None, int, bytes, bytes | None]
+
+
+def record_order(r: Record) -> tuple[list[str], int]:
+    return r[0], r[1]
+
+
+def write_run(fs: pafs.FileSystem, name: str, records: Iterator[Record]) -> str:
+    with fs.open_output_stream(name) as out:
+        while batch := list(islice(records, BATCH)):
+            data = pickle.dumps(batch)
+            out.write(struct.pack("<Q", len(data)) + data)
+    return name
+
+
+def read_run(fs: pafs.FileSystem, name: str) -> Iterator[Record]:
+    with fs.open_input_stream(name) as f:
+        while size := f.read(8):
+            yield from pickle.loads(f.read(struct.unpack("<Q", size)[0]))
+
+
+def merged(fs: pafs.FileSystem, folder: str, runs: list[str]) -> Iterator[Record]:
+    """All records in order, equal ones as their runs stand; more than FAN runs become fewer first."""
+    while len(runs) > FAN:
+        runs = [write_run(fs, f"{folder}/{uuid.uuid4().hex}", heapq.merge(*(read_run(fs, r) for r in runs[i : i + FAN]), key=record_order)) for i in range(0, len(runs), FAN)]
+    return heapq.merge(*(read_run(fs, r) for r in runs), key=record_order)
 
 
 class ArchiveWriter(DataSourceWriter):
@@ -132,12 +177,20 @@ class ArchiveWriter(DataSourceWriter):
         fs, top = file_system(self.spools)
         fs.create_dir(top, recursive=True)
         name = f"{top}/{uuid.uuid4().hex}"
-        entries, at = [], 0
+        runs: list[str] = []
+        records: list[Record] = []
+        at = held = 0
+
+        def run() -> None:
+            records.sort(key=record_order)
+            runs.append(write_run(fs, f"{name}.{len(runs)}", iter(records)))
+            records.clear()
+
         with fs.open_output_stream(name) as out:
             for r in rows:
                 v = dict(zip(self.columns, r, strict=True))
                 e = Entry(v["path"], bool(v.get("is_dir")), executable=bool(v.get("executable")), unpacked=bool(v.get("unpacked")))
-                content = v.get("content")
+                content, start = v.get("content"), None
                 if not e.is_dir:
                     data = b"" if content is None else bytes(content)
                     e.size = len(data) if content is not None else int(v.get("size") or 0)
@@ -150,39 +203,75 @@ class ArchiveWriter(DataSourceWriter):
                             data = deflate_bytes(data)
                             e.size = len(data)
                         out.write(data)
-                        e.offset = at
+                        start = at
                         at += len(data)
-                entries.append(e)
-        return Spool(name, pickle.dumps(entries))
+                head, tail = (b"", None) if e.is_dir else encoded(e, self.bson)
+                records.append((e.path.split("/"), rank(e), name, start, e.size or 0, head, tail))
+                held += len(head) + len(tail or b"")
+                if len(records) >= RUN or held >= RUN_BYTES:
+                    run()
+                    held = 0
+            run()
+        return Spool(runs)
 
     def commit(self, messages: list[Spool | None]) -> None:
         fs, target = file_system(self.path)
         if not self.overwrite and fs.get_file_info(target).type != pafs.FileType.NotFound:
             raise FileExistsError(self.path)
-        placed = [(e, m.path, e.offset) for m in messages if m for e in pickle.loads(m.entries)]
-        placed.sort(key=lambda x: x[0].path.split("/"))
-        at = 0
-        for e, _, _ in placed:
-            if e.offset is not None:
-                e.offset, at = at, at + e.size
-        done = file_system(f"{self.spools}-done")[1]
-        with fs.open_output_stream(done) as out:
-            out.write(header([e for e, _, _ in placed], self.bson))
-            files: dict[str, object] = {}
-            for e, spool, start in placed:
-                if start is None:
+        done, top = (file_system(f"{self.spools}{x}")[1] for x in ("-done", ""))
+        # The driver's own files: the directory, and which stretch of which spool comes next.
+        with tempfile.TemporaryFile() as body, tempfile.TemporaryFile() as plan, fs.open_output_stream(done) as out:
+            numbers = self._lay_out(merged(fs, top, [r for m in messages if m for r in m.runs]), body, plan)
+            before, after = words(body.seek(0, os.SEEK_END), self.bson)
+            out.write(before)
+            body.seek(0)
+            while block := body.read(S.BLOCK):
+                out.write(block)
+            out.write(after)
+            self._join(fs, plan, list(numbers), out)
+        fs.move(done, target)
+        self._clean(fs)
+
+    def _lay_out(self, records: Iterator[Record], body: BinaryIO, plan: BinaryIO) -> dict[str, int]:
+        """Writes the directory and the plan; the numbers of spools in the plan."""
+        directory, numbers = DirectoryWriter(body, self.bson), {}
+        at, last = 0, (0, 0, 0)  # number, start and size of a stretch
+        for segments, kind, spool, start, size, head, tail in records:
+            directory.add("/".join(segments), kind, head, tail, at)
+            if start is None:
+                continue
+            number = numbers.setdefault(spool, len(numbers))
+            if (number, start) == (last[0], last[1] + last[2]):
+                last = (*last[:2], last[2] + size)
+            else:
+                plan.write(STRETCH.pack(*last))
+                last = (number, start, size)
+            at += size
+        plan.write(STRETCH.pack(*last))
+        directory.close()
+        return numbers
+
+    def _join(self, fs: pafs.FileSystem, plan: BinaryIO, spools: list[str], out: pa.NativeFile) -> None:
+        files: dict[int, pa.NativeFile] = {}
+        plan.seek(0)
+        while stretches := plan.read(STRETCH.size << 12):
+            for number, start, left in STRETCH.iter_unpack(stretches):
+                if not left:
                     continue
-                f = files.get(spool) or files.setdefault(spool, fs.open_input_file(spool))
+                if number not in files:
+                    if len(files) >= FAN:
+                        files.pop(next(iter(files))).close()
+                    files[number] = fs.open_input_file(spools[number])
+                f = files[number]
                 f.seek(start)
-                left = e.size
                 while left:
                     block = f.read(min(left, S.BLOCK))
+                    if not block:
+                        raise ArchiveError(f"{spools[number]}: spooled data end early")
                     out.write(block)
                     left -= len(block)
-            for f in files.values():
-                f.close()
-        fs.move(done, target)
-        self._clean(fs)
+        for f in files.values():
+            f.close()
 
     def abort(self, messages: list[Spool | None]) -> None:
         self._clean(file_system(self.spools)[0])

@@ -22,6 +22,10 @@ class BsonError(ValueError):
     pass
 
 
+class BsonEnds(BsonError):
+    """The bytes at hand end within a value."""
+
+
 # Element codes of the format.
 DOUBLE, STRING, DOCUMENT, ARRAY, BINARY, BOOLEAN, NULL, INT32, INT64 = 0x01, 0x02, 0x03, 0x04, 0x05, 0x08, 0x0A, 0x10, 0x12
 
@@ -72,23 +76,30 @@ def _element(v: object) -> tuple[int, bytes]:
 
 def loads(data: bytes) -> Document:
     """The document at the start of data; its length word is not trusted, terminators decide."""
-    top, at = Document(), 4
-    stack: list[tuple[Document, bool]] = [(top, False)]  # what is open, and whether it is a list
+    return value(data, 0, DOCUMENT)[0]
+
+
+def value(data: bytes, at: int, code: int) -> tuple[object, int]:
+    """The value of an element that begins at a position, and where it ends."""
+    if code not in (DOCUMENT, ARRAY):
+        return _value(data, at, code)
+    top, at = Document(), at + 4
+    stack: list[tuple[Document, bool]] = [(top, code == ARRAY)]  # what is open, and whether it is a list
     while True:
         if at >= len(data):
-            raise BsonError("document ends early")
+            raise BsonEnds("document ends early")
         code, at = data[at], at + 1
         if not code:
             done, is_list = stack.pop()
             if not stack:
-                return top
+                return ([v for _, v in top] if is_list else top), at
             if is_list:
                 above = stack[-1][0]
                 above[-1] = (above[-1][0], [v for _, v in done])
             continue
         end = data.find(0, at)
         if end < 0:
-            raise BsonError("key ends early")
+            raise BsonEnds("key ends early")
         key, at = data[at:end].decode(), end + 1
         if code in (DOCUMENT, ARRAY):
             below = Document()
@@ -96,8 +107,8 @@ def loads(data: bytes) -> Document:
             stack.append((below, code == ARRAY))
             at += 4
             continue
-        value, at = _value(data, at, code)
-        stack[-1][0].append((key, value))
+        found, at = _value(data, at, code)
+        stack[-1][0].append((key, found))
 
 
 def _value(b: bytes, at: int, code: int) -> tuple[object, int]:
@@ -114,12 +125,18 @@ def _value(b: bytes, at: int, code: int) -> tuple[object, int]:
             return struct.unpack_from("<d", b, at)[0], at + 8
         if code == STRING:
             n = struct.unpack_from("<i", b, at)[0]
+            if n < 0:
+                raise BsonError("a string of no length")
+            if at + 4 + n > len(b):
+                raise BsonEnds("string ends early")
             return b[at + 4 : at + 3 + n].decode(), at + 4 + n
         if code == BINARY:
             n = struct.unpack_from("<i", b, at)[0]
-            if n < 0 or at + 5 + n > len(b):
-                raise BsonError("binary ends early")
+            if n < 0:
+                raise BsonError("a binary of no length")
+            if at + 5 + n > len(b):
+                raise BsonEnds("binary ends early")
             return bytes(b[at + 5 : at + 5 + n]), at + 5 + n
     except (struct.error, IndexError) as e:
-        raise BsonError("value ends early") from e
+        raise BsonEnds("value ends early") from e
     raise BsonError(f"element code {code:#x}")

@@ -1,4 +1,5 @@
 import hashlib
+import io
 import os
 import struct
 import zlib
@@ -293,3 +294,60 @@ def test_stream(spark, frame, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.table("archive_members").count() == 2 * (len(MEMBERS) + 4)
+
+
+def test_the_directory_does_not_pass_through_the_driver(tmp_path, monkeypatch):
+    import pickle
+    import tracemalloc
+
+    from satchel.sources import archive
+
+    monkeypatch.setattr(archive, "RUN", 500)
+    monkeypatch.setattr(archive, "FAN", 4)
+    path = str(tmp_path / "x.asar")
+    w = archive.ArchiveWriter({"path": path, "integrity": "true"}, ["path", "content"], True)
+    messages = [w.write(iter([(f"d{n % 7}/f{n}", b"%d" % n) for n in range(k, 20_000, 5)])) for k in range(5)]
+    assert max(len(pickle.dumps(m)) for m in messages) < 5_000
+    tracemalloc.start()
+    w.commit(messages)
+    assert tracemalloc.get_traced_memory()[1] < 12 << 20  # a block of data, and a batch of each run
+    tracemalloc.reset_peak()
+    with open(path, "rb") as f:
+        entries, base = archive.open_directory(f)
+        rows = [(e.path, e.offset, e.size) for e in entries if not e.is_dir]
+        assert tracemalloc.get_traced_memory()[1] < 16 << 20
+        tracemalloc.stop()
+        assert [r[0] for r in rows] == sorted((f"d{n % 7}/f{n}" for n in range(20_000)), key=lambda p: p.split("/"))
+        for p, at, size in rows[::999]:
+            f.seek(base + at)
+            assert f.read(size).decode() == p.rpartition("f")[2]
+    assert os.listdir(tmp_path) == ["x.asar"]
+
+
+@pytest.mark.parametrize("as_bson", [False, True])
+def test_directories_by_entry(monkeypatch, as_bson):
+    """The same bytes and entries as by whole documents, however the file is dealt out; attributes after files count."""
+    from satchel.sources import directory, scan
+
+    files = [Entry(p, size=n, executable=n == 2, unpacked=n == 3, algorithm=1, hash=b"h" * 32, block_size=4, blocks=[b"b" * 32] * n) for n, p in enumerate(["a", "a/ü 🙂/\"", "a/ü 🙂/x", "b/c/d", "b/e", "f//g", "files"])]
+    made = sorted([*files, Entry("a/ü 🙂", True, unpacked=True), Entry("void", True)], key=lambda e: (e.path.split("/"), scan.rank(e)))
+    out, at = io.BytesIO(), 0
+    w = scan.DirectoryWriter(out, as_bson)
+    for e in made:
+        w.add(e.path, scan.rank(e), *((b"", None) if e.is_dir else scan.encoded(e, as_bson)), at)
+        if not e.is_dir and not e.unpacked:
+            e.offset, at = at, at + e.size
+    before, after = directory.words(w.close(), as_bson)
+    raw = before + out.getvalue() + after
+    assert raw == header(made, as_bson)
+    document = directory.document(made, as_bson)
+    want = [e.row("") for e in directory.flatten(dict(document)["files"])]
+    for chunk in (1, 3, 64, 1 << 18):
+        monkeypatch.setattr(scan, "CHUNK", chunk)
+        assert [e.row("") for e in scan.read_directory(io.BytesIO(raw))[0]] == want
+    late = bson.Document([("files", bson.Document([("d", bson.Document([("files", bson.Document()), ("unpacked", True)]))]))])
+    body = bson.dumps(late) if as_bson else directory._json(late).encode()
+    before, after = directory.words(len(body), as_bson)
+    assert [(e.path, e.is_dir, e.unpacked) for e in scan.read_directory(io.BytesIO(before + body + after))[0]] == [("d", True, True)]
+    with pytest.raises(ValueError):
+        scan.read_directory(io.BytesIO(before + body[:-2]))
