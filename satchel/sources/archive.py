@@ -2,9 +2,12 @@
 
 Reading: one row a member in document order. Options: content (default true)
 reads and inflates member bytes; base (default 12) is the number of bytes
-between the end of what the header counts and its start; split (bytes, default
-64 MB) divides large archives between tasks. Headers are parsed on executors;
-the driver lists files and sizes only. With option pushdown (and the session's
+between the end of what the header counts and its start; split (bytes of data
+and directory, default 64 MB) divides large archives between tasks. A directory
+has no entry points, so one task goes through it first and cuts it; after that
+each task parses its own stretch. read_archive() does this by a job, a task for
+each archive, and hands the cuts over (option cuts); without them, or if a file
+has changed since, the driver goes through the directory. With option pushdown (and the session's
 spark.sql.python.filterPushdown.enabled) filters on path, is_dir and unpacked
 are taken by the reader, so that bytes of other members are not read.
 
@@ -21,11 +24,13 @@ Paths are of any file system that pyarrow opens.
 
 from __future__ import annotations
 
+import atexit
 import hashlib
 import heapq
 import io
 import os
 import pickle
+import shutil
 import struct
 import tempfile
 import uuid
@@ -43,9 +48,10 @@ from pyspark.sql.types import StructType
 from satchel import schema as S
 from satchel.operators.codec import deflate_bytes, inflate_bytes
 from satchel.sources.directory import ArchiveError, Entry, words
-from satchel.sources.scan import DirectoryWriter, encoded, open_directory, rank, read_directory
+from satchel.sources.scan import DirectoryWriter, Place, Scan, encoded, open_directory, rank, read_directory
 
 STRETCH = struct.Struct("<IQQ")
+SPLIT = 64 << 20
 SUFFIXES = {".asar": "asar", ".bsar": "bsar", ".baz": "bsar"}
 
 
@@ -67,42 +73,76 @@ def list_archives(path: str) -> list[tuple[str, int]]:
     return sorted((path.rstrip("/") + x.path[len(p.rstrip("/")) :], x.size) for x in found if x.type == pafs.FileType.File and os.path.splitext(x.path)[1] in SUFFIXES)
 
 
+@dataclass
+class Cut:
+    """A stretch of a directory: where it begins, its number of entries, where member data start."""
+
+    place: Place
+    entries: int
+    base: int
+
+
+def cuts(archive: str, base_shift: int, split: int) -> list[Cut]:
+    """Stretches of `split` bytes of data and directory, by one pass; a part for each `split` bytes of the file, so
+    some are empty if members are longer."""
+    fs, p = file_system(archive)
+    with fs.open_input_file(p) as f:
+        scan, base = open_directory(f, base_shift)
+        out, begun, held = [Cut(scan.place(), 0, base)], scan.at, 0
+        for e in scan:
+            out[-1].entries += 1
+            if not e.is_dir and not e.unpacked:
+                held += e.size or 0
+            here = scan.at + scan.pos
+            if held + here - begun >= split:
+                out.append(Cut(scan.place(), 0, base))
+                begun, held = here, 0
+    return out + [Cut(scan.place(), 0, base)] * (1 + fs.get_file_info(p).size // split - len(out))
+
+
+def stamps(archives: list[str]) -> list[tuple[int, int]]:
+    """Sizes and times of change."""
+    by_name = [file_system(a) for a in archives]
+    return [(x.size, x.mtime_ns or 0) for x in by_name[0][0].get_file_info([p for _, p in by_name])] if archives else []
+
+
 @dataclass
 class Part(InputPartition):
     archive: str
-    index: int
-    count: int
+    cut: Cut | None  # None: the whole archive
 
 
 class ArchiveReader(DataSourceReader):
     def __init__(self, options: dict, content: bool) -> None:
         self.path, self.content = options["path"], content
         self.base = int(options.get("base", 12))
-        self.split = int(options.get("split", 64 << 20))
+        self.split = int(options.get("split", SPLIT))
+        self.cuts = options.get("cuts")
         self.equal: dict[str, object] = {}
 
     def partitions(self) -> list[Part]:
-        return [Part(a, i, n) for a, size in list_archives(self.path) for n in [1 + (size // self.split if self.content else 0)] for i in range(n)]
+        found = list_archives(self.path)
+        large = [a for a, size in found if self.content and size >= self.split]
+        known: dict = {}
+        if self.cuts and large:
+            with open(self.cuts, "rb") as f:  # the driver's own file
+                known = pickle.load(f)
+        made = {a: known[a, stamp] if (a, stamp) in known else cuts(a, self.base, self.split) for a, stamp in zip(large, stamps(large), strict=True)}
+        return [Part(a, c) for a, _ in found for c in made.get(a, [None])]
 
     def read(self, part: Part) -> Iterator[tuple]:
         fs, p = file_system(part.archive)
         with fs.open_input_file(p) as f:
-            if part.count > 1:
-                total = sum(e.size or 0 for e in open_directory(f, self.base)[0] if not e.is_dir and not e.unpacked)
-                f.seek(0)
+            if part.cut is None:
+                entries, base = open_directory(f, self.base)
             else:
-                total = 0
-            entries, base = open_directory(f, self.base)
-            share, seen = -(-total // part.count) or 1, 0
+                entries, base = islice(Scan.resume(f, part.cut.place), part.cut.entries), part.cut.base
             for e in entries:
-                holds = not e.is_dir and not e.unpacked
-                mine = min(seen // share, part.count - 1)
-                seen += (e.size or 0) if holds else 0
-                if mine != part.index or any(getattr(e, k) != v for k, v in self.equal.items()):
+                if any(getattr(e, k) != v for k, v in self.equal.items()):
                     continue
                 if not self.content:
                     yield e.row(part.archive)
-                elif not holds:
+                elif e.is_dir or e.unpacked:
                     yield (*e.row(part.archive), None)
                 else:
                     f.seek(base + (e.offset or 0))
@@ -310,10 +350,26 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(FileTreeSource)
 
 
+def _cut(spark: SparkSession, path: str, base: int, split: int) -> str | None:
+    """A file of the driver with the cuts of large archives below path, made on executors; None if there are none."""
+    large = [a for a, size in list_archives(path) if size >= split]
+    if not large:
+        return None
+    seen = stamps(large)
+    made = spark.sparkContext.parallelize(large, min(len(large), 10_000)).map(lambda a: cuts(a, base, split)).collect()
+    folder = os.path.realpath(tempfile.mkdtemp(prefix="satchel-"))
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    with open(f"{folder}/cuts", "wb") as f:
+        pickle.dump({(a, stamp): c for a, stamp, c in zip(large, seen, made, strict=True)}, f)
+    return f.name
+
+
 def read_archive(spark: SparkSession, path: str, content: bool = False, **options: str) -> DataFrame:
     register(spark)
     pushdown = spark.conf.get("spark.sql.python.filterPushdown.enabled", "false")
-    return spark.read.format("archive").options(content=str(content).lower(), **({"pushdown": pushdown} | options)).load(path)
+    found = _cut(spark, path, int(options.get("base", 12)), int(options.get("split", SPLIT))) if content else None
+    made = {"content": str(content).lower(), "pushdown": pushdown} | ({"cuts": found} if found else {})
+    return spark.read.format("archive").options(**(made | options)).load(path)
 
 
 def write_archive(members: DataFrame, path: str, **options: str) -> None:

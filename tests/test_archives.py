@@ -351,3 +351,35 @@ def test_directories_by_entry(monkeypatch, as_bson):
     assert [(e.path, e.is_dir, e.unpacked) for e in scan.read_directory(io.BytesIO(before + body + after))[0]] == [("d", True, True)]
     with pytest.raises(ValueError):
         scan.read_directory(io.BytesIO(before + body[:-2]))
+
+
+@pytest.mark.parametrize("kind", ["asar", "bsar"])
+def test_a_task_parses_its_own_stretch(spark, tmp_path, monkeypatch, kind):
+    from satchel.sources import archive, scan
+
+    path = str(tmp_path / f"x.{kind}")
+    files = [(f"d{n % 5}/é{n // 5 % 3}/f{n}", bytes([n % 251]) * (n % 90), False, n % 13 == 0) for n in range(2000)] + [("void", None, True, False)]
+    write_archive(spark.createDataFrame(files, "path string, content binary, is_dir boolean, unpacked boolean"), path, compress=str(kind == "bsar").lower())
+    reader = archive.ArchiveReader({"path": path, "split": "5000"}, True)
+    parts = reader.partitions()
+    assert len(parts) > 20
+    parsed = 0
+    step = scan.Scan._step
+
+    def counted(self):
+        nonlocal parsed
+        parsed += 1
+        return step(self)
+
+    monkeypatch.setattr(scan.Scan, "_step", counted)
+    monkeypatch.setattr(scan, "CHUNK", 512)
+    rows = [r for p in parts for r in reader.read(p)]
+    assert parsed < 2 * len(rows)
+    whole = archive.ArchiveReader({"path": path}, True)
+    assert len(whole.partitions()) == 1 and list(whole.read(whole.partitions()[0])) == rows
+    assert sorted(r[1] for r in rows) == list(range(len(rows)))
+    df = read_archive(spark, path, content=True, split="5000")
+    assert df.rdd.getNumPartitions() == len(parts)
+    assert {r.path: r.content and bytes(r.content) for r in df.where("not is_dir").collect()} == {p: None if u else b for p, b, d, u in files if not d}
+    write_archive(spark.createDataFrame(files[:700], "path string, content binary, is_dir boolean, unpacked boolean"), path)  # the cuts of df hold no longer
+    assert df.where("not is_dir").count() == 700
