@@ -14,6 +14,7 @@ import base64
 import hashlib
 import re
 from array import array
+from collections.abc import Callable
 from functools import lru_cache
 
 import pyarrow as pa
@@ -21,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from satchel.llm.common import map_batches
+from satchel.llm.common import forgets, map_batches
 
 NONE = 1 << 40  # above any rank: no pair starts here
 
@@ -35,19 +36,42 @@ PLAIN_TEXT = re.compile("[\t-\r -~À-ɏ]*").fullmatch
 PLAIN_CUT = re.compile(rf"'(?:[stmd]|re|ve|ll)| ?[{LETTERS}]+| ?[0-9]+| ?[^\t-\r {LETTERS}0-9]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+").findall
 
 
-class Tokenizer:
-    """Ranks of a tiktoken file and the pattern that cuts texts."""
+class Known(dict):
+    """Ids by piece. Pieces of up to KEEP characters are remembered, the last MOST to 2 * MOST that came; others are encoded anew."""
 
-    #: Pieces of up to KEEP characters are remembered, the last MOST to 2 * MOST that came; others are encoded anew.
     MOST, KEEP = 100_000, 64
 
+    def __init__(self, piece: Callable[[bytes], list[int]]) -> None:
+        super().__init__()
+        self.piece, self.older = piece, {}
+        forgets(self)
+
+    def __missing__(self, s: str) -> bytes:
+        ids = self.older.get(s)
+        if ids is None:
+            ids = array("I", self.piece(s.encode())).tobytes()
+        if len(s) <= self.KEEP:
+            if len(self) >= self.MOST:
+                older = dict(self)
+                self.clear()
+                self.older = older
+            self[s] = ids
+        return ids
+
+    def clear(self) -> None:
+        super().clear()
+        self.older = {}
+
+
+class Tokenizer:
+    """Ranks of a tiktoken file and the pattern that cuts texts."""
+
     def __init__(self, path: str, pattern: str) -> None:
         with open(path, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
         self.tokens = {i: t for t, i in self.ranks.items()}
         self.general, self.plain = regex.compile(pattern).findall, pattern == GENERAL
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.known = Known(self.piece)
 
     def piece(self, b: bytes) -> list[int]:
         """Ids of one piece, by the segment tree."""
@@ -110,20 +134,7 @@ class Tokenizer:
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
-        known, out = self.known, []
-        for s in self.cut(text):
-            ids = known.get(s)
-            if ids is None:
-                ids = self.older.get(s)
-                if ids is None:
-                    ids = array("I", self.piece(s.encode())).tobytes()
-                if len(s) <= self.KEEP:
-                    if len(known) >= self.MOST:
-                        self.older, known = known, {}
-                        self.known = known
-                    known[s] = ids
-            out.append(ids)
-        return b"".join(out)
+        return b"".join(map(self.known.__getitem__, self.cut(text)))
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.tokens.__getitem__, memoryview(ids).cast("I")))

@@ -48,8 +48,13 @@ _trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
 _caches: list[dict] = []
 
 
+def forgets(cache: dict) -> None:
+    """From now on tidy() empties cache."""
+    _caches.append(cache)
+
+
 def tidy() -> None:
-    """Gives memory of a reused Python worker back: caches of words, Arrow's pool and the C heap."""
+    """Gives memory of a reused Python worker back: caches of words and pieces, Arrow's pool and the C heap."""
     for cache in _caches:
         cache.clear()
     pa.default_memory_pool().release_unused()
@@ -98,7 +103,7 @@ class WordHash(dict):
 
     def __init__(self) -> None:
         super().__init__()
-        _caches.append(self)
+        forgets(self)
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.MOST:
@@ -137,7 +142,8 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
             raise RuntimeError("components: rounds exhausted")
     if not hooks:
         kind = edges.schema["a"].dataType.simpleString()
-        return spark.createDataFrame([], f"node {kind}, root {kind}")
+        # Rows from a Python list would start a second Python daemon on every executor.
+        return spark.range(0).select(*(F.lit(None).cast(kind).alias(c) for c in ("node", "root")))
     # The nodes of a later round are roots of the round before.
     out = hooks[-1]
     for hook in reversed(hooks[:-1]):

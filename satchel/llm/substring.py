@@ -31,12 +31,13 @@ their text and no other result.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from satchel.llm.common import WordHash, discard, stored, text_bytes, tidied
 
@@ -228,23 +229,26 @@ def _bitmap(ids: DataFrame) -> np.ndarray:
     return out.view(np.uint8)
 
 
-def _split_off(rows: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows (column _id) that may be among ids, and rows that certainly are not."""
+def _split_off(rows: DataFrame, ids: DataFrame) -> Callable[..., DataFrame]:
+    """those(True) are rows (column _id) that may be among ids, those(False) rows that certainly are
+    not; with a function of batches and its schema, what it makes of them in the same Python worker."""
     shared = rows.sparkSession.sparkContext.broadcast(_bitmap(ids))
     hashed = rows.withColumn("_bit", F.xxhash64("_id").bitwiseAND(F.lit(FILTER_BITS - 1)))
 
-    def those(there: bool) -> DataFrame:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def those(there: bool, then: Callable | None = None, schema: StructType | str = rows.schema) -> DataFrame:
+        def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             bits = shared.value
             for b in batches:
                 h = b.column(b.num_columns - 1).to_numpy()
                 # Numbers of 64 bits are little-endian, so byte h >> 3 holds bit h.
-                found = (bits[h >> 3] >> (h & 7).astype(np.uint8)) & 1 == there
-                yield b.drop_columns(["_bit"]).filter(pa.array(found))
+                yield b.drop_columns(["_bit"]).filter(pa.array((bits[h >> 3] >> (h & 7).astype(np.uint8)) & 1 == there))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            return then(found(batches)) if then else found(batches)
 
-        return hashed.mapInArrow(tidied(run), rows.schema)
+        return hashed.mapInArrow(tidied(run), schema)
 
-    return those(True), those(False)
+    return those
 
 
 def _passages(refs: list[dict], length: int) -> Iterator[tuple[int, int, list[bytes]]]:
@@ -312,8 +316,9 @@ def references(src: DataFrame, length: int) -> DataFrame:
     discard(held, variants)
     # A document has at most as many stretches as windows.
     own = owners.groupBy("doc_id").agg(F.collect_list(F.struct("vid", "seg", "start", "n", "several")).alias("own"))
-    some, _ = _split_off(src.select("_id", "text"), owners.select("doc_id").distinct())
-    texts = stored(_texts(some.join(own, F.col("_id") == F.col("doc_id")).select("doc_id", "text", "own"), length).dropDuplicates(["vid", "a"]))
+    some = _split_off(src.select("_id", "text"), owners.select("doc_id").distinct())(True)
+    # Merged, not broadcast: the exchange keeps the Python workers before and after it out of one task.
+    texts = stored(_texts(some.join(own.hint("merge"), F.col("_id") == F.col("doc_id")).select("doc_id", "text", "own"), length).dropDuplicates(["vid", "a"]))
     windows = _windows(texts.where("several").select("vid", "a", "text"), length)
     least = windows.groupBy("window").agg(F.min_by(F.struct("vid", "a"), F.struct("a", "vid")).alias("to"), F.min("a").alias("least"), F.max("a").alias("most")).where("least < most").select("window", "to")
     needs = windows.join(least, "window").where("a > to.a").select("vid", F.col("a").alias("doc_id"), "to").distinct()
@@ -334,12 +339,18 @@ def _kept(words: list[bytes], spans: list[tuple[int, int]]) -> tuple[list[bytes]
     return kept, len(words) - len(kept)
 
 
-def _with_references(rows: DataFrame, length: int) -> DataFrame:
-    """rows (columns _id and text among them) with column refs, null where a document loses no words."""
+def _with_references(rows: DataFrame, length: int, run: Callable, schema: StructType | str) -> DataFrame:
+    """What run makes of batches of rows (columns _id and text among them) with a last column refs, null
+    where a document loses no words. No task holds two Python workers."""
     refs = references(rows, length)
-    some, others = _split_off(rows, refs.select("doc_id"))
-    joined = some.join(refs, some["_id"] == refs["doc_id"], "left").drop("doc_id")
-    return joined.unionByName(others.withColumn("refs", F.lit(None).cast(refs.schema["refs"].dataType)))
+    those = _split_off(rows, refs.select("doc_id"))
+
+    def without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return run(b.append_column("refs", pa.nulls(b.num_rows)) for b in batches)
+
+    some = those(True)
+    joined = some.join(refs.hint("merge"), some["_id"] == refs["doc_id"], "left").drop("doc_id")
+    return joined.mapInArrow(tidied(run), schema).union(those(False, without, schema))
 
 
 def dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -365,7 +376,7 @@ def dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             yield pa.record_batch([b.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha, pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("_id"), "text")
-    return _with_references(rows, length).select("_id", "text", "refs").mapInArrow(tidied(run), "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return _with_references(rows, length, run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def strip(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -379,7 +390,7 @@ def strip(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         automata = _Automata()
         for b in batches:
             texts = []
-            *cols, every = b.columns
+            *cols, _, every = b.columns
             for text, raw, refs in zip(cols[at], text_bytes(cols[at]), every, strict=True):
                 words, removed = [], 0
                 if refs.is_valid:
@@ -391,9 +402,8 @@ def strip(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     # Columns by position, whatever their names.
     plain = [f"c{i}" for i in range(len(names))]
-    rows = docs.toDF(*plain).select("*", F.col(f"c{names.index('doc_id')}").cast("long").alias("_id"), F.col(f"c{at}").alias("text"))
-    found = _with_references(rows.drop(f"c{at}"), length)
-    return found.select(*("text" if i == at else c for i, c in enumerate(plain)), "refs").mapInArrow(tidied(run), docs.schema)
+    rows = docs.toDF(*plain).select(*(F.col(c).alias("text") if i == at else c for i, c in enumerate(plain)), F.col(f"c{names.index('doc_id')}").cast("long").alias("_id"))
+    return _with_references(rows, length, run, docs.schema)
 
 
 #: DuckDB SQL for dedup() of documents.

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from satchel.llm import ann, bpe, chat, licenses, lm, mixing, quality, simhash, substring, toxicity
-from satchel.llm.common import components
+from satchel.llm.common import components, tidied
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 VOCABULARY = [a + b for a in ("al", "be", "ço", "di", "eu", "Fo") for b in ("na", "re", "si", "tö", "lu")]
@@ -788,3 +788,43 @@ def test_bpe_pieces(tokens):
         ids = t.encode(s)
         assert list(memoryview(ids).cast("I")) == own.encode_ordinary(s), s
         assert t.decode(ids) == s.encode()
+
+
+def python_chains(df):
+    """Of a plan without adaptive execution, Python operators above which the same task runs another, and all of them."""
+    above, chained, every = [], 0, 0
+    for line in df._jdf.queryExecution().executedPlan().treeString().splitlines():
+        depth, name = re.match(r"([\s:+-]*)(?:\*\(\d+\) )?(\w*)", line).groups()
+        above = [x for x in above if x[0] < len(depth)]
+        if name == "MapInArrow":
+            every += 1
+            below = next((i for i in range(len(above), 0, -1) if above[i - 1][1] == "Exchange"), 0)
+            chained += any(x[1] == name for x in above[below:])
+        above.append((len(depth), name))
+    return chained, every
+
+
+def test_substring_tasks_hold_one_python_worker(spark, docs, monkeypatch):
+    plans = []
+    stored = substring.stored
+    monkeypatch.setattr(substring, "stored", lambda df: (plans.append(df), stored(df))[1])
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        found = [python_chains(x) for x in (substring.dedup(docs), substring.strip(docs), *plans)]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    assert sum(n for _, n in found) >= 8 and not any(n for n, _ in found)
+
+
+def test_components_without_edges_run_no_python(spark):
+    none = components(spark.range(3).selectExpr("id AS a", "id AS b"))
+    assert none.count() == 0 and none.schema.simpleString() == "struct<node:bigint,root:bigint>"
+    assert "ExistingRDD" not in none._jdf.queryExecution().executedPlan().treeString()
+
+
+def test_bpe_remembers_pieces_for_a_task_only(tokens):
+    t = bpe.Tokenizer(tokens[0], public_tokenizers.PATTERN)
+    t.known.MOST = 2
+    list(tidied(lambda batches: map(t.encode, batches))(iter(["unlikelywordx anotherwordzq", "thirdwordqx"])))
+    assert not t.known and not t.known.older
