@@ -2,10 +2,12 @@
 
 A text is cut by the tokenizer's pattern; each piece is encoded by itself. In
 a piece, a segment tree over byte positions holds at each leaf the rank of the
-pair that starts there, and at each inner node the least rank below it, the
-leftmost on a tie. A merge reads the root, joins two live neighbours and
-updates three leaves at most, each in logarithmic time, so that a piece of n
-bytes costs O(n log n) however long it is.
+pair that starts there, and at each inner node the least rank below it. A node
+has FAN children, of which min() and index() find the least, the leftmost on a
+tie, in one call each. A merge goes down from the root, joins two live
+neighbours and updates three leaves at most, each in logarithmic time, so that
+a piece of n bytes costs O(n log n) however long it is. Of a word's piece the
+leaves are mostly the children of the root.
 """
 
 from __future__ import annotations
@@ -25,6 +27,7 @@ from pyspark.sql import functions as F
 from satchel.llm.common import forgets, map_batches
 
 NONE = 1 << 40  # above any rank: no pair starts here
+FAN = 16  # children of a node
 
 #: The public pattern of byte_bpe_50k, and the same cut for texts that hold
 #: printable ASCII, its white space and the letters U+00C0 to U+024F only. The
@@ -80,49 +83,51 @@ class Tokenizer:
         if whole is not None:
             return [whole]
         n = len(b)
-        width = 1 << max(0, n - 2).bit_length()  # leaves; n - 1 pairs
-        tree = [NONE] * (2 * width)
-        # A node is rank * 2**22 + position within a piece under 4 MB, so that
-        # min() prefers the lower rank, then the leftmost; longer pieces take a wider shift.
-        shift = max(22, n.bit_length())
-        low = (1 << shift) - 1
-        none = NONE << shift
         get = ranks.get
-        for i in range(n - 1):
-            r = get(b[i : i + 2])
-            tree[width + i] = none if r is None else (r << shift) | i
-        for i in range(n - 1, width):
-            tree[width + i] = none
-        for i in range(width - 1, 0, -1):
-            x, y = tree[2 * i], tree[2 * i + 1]
-            tree[i] = x if x < y else y
+        leaves = [get(b[i : i + 2], NONE) for i in range(n - 1)]
+        leaves.append(NONE)  # nothing follows the last byte
         end = list(range(1, n + 1))  # of the live part that starts here
         start = list(range(n))  # of the live part that ends just before position + 1
-
-        def put(i: int, value: int) -> None:
-            i += width
-            tree[i] = value
-            while i > 1:
-                i >>= 1
-                x, y = tree[2 * i], tree[2 * i + 1]
-                least = x if x < y else y
-                if tree[i] == least:
-                    break
-                tree[i] = least
-
-        while n > 1 and (top := tree[1]) < none:
-            i = top & low
-            j = end[i]
-            e = end[j]
-            end[i] = e
-            start[e - 1] = i
-            put(j, none) if j < n - 1 else None
-            r = get(b[i : end[e]]) if e < n else None
-            put(i, none if r is None else (r << shift) | i)
-            if i:
-                p = start[i - 1]
-                r = get(b[p:e])
-                put(p, none if r is None else (r << shift) | p)
+        if n <= FAN:  # the root's children are the leaves
+            while (least := min(leaves)) < NONE:
+                i = leaves.index(least)
+                j = end[i]
+                e = end[i] = end[j]
+                start[e - 1] = i
+                leaves[j] = NONE
+                leaves[i] = get(b[i : end[e]], NONE) if e < n else NONE
+                if i:
+                    p = start[i - 1]
+                    leaves[p] = get(b[p:e], NONE)
+        else:
+            levels = [leaves]  # up to the root's children
+            while len(x := levels[-1]) > FAN:
+                levels.append([min(x[i : i + FAN]) for i in range(0, len(x), FAN)])
+            root, inner, down = levels[-1], levels[1:], levels[-2::-1]
+
+            def put(i: int, value: int) -> None:
+                x = leaves
+                x[i] = value
+                for above in inner:
+                    i //= FAN
+                    value = min(x[FAN * i : FAN * i + FAN])
+                    if above[i] == value:
+                        break
+                    above[i] = value
+                    x = above
+
+            while (least := min(root)) < NONE:
+                i = root.index(least)
+                for x in down:
+                    i = x.index(least, FAN * i)
+                j = end[i]
+                e = end[i] = end[j]
+                start[e - 1] = i
+                put(j, NONE)
+                put(i, get(b[i : end[e]], NONE) if e < n else NONE)
+                if i:
+                    p = start[i - 1]
+                    put(p, get(b[p:e], NONE))
         out, i = [], 0
         while i < n:
             out.append(ranks[b[i : end[i]]])

@@ -6,6 +6,7 @@ import hashlib
 import math
 import random
 import re
+import sys
 import zlib
 
 import numpy as np
@@ -828,3 +829,35 @@ def test_bpe_remembers_pieces_for_a_task_only(tokens):
     t.known.MOST = 2
     list(tidied(lambda batches: map(t.encode, batches))(iter(["unlikelywordx anotherwordzq", "thirdwordqx"])))
     assert not t.known and not t.known.older
+
+
+def test_bpe_words_take_few_steps(tokens):
+    path, own = tokens
+    t = bpe.Tokenizer(path, public_tokenizers.PATTERN)
+    r = random.Random(9)
+    words = ["".join(r.choice("abdehinorstw") for _ in range(r.randint(6, 14))) for _ in range(200)]
+    steps = 0
+
+    def line(frame, event, arg):
+        nonlocal steps
+        steps += event == "line"
+        return line
+
+    before = sys.gettrace()
+    sys.settrace(lambda frame, event, arg: line if frame.f_code.co_filename == bpe.__file__ else None)
+    try:
+        found = [t.piece(w.encode()) for w in words]
+    finally:
+        sys.settrace(before)
+    assert found == [own.encode_ordinary(w) for w in words]
+    assert steps < 15 * sum(map(len, words)), steps / sum(map(len, words))
+
+
+def test_bpe_nodes_of_all_levels(tokens):
+    path, own = tokens
+    t = bpe.Tokenizer(path, public_tokenizers.PATTERN)
+    r = random.Random(10)
+    for n in [*range(1, 40), 255, 256, 257, 4095, 4096, 4097, 70_000]:
+        for letters in ("aeht", "z", "é漢ß"):
+            s = "".join(r.choice(letters) for _ in range(n))
+            assert t.piece(s.encode()) == own.encode_ordinary(s), (n, letters)
